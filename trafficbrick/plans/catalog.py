@@ -228,3 +228,142 @@ QUERIES = {
     "duration_text": q_duration_text,
     "format_count": q_format_count,
 }
+
+
+# ------------------------------------------------------------------ A3 / A4 / B
+from ..operators import rates, store, view  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources.devices import union_devices  # noqa: E402
+from ..functions.hashing import BRICK_DIM  # noqa: E402
+
+TOTALS_WINDOW = "1 day"
+TRUNC_SNAPLEN = 40
+RETAIN_BYTES = 5_000_000
+
+
+def _all_packets(spark, sf):
+    return union_devices({"eth0": derived.load_packets(spark, sf), "eth1": derived.load_event_packets(spark, sf)})
+
+
+def _frames(spark, sf):
+    return derived.frames_from_packets(_all_packets(spark, sf))
+
+
+def q_union_devices(spark, sf):
+    return _all_packets(spark, sf)
+
+
+def q_decode_frames(spark, sf):
+    return decode.decode_frames(_frames(spark, sf))
+
+
+def q_packet_weight(spark, sf):
+    p = _all_packets(spark, sf)
+    return (decode.with_weight(decode.with_weight(p, "bytes", "w_bytes"), "packets", "w_packets")
+            .select("device", "seq", "w_bytes", "w_packets"))
+
+
+def q_line_bytes(spark, sf):
+    return decode.with_line_bytes(_all_packets(spark, sf)).select("device", "seq", "wire_len", "line_bytes")
+
+
+def q_filter_packets(spark, sf):
+    f = decode.filter_packets(_all_packets(spark, sf), "dport = 443 AND wire_len > 1000")
+    return decode.filter_packets(f, F.col("eth_type") == 2048).select("device", "seq", "src_ip", "dst_ip", "wire_len")
+
+
+def q_first_seen(spark, sf):
+    return decode.first_seen(_frames(spark, sf), by="device")
+
+
+def q_truncate_frames(spark, sf):
+    t = decode.truncate_frames(_frames(spark, sf), TRUNC_SNAPLEN)
+    return t.select("device", "seq", "cap_len", "wire_len", F.hex("frame").alias("frame_hex"))
+
+
+def q_mac_text(spark, sf):
+    fr = _frames(spark, sf)
+    return fr.select("device", "seq", addr.mac_to_string(F.substring("frame", 1, 6)).alias("dst_mac"),
+                     addr.mac_to_string(F.substring("frame", 7, 6)).alias("src_mac"))
+
+
+# ------------------------------------------------------------------ E9 / E11 / F3 / F4
+def _totals(spark, sf):
+    return summary.traffic_totals(_all_packets(spark, sf), TOTALS_WINDOW)
+
+
+def q_traffic_totals(spark, sf):
+    return _totals(spark, sf)
+
+
+def q_capture_totals(spark, sf):
+    return summary.capture_totals(derived.capture_stats_from_events(read_table(spark, sf, "events")))
+
+
+def q_cumulative_rates(spark, sf):
+    return rates.cumulative_rates(_totals(spark, sf))
+
+
+def q_interval_rates(spark, sf):
+    return rates.interval_rates(rates.cumulative_rates(_totals(spark, sf)))
+
+
+# ------------------------------------------------------------------ documents and view
+def _docs(spark, sf):
+    return _summary(spark, sf).documents
+
+
+def q_stored_bricks(spark, sf):
+    path = scratch_path(spark, "bricks")
+    store.write_bricks(_docs(spark, sf), path)
+    return store.read_bricks(spark, path)
+
+
+def q_latest_brick(spark, sf):
+    return store.latest_brick(_docs(spark, sf))
+
+
+def q_retain_bricks(spark, sf):
+    return store.retain_bricks(_docs(spark, sf), RETAIN_BYTES).select("ts", "size_bytes", "data", "hitters")
+
+
+def q_brick_cells(spark, sf):
+    return view.brick_to_cells(_docs(spark, sf))
+
+
+def q_categories(spark, sf):
+    cells = view.brick_to_cells(store.latest_brick(_docs(spark, sf)))
+    return view.with_category(cells).select("ts", "x", "y", "traffic", "category", "color")
+
+
+def q_hitter_default(spark, sf):
+    cells = view.brick_to_cells(store.latest_brick(_docs(spark, sf)))
+    return view.with_hitter_label(cells).select("ts", "x", "y", "hitters")
+
+
+def q_payload(spark, sf):
+    cells = view.with_hitter_label(view.with_category(view.brick_to_cells(_docs(spark, sf))))
+    return view.cells_payload(cells)
+
+
+QUERIES.update({
+    "union_devices": q_union_devices,
+    "decode_frames": q_decode_frames,
+    "packet_weight": q_packet_weight,
+    "line_bytes": q_line_bytes,
+    "filter_packets": q_filter_packets,
+    "first_seen": q_first_seen,
+    "truncate_frames": q_truncate_frames,
+    "mac_text": q_mac_text,
+    "traffic_totals": q_traffic_totals,
+    "capture_totals": q_capture_totals,
+    "cumulative_rates": q_cumulative_rates,
+    "interval_rates": q_interval_rates,
+    "stored_bricks": q_stored_bricks,
+    "latest_brick": q_latest_brick,
+    "retain_bricks": q_retain_bricks,
+    "brick_cells": q_brick_cells,
+    "categories": q_categories,
+    "hitter_default": q_hitter_default,
+    "payload": q_payload,
+})

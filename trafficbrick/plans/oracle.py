@@ -230,3 +230,141 @@ FROM (SELECT event_id, date_diff('millisecond', TIMESTAMP '2023-12-25 00:00:00',
 SELECT window_start, window_end, src_bin * 128 + dst_bin AS cell, format('{:,}', CAST(sum(w) AS BIGINT)) AS bytes_text
 FROM binned GROUP BY ALL""",
 }
+
+
+EVENT_PACKETS = """epackets AS (
+  SELECT ts, 'eth1' AS device, event_id AS seq,
+         CASE WHEN event_type = 'error' THEN 34525 ELSE 2048 END AS eth_type,
+         CAST((user_id % 3) * 100 AS INTEGER) AS vlan_id,
+         CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 17 ELSE 6 END AS ip_proto,
+         ((user_id + 1) * 2654435761) % 4294967296 AS src_ip,
+         ((event_id % 11 + 1) * 2246822519) % 4294967296 AS dst_ip,
+         CAST(CASE WHEN event_type <> 'view' THEN 1024 + event_id % 64512 ELSE 0 END AS INTEGER) AS sport,
+         CAST(CASE WHEN event_type <> 'view' THEN 443 ELSE 0 END AS INTEGER) AS dport,
+         CAST(64 + CAST(floor(value) AS INTEGER) * 3 AS INTEGER) AS wire_len
+  FROM events),
+allpackets AS (
+  SELECT ts, device, seq, eth_type, vlan_id, ip_proto, src_ip, dst_ip, sport, dport, wire_len FROM packets
+  UNION ALL SELECT * FROM epackets)"""
+
+
+def _hx(x, n):
+    return f"lpad(hex({x}), {2 * n}, '0')"
+
+
+FRAMEHEX = ("'0200' || " + _hx("dst_ip", 4) + " || '0200' || " + _hx("src_ip", 4)
+            + " || CASE WHEN vlan_id <> 0 THEN '8100' || " + _hx("vlan_id", 2) + " ELSE '' END || "
+            + _hx("eth_type", 2) + " || '4500' || " + _hx("greatest(wire_len - 14, 40)", 2)
+            + " || '0001000040' || " + _hx("ip_proto", 1) + " || '0000' || " + _hx("src_ip", 4) + " || "
+            + _hx("dst_ip", 4) + " || CASE WHEN ip_proto IN (6, 17) THEN " + _hx("sport", 2) + " || "
+            + _hx("dport", 2) + " ELSE '' END")
+
+ALL = with_(PACKETS, EVENT_PACKETS)
+FRAMES = with_(PACKETS, EVENT_PACKETS, f"frames AS (SELECT *, {FRAMEHEX} AS fhex FROM allpackets)")
+
+TOTALS = """totals AS (
+  SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start,
+         time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' AS window_end,
+         device, count(*) AS packets, CAST(sum(wire_len + 24) AS BIGINT) AS line_bytes
+  FROM allpackets GROUP BY ALL),
+cumulative AS (
+  SELECT device, window_end,
+         CAST(sum(packets) OVER (PARTITION BY device ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS packets,
+         CAST(sum(line_bytes) OVER (PARTITION BY device ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bytes,
+         date_diff('microsecond', min(window_start) OVER (PARTITION BY device), window_end) / 1000.0 AS ms
+  FROM totals)"""
+
+CAPTURE = """hourly AS (
+  SELECT date_trunc('hour', ts) AS ts, event_type AS device, count(*) AS recv_h,
+         count(*) FILTER (WHERE user_id % 7 = 0) AS drop_h
+  FROM events GROUP BY ALL),
+stats AS (
+  SELECT ts, device,
+         CAST(sum(recv_h) OVER (PARTITION BY device ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS recv,
+         CAST(sum(drop_h) OVER (PARTITION BY device ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS "drop"
+  FROM hourly)"""
+
+DOCS = f"""grid AS (SELECT w.window_start, w.window_end, g.cell
+           FROM (SELECT DISTINCT window_start, window_end FROM summary_cells) w,
+                (SELECT CAST(range AS INTEGER) AS cell FROM range(16384)) g),
+docs AS (
+  SELECT g.window_end AS ts,
+         list(coalesce(c.bytes, 0) ORDER BY g.cell) AS data,
+         list(coalesce({_label('c.src_ip', 'c.sport', 'c.dst_ip', 'c.dport')}, '') ORDER BY g.cell) AS hitters
+  FROM grid g LEFT JOIN summary_cells c ON g.window_start = c.window_start AND g.cell = c.cell
+  GROUP BY g.window_start, g.window_end),
+latest AS (SELECT * FROM docs ORDER BY ts DESC LIMIT 1),
+sized AS (SELECT *, CAST(len(data) * 8 + list_sum(list_transform(hitters, lambda h: length(h))) AS BIGINT) AS size_bytes FROM docs)"""
+
+DOC_BASE = with_(PACKETS, STRATA, windowed(), BINNED_STRATA, SUMMARY_CELLS, DOCS)
+
+
+def _cells_of(src):
+    return f"""(SELECT d.ts, d.data[r.i + 1] AS traffic, CAST(r.i // 128 AS INTEGER) AS x, CAST(r.i % 128 AS INTEGER) AS y,
+        d.hitters[r.i + 1] AS hitters FROM {src} d, (SELECT range AS i FROM range(16384)) r)"""
+
+
+_CAT = "CASE WHEN traffic < 1000000 / 2 THEN '1' WHEN traffic < 1000000 THEN '5' ELSE '10' END"
+_COLOR = "CASE WHEN traffic < 1000000 / 2 THEN '#3a9244' WHEN traffic < 1000000 THEN '#f9cc10' ELSE '#b2282f' END"
+_HLABEL = "CASE WHEN hitters = '' THEN 'No Top Hitters' ELSE hitters END"
+
+SQL.update({
+    "union_devices": ALL + "SELECT * FROM allpackets",
+    "decode_frames": ALL + """
+SELECT ts, device, seq, eth_type, vlan_id,
+       CASE WHEN eth_type = 2048 THEN ip_proto END AS ip_proto,
+       CASE WHEN eth_type = 2048 THEN src_ip END AS src_ip,
+       CASE WHEN eth_type = 2048 THEN dst_ip END AS dst_ip,
+       CASE WHEN eth_type = 2048 AND ip_proto IN (6, 17) THEN sport ELSE 0 END AS sport,
+       CASE WHEN eth_type = 2048 AND ip_proto IN (6, 17) THEN dport ELSE 0 END AS dport,
+       wire_len
+FROM allpackets""",
+    "packet_weight": ALL + "SELECT device, seq, CAST(wire_len AS BIGINT) AS w_bytes, CAST(1 AS BIGINT) AS w_packets FROM allpackets",
+    "line_bytes": ALL + "SELECT device, seq, wire_len, CAST(wire_len + 24 AS BIGINT) AS line_bytes FROM allpackets",
+    "filter_packets": ALL + """
+SELECT device, seq, src_ip, dst_ip, wire_len FROM allpackets WHERE dport = 443 AND wire_len > 1000 AND eth_type = 2048""",
+    "first_seen": ALL + "SELECT device, min(ts) AS first_ts, count(*) AS frames FROM allpackets GROUP BY ALL",
+    "truncate_frames": FRAMES + """
+SELECT device, seq, CAST(least(length(fhex) // 2, 40) AS INTEGER) AS cap_len, wire_len, substr(fhex, 1, 80) AS frame_hex
+FROM frames""",
+    "mac_text": ALL + """
+SELECT device, seq,
+       '02:00:' || regexp_replace(lpad(hex(dst_ip), 8, '0'), '(..)(..)(..)(..)', '\\1:\\2:\\3:\\4') AS dst_mac,
+       '02:00:' || regexp_replace(lpad(hex(src_ip), 8, '0'), '(..)(..)(..)(..)', '\\1:\\2:\\3:\\4') AS src_mac
+FROM allpackets""",
+    "traffic_totals": with_(PACKETS, EVENT_PACKETS, TOTALS) + "SELECT * FROM totals",
+    "capture_totals": with_(CAPTURE) + """
+SELECT ts, CAST(sum(recv) AS BIGINT) AS recv, CAST(sum("drop") AS BIGINT) AS "drop",
+       CAST(sum(recv) + sum("drop") AS BIGINT) AS total,
+       CASE WHEN sum(recv) = 0 THEN 0.0
+            ELSE CAST(sum("drop") AS DOUBLE) * 100.0 / CAST(sum(recv) + sum("drop") AS DOUBLE) END AS drop_pct
+FROM stats GROUP BY ts""",
+    "cumulative_rates": with_(PACKETS, EVENT_PACKETS, TOTALS) + """
+SELECT device, window_end, packets, bytes, ms,
+       CAST(packets AS DOUBLE) * 1000.0 / ms AS pps, CAST(bytes AS DOUBLE) * 8.0 / (ms * 1000.0) AS mbps
+FROM cumulative""",
+    "interval_rates": with_(PACKETS, EVENT_PACKETS, TOTALS) + """
+SELECT device, window_end, packets, bytes, ms,
+       CAST(packets AS DOUBLE) / (ms / 1000.0) AS pps,
+       CAST(bytes AS DOUBLE) * 8.0 / 1e9 / (ms / 1000.0) AS gbps,
+       floor(bytes / 125000000) / (ms / 1000.0) AS gbps_trunc
+FROM (
+  SELECT device, window_end, packets - lag(packets) OVER w AS packets, bytes - lag(bytes) OVER w AS bytes,
+         date_diff('microsecond', lag(window_end) OVER w, window_end) / 1000.0 AS ms,
+         lag(window_end) OVER w AS prev
+  FROM cumulative WINDOW w AS (PARTITION BY device ORDER BY window_end))
+WHERE prev IS NOT NULL""",
+    "stored_bricks": DOC_BASE + "SELECT ts, data, hitters FROM docs",
+    "latest_brick": DOC_BASE + "SELECT ts, data, hitters FROM latest",
+    "retain_bricks": DOC_BASE + """
+SELECT ts, size_bytes, data, hitters FROM (
+  SELECT *, sum(size_bytes) OVER (ORDER BY ts DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer FROM sized)
+WHERE newer <= 5000000""",
+    "brick_cells": DOC_BASE + "SELECT * FROM " + _cells_of("docs"),
+    "categories": DOC_BASE + f"SELECT ts, x, y, traffic, {_CAT} AS category, {_COLOR} AS color FROM " + _cells_of("latest"),
+    "hitter_default": DOC_BASE + f"SELECT ts, x, y, {_HLABEL} AS hitters FROM " + _cells_of("latest"),
+    "payload": DOC_BASE + f""", vcells AS (SELECT ts, x, y, traffic, {_HLABEL} AS hitters, {_CAT} AS category FROM {_cells_of('docs')})
+SELECT ts, to_json({{'x': list(x ORDER BY x, y), 'y': list(y ORDER BY x, y), 'traffic': list(traffic ORDER BY x, y),
+                    'hitters': list(hitters ORDER BY x, y), 'category': list(category ORDER BY x, y)}})::VARCHAR AS payload
+FROM vcells GROUP BY ts""",
+})

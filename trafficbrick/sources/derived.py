@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..session import read_table
 
@@ -68,14 +67,14 @@ def capture_stats_from_events(events: DataFrame) -> DataFrame:
 
     device = event type; recv = events, drop = events of users divisible by 7.
     """
+    from ..operators.scan import running_sums
     hourly = (events
               .groupBy(F.date_trunc("hour", F.col("ts")).alias("ts"), F.col("event_type").alias("device"))
               .agg(F.count(F.lit(1)).alias("recv_h"),
                    F.count(F.when(F.col("user_id") % 7 == 0, 1)).alias("drop_h")))
-    w = Window.partitionBy("device").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hourly.select("ts", "device",
-                         F.sum("recv_h").over(w).cast("bigint").alias("recv"),
-                         F.sum("drop_h").over(w).cast("bigint").alias("drop"))
+    cum = running_sums(hourly, ["device"], ["ts"], ["recv_h", "drop_h"], F.date_trunc("day", F.col("ts")))
+    return cum.select("ts", "device", F.col("recv_h_cum").cast("bigint").alias("recv"),
+                      F.col("drop_h_cum").cast("bigint").alias("drop"))
 
 
 def frames_from_packets(packets: DataFrame) -> DataFrame:
@@ -108,3 +107,34 @@ def frames_from_packets(packets: DataFrame) -> DataFrame:
         F.col("wire_len"),
         frame.alias("frame"),
     )
+
+
+# Fixed values of the events mapping: IPv6 ether type for error events, ICMP
+# for views, UDP for clicks, TCP otherwise; VLAN tags 0/100/200 by user.
+ETH_IPV6 = 0x86DD
+DST_HOSTS = 11
+
+
+def packets_from_events(events: DataFrame, device: str = "eth1") -> DataFrame:
+    """``events`` -> ``packets`` of a second device: VLAN tags, an IPv6 share,
+    ICMP (no ports), UDP and TCP."""
+    proto = (F.when(F.col("event_type") == "view", 1)
+              .when(F.col("event_type") == "click", 17).otherwise(6))
+    has_ports = proto.isin(6, 17)
+    return events.select(
+        F.col("ts"),
+        F.lit(device).alias("device"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", ETH_IPV6).otherwise(2048).alias("eth_type"),
+        ((F.col("user_id") % 3) * 100).cast("int").alias("vlan_id"),
+        proto.cast("int").alias("ip_proto"),
+        (((F.col("user_id") + 1) * SRC_MULT) % U32).alias("src_ip"),
+        (((F.col("event_id") % DST_HOSTS + 1) * DST_MULT) % U32).alias("dst_ip"),
+        F.when(has_ports, F.lit(1024) + F.col("event_id") % 64512).otherwise(0).cast("int").alias("sport"),
+        F.when(has_ports, 443).otherwise(0).cast("int").alias("dport"),
+        (F.lit(64) + F.floor("value").cast("int") * 3).cast("int").alias("wire_len"),
+    )
+
+
+def load_event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_from_events(read_table(spark, sf_dir, "events"))
