@@ -37,8 +37,10 @@ def _parity(df: DataFrame, addr: str, out: str, tables: DataFrame) -> DataFrame:
 
 
 def _strata_bin(df: DataFrame, addr: str, out: str, strata: DataFrame) -> DataFrame:
-    s = F.broadcast(strata.select(F.col("prefix17").alias(f"_p_{out}"), F.col("bin").alias(out)))
-    return df.join(s, prefix17(addr) == F.col(f"_p_{out}"), "left").drop(f"_p_{out}")
+    # the same broadcast side for src and dst, so the exchange is built once and reused
+    s = F.broadcast(strata.select("prefix17", "bin")).alias(f"_s_{out}")
+    j = df.join(s, prefix17(addr) == F.col(f"_s_{out}.prefix17"), "left")
+    return j.withColumn(out, F.col(f"_s_{out}.bin")).drop(F.col(f"_s_{out}.prefix17")).drop(F.col(f"_s_{out}.bin"))
 
 
 def assign_bins(df: DataFrame, strata: DataFrame | None = None, reserved: int = 1, *,

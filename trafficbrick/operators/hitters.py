@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.addr import ip_to_string
 from ..functions.timefmt import format_count
+from . import keys as K
 from .summary import WINDOW_COLS
 
 # Total order of packets inside a cell (sequence numbers alone are not unique).
@@ -36,20 +37,24 @@ DEFAULT_MAX_CELL_ROWS = 2_000_000
 
 # ---------------------------------------------------------------- E6 exact
 def flow_sums(binned: DataFrame) -> DataFrame:
-    """Per-flow weight with the ports of the flow's first packet."""
+    """Per-flow weight with the ports (packed) of the flow's first packet."""
+    first = K.first_packet_key(F.col("ts"), F.col("window_start"), F.col("seq"))
     return (binned.groupBy(*WINDOW_COLS, "cell", "src_ip", "dst_ip")
                   .agg(F.sum("w").alias("bytes"),
-                       F.min_by(F.struct("sport", "dport"), F.struct("ts", "seq", "w", "sport", "dport")).alias("p")))
+                       F.min_by(K.pack_ports(F.col("sport"), F.col("dport")), first).alias("pp")))
 
 
-def pick_dominant(flows: DataFrame, keys=("cell",)) -> DataFrame:
-    """Heaviest flow per ``keys`` (ties: smaller src, then dst)."""
-    best = F.max_by(F.struct("src_ip", "dst_ip", "p", "bytes"),
-                    F.struct("bytes", -F.col("src_ip"), -F.col("dst_ip")))
-    return (flows.groupBy(*WINDOW_COLS, *keys).agg(best.alias("b"), F.sum("bytes").alias("cell_bytes"))
-                 .select(*WINDOW_COLS, *keys, F.col("b.src_ip").alias("src_ip"), F.col("b.dst_ip").alias("dst_ip"),
-                         F.col("b.p.sport").alias("sport"), F.col("b.p.dport").alias("dport"),
-                         F.col("b.bytes").alias("flow_bytes"), "cell_bytes"))
+def pick_dominant(flows: DataFrame, keys=("cell",), weight: str = "bytes") -> DataFrame:
+    """Heaviest flow per ``keys`` (ties: smaller src, then dst) -- hash aggregation
+    on a packed key, see :mod:`trafficbrick.operators.keys`."""
+    f = flows.withColumn("rk", K.heavy_key(F.col(weight), F.col("src_ip"), F.col("dst_ip")))
+    g = (f.groupBy(*WINDOW_COLS, *keys)
+          .agg(F.max("rk").alias("rk"), F.max_by("src_ip", "rk").alias("src_ip"),
+               F.max_by("dst_ip", "rk").alias("dst_ip"), F.max_by("pp", "rk").alias("pp"),
+               F.sum(weight).alias("cell_bytes")))
+    return g.select(*WINDOW_COLS, *keys, "src_ip", "dst_ip", K.sport_of(F.col("pp")).alias("sport"),
+                    K.dport_of(F.col("pp")).alias("dport"), K.heavy_weight(F.col("rk")).alias("flow_bytes"),
+                    "cell_bytes")
 
 
 def dominant_flow(binned: DataFrame) -> DataFrame:
@@ -186,20 +191,18 @@ def _partial_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def merge_votes(partials: DataFrame) -> DataFrame:
-    """Merge vote summaries ``(window, cell, src_ip, dst_ip, cnt, ...)``.
+    """Merge vote summaries ``(window, cell, src_ip, dst_ip, cnt, first_ts, first_seq, sport, dport)``.
 
     Summaries with the same candidate add; then the candidate with the largest
-    total wins with count ``max(0, 2*N_max - N_all)``. Both steps are built-in
+    total wins with count ``max(0, 2*N_max - N_all)``. Both steps are hash
     aggregates with map-side combine, so a hot cell never lands in one group.
     """
+    first = K.first_packet_key(F.col("first_ts"), F.col("window_start"), F.col("first_seq"))
     per = (partials.groupBy(*WINDOW_COLS, "cell", "src_ip", "dst_ip")
-                   .agg(F.sum("cnt").alias("n"),
-                        F.min_by(F.struct("sport", "dport"), F.struct("first_ts", "first_seq", "sport", "dport")).alias("p")))
-    best = F.max_by(F.struct("src_ip", "dst_ip", "p", "n"), F.struct("n", -F.col("src_ip"), -F.col("dst_ip")))
-    return (per.groupBy(*WINDOW_COLS, "cell").agg(best.alias("b"), F.sum("n").alias("n_all"))
-               .select(*WINDOW_COLS, "cell", F.col("b.src_ip").alias("src_ip"), F.col("b.dst_ip").alias("dst_ip"),
-                       F.col("b.p.sport").alias("sport"), F.col("b.p.dport").alias("dport"),
-                       F.greatest(F.lit(0), 2 * F.col("b.n") - F.col("n_all")).cast("bigint").alias("count")))
+                   .agg(F.sum("cnt").alias("n"), F.min_by(K.pack_ports(F.col("sport"), F.col("dport")), first).alias("pp")))
+    best = pick_dominant(per, weight="n")
+    return best.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", "sport", "dport",
+                       F.greatest(F.lit(0), 2 * F.col("flow_bytes") - F.col("cell_bytes")).cast("bigint").alias("count"))
 
 
 def vote_merged(binned: DataFrame) -> DataFrame:

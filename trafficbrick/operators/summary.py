@@ -76,27 +76,38 @@ def capture_totals(stats: DataFrame) -> DataFrame:
     return t.select("ts", "recv", "drop", (F.col("recv") + F.col("drop")).alias("total"), pct.alias("drop_pct"))
 
 
-def dense_brick(cells: DataFrame, hitters: DataFrame | None = None, dim: int = BRICK_DIM) -> DataFrame:
+def _densify(arr, field: str, fill, n: int):
+    """Dense length-``n`` array from a cell-sorted sparse array of structs:
+    each entry contributes the zero run since the previous cell plus its value,
+    then a tail of fill values -- linear in ``n``, all JVM-side."""
+    fill_col = fill if not isinstance(fill, (int, str)) else F.lit(fill)
+
+    def piece(e, k):
+        prev = F.when(k == 0, F.lit(0)).otherwise(F.element_at(arr, F.greatest(k, F.lit(1)))["cell"] + 1)
+        return F.concat(F.array_repeat(fill_col, (e["cell"] - prev).cast("int")), F.array(e[field]))
+
+    body = F.flatten(F.transform(arr, piece))
+    return F.concat(body, F.array_repeat(fill_col, (F.lit(n) - F.size(body)).cast("int")))
+
+
+def dense_brick(cells: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
     """One document per window (E10): ``ts`` (window end), ``data`` (dim*dim bytes,
     row-major, zeros included) and ``hitters`` (flow labels, ``''`` when empty).
 
-    Each window gathers at most dim*dim sparse entries -- a bound set by the
-    brick dimension, not by the traffic -- and expands them with array functions,
-    so no grid is joined or crossed.
+    ``cells`` has ``window, cell, bytes`` and optionally the cell's candidate
+    ``src_ip, dst_ip, sport, dport`` (source 0 = none). Each window gathers at
+    most dim*dim sparse entries -- a bound set by the brick dimension, not by
+    the traffic -- and fills the gaps with array functions; no grid is joined.
     """
     n = dim * dim
-    c = cells.select(*WINDOW_COLS, "cell", F.col("bytes").cast("bigint").alias("v"), F.lit(None).cast("string").alias("h"))
-    if hitters is not None:
-        h = hitters.where(F.col("src_ip") != 0).select(
-            *WINDOW_COLS, "cell", F.lit(None).cast("bigint").alias("v"),
-            flow_label("src_ip", "sport", "dst_ip", "dport").alias("h"))
-        c = c.unionByName(h)
-    per = (c.groupBy(*WINDOW_COLS, "cell").agg(F.max("v").alias("v"), F.max("h").alias("h"))
-            .groupBy(*WINDOW_COLS)
-            .agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("v", "h")))).alias("m")))
-    idx = F.sequence(F.lit(0), F.lit(n - 1))
+    if "src_ip" in cells.columns:
+        label = flow_label("src_ip", "sport", "dst_ip", "dport")
+    else:
+        label = F.lit("")
+    entry = F.struct(F.col("cell").cast("int").alias("cell"), F.col("bytes").cast("bigint").alias("v"), label.alias("h"))
+    per = cells.groupBy(*WINDOW_COLS).agg(F.sort_array(F.collect_list(entry)).alias("a"))
     return per.select(
         F.col("window_end").alias("ts"),
-        F.transform(idx, lambda i: F.coalesce(F.col("m")[i]["v"], F.lit(0).cast("bigint"))).alias("data"),
-        F.transform(idx, lambda i: F.coalesce(F.col("m")[i]["h"], F.lit(""))).alias("hitters"),
+        _densify(F.col("a"), "v", F.lit(0).cast("bigint"), n).alias("data"),
+        _densify(F.col("a"), "h", F.lit(""), n).alias("hitters"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BRICK_DIM
+from ..operators import keys as K
 from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
 from ..operators.hitters import hitter_report, top_hitters
@@ -33,32 +34,41 @@ class WindowSummary:
 
 
 def flows_of(packets: DataFrame, duration: str, weight: str = "bytes") -> DataFrame:
+    """Packets -> flows ``(window, src_ip, dst_ip, bytes, packets, pp)``; ``pp``
+    packs the ports of the flow's first packet."""
     p = with_window(with_weight(ipv4_only(packets), weight), duration)
+    first = K.first_packet_key(F.col("ts"), F.col("window_start"), F.col("seq"))
     return (p.groupBy(*WINDOW_COLS, "src_ip", "dst_ip")
              .agg(F.sum("w").alias("bytes"), F.count(F.lit(1)).alias("packets"),
-                  F.min_by(F.struct("sport", "dport"), F.struct("ts", "seq", "w", "sport", "dport")).alias("p")))
+                  F.min_by(K.pack_ports(F.col("sport"), F.col("dport")), first).alias("pp")))
 
 
 def cells_of(binned_flows: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
-    """Roll binned flows up to cells: total bytes, estimate and dominant flow."""
-    nonzero = F.col("src_ip") != 0
-    flow = F.struct("src_ip", "dst_ip", "p", "bytes")
-    rank = F.when(nonzero, F.struct("bytes", -F.col("src_ip"), -F.col("dst_ip")))
-    subs = (binned_flows.groupBy(*WINDOW_COLS, "cell", "sub")
-                        .agg(F.sum("bytes").alias("sub_bytes"), F.max_by(flow, rank).alias("b")))
-    brank = F.when(F.col("b").isNotNull(), F.struct(F.col("b.bytes"), -F.col("b.src_ip"), -F.col("b.dst_ip")))
+    """Roll binned flows up to cells: total bytes, estimate and dominant flow.
+
+    Two hash aggregations: by (window, cell, sub) then by (window, cell). The
+    dominant flow travels as a packed key (weight, src, dst) that is unique
+    per flow, so every ``max_by`` below picks the same flow.
+    """
+    rk = F.when(F.col("src_ip") != 0, K.heavy_key(F.col("bytes"), F.col("src_ip"), F.col("dst_ip")))
+    f = binned_flows.withColumn("rk", rk)
+    subs = (f.groupBy(*WINDOW_COLS, "cell", "sub")
+             .agg(F.sum("bytes").alias("sub_bytes"), F.max("rk").alias("rk"),
+                  F.max_by("src_ip", "rk").alias("src_ip"), F.max_by("dst_ip", "rk").alias("dst_ip"),
+                  F.max_by("pp", "rk").alias("pp")))
     cells = (subs.groupBy(*WINDOW_COLS, "cell")
-                 .agg(F.sum("sub_bytes").alias("bytes"), F.max("sub_bytes").alias("est"),
-                      F.max_by("b", brank).alias("b")))
+                 .agg(F.sum("sub_bytes").alias("bytes"), F.max("sub_bytes").alias("est"), F.max("rk").alias("rk"),
+                      F.max_by("src_ip", "rk").alias("src_ip"), F.max_by("dst_ip", "rk").alias("dst_ip"),
+                      F.max_by("pp", "rk").alias("pp")))
     return cells.select(
         *WINDOW_COLS, "cell",
         (F.col("cell") / F.lit(dim)).cast("int").alias("src_bin"), (F.col("cell") % dim).cast("int").alias("dst_bin"),
         F.col("bytes").cast("bigint").alias("bytes"), F.col("est").cast("bigint").alias("est"),
-        F.coalesce(F.col("b.src_ip"), F.lit(0).cast("bigint")).alias("src_ip"),
-        F.coalesce(F.col("b.dst_ip"), F.lit(0).cast("bigint")).alias("dst_ip"),
-        F.coalesce(F.col("b.p.sport"), F.lit(0)).alias("sport"),
-        F.coalesce(F.col("b.p.dport"), F.lit(0)).alias("dport"),
-        F.col("b.bytes").cast("bigint").alias("flow_bytes"),
+        F.coalesce(F.col("src_ip"), F.lit(0).cast("bigint")).alias("src_ip"),
+        F.coalesce(F.col("dst_ip"), F.lit(0).cast("bigint")).alias("dst_ip"),
+        F.coalesce(K.sport_of(F.col("pp")), F.lit(0)).alias("sport"),
+        F.coalesce(K.dport_of(F.col("pp")), F.lit(0)).alias("dport"),
+        K.heavy_weight(F.col("rk")).alias("flow_bytes"),
     )
 
 
@@ -71,4 +81,4 @@ def window_summary(packets: DataFrame, duration: str = "3 seconds", strata: Data
     top = top_hitters(hitters.drop("est"), cells.select(*WINDOW_COLS, "cell", "est"), k)
     unit = "bytes" if weight == "bytes" else "packets"
     return WindowSummary(flows, cells, top, hitter_report(top, unit),
-                         dense_brick(cells.select(*WINDOW_COLS, "cell", "bytes"), hitters, dim))
+                         dense_brick(cells, dim))
