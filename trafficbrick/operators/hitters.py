@@ -231,13 +231,18 @@ def majority_fraction(flagged: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- G1 / A8
-def top_hitters(candidates: DataFrame, estimates: DataFrame, k: int = 20) -> DataFrame:
+def top_hitters(candidates: DataFrame, estimates: DataFrame | None = None, k: int = 20) -> DataFrame:
     """Top ``k`` candidates per window by their cell's estimate (G1).
 
-    Ties are broken by (src, dst). A window holds at most one candidate per
-    cell, so each window partition of the ranking is bounded by the brick size.
+    ``candidates`` carries ``est`` itself, or ``estimates`` (window, cell, est)
+    is joined in. Ties are broken by (src, dst). A window holds at most one
+    candidate per cell, so each window's ranking is bounded by the brick size;
+    ``row_number() <= k`` is planned as a per-partition group limit before the
+    shuffle, so only k rows per window and task move.
     """
-    c = candidates.join(estimates.select(*WINDOW_COLS, "cell", "est"), [*WINDOW_COLS, "cell"], "inner")
+    c = candidates
+    if estimates is not None:
+        c = c.join(estimates.select(*WINDOW_COLS, "cell", "est"), [*WINDOW_COLS, "cell"], "inner")
     w = Window.partitionBy(*WINDOW_COLS).orderBy(F.desc("est"), "src_ip", "dst_ip")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

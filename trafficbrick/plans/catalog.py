@@ -367,3 +367,20 @@ QUERIES.update({
     "hitter_default": q_hitter_default,
     "payload": q_payload,
 })
+
+
+# ------------------------------------------------------------------ A1 capture files
+from ..sources import captures  # noqa: E402
+
+CAPTURE_FILES = 4
+
+
+def q_read_captures(spark, sf):
+    """Frames -> pcap files (written by the executors) -> read back -> decode."""
+    path = scratch_path(spark, "captures")
+    captures.write_captures(_frames(spark, sf), path, CAPTURE_FILES).write.format("noop").mode("overwrite").save()
+    d = decode.decode_frames(captures.read_captures(spark, path))
+    return d.select("ts", "eth_type", "vlan_id", "ip_proto", "src_ip", "dst_ip", "sport", "dport", "wire_len")
+
+
+QUERIES["read_captures"] = q_read_captures

@@ -368,3 +368,13 @@ SELECT ts, to_json({{'x': list(x ORDER BY x, y), 'y': list(y ORDER BY x, y), 'tr
                     'hitters': list(hitters ORDER BY x, y), 'category': list(category ORDER BY x, y)}})::VARCHAR AS payload
 FROM vcells GROUP BY ts""",
 })
+
+SQL["read_captures"] = ALL + """
+SELECT ts, eth_type, vlan_id,
+       CASE WHEN eth_type = 2048 THEN ip_proto END AS ip_proto,
+       CASE WHEN eth_type = 2048 THEN src_ip END AS src_ip,
+       CASE WHEN eth_type = 2048 THEN dst_ip END AS dst_ip,
+       CASE WHEN eth_type = 2048 AND ip_proto IN (6, 17) THEN sport ELSE 0 END AS sport,
+       CASE WHEN eth_type = 2048 AND ip_proto IN (6, 17) THEN dport ELSE 0 END AS dport,
+       wire_len
+FROM allpackets"""

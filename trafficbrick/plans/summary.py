@@ -78,7 +78,7 @@ def window_summary(packets: DataFrame, duration: str = "3 seconds", strata: Data
     flows = assign_bins(flows_of(packets, duration, weight), strata, reserved, dim=dim, **bin_kw)
     cells = cells_of(flows, dim)
     hitters = cells.where(F.col("src_ip") != 0)
-    top = top_hitters(hitters.drop("est"), cells.select(*WINDOW_COLS, "cell", "est"), k)
+    top = top_hitters(hitters, k=k)
     unit = "bytes" if weight == "bytes" else "packets"
     return WindowSummary(flows, cells, top, hitter_report(top, unit),
                          dense_brick(cells, dim))

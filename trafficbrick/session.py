@@ -31,6 +31,9 @@ def get_session(master: str | None = None, app: str = "trafficbrick", shuffle_pa
     conf = dict(DEFAULT_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    if master and master.startswith("local"):
+        # local mode runs every executor thread inside the driver JVM
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -49,9 +52,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     a private folder is created and registered as the checkpoint dir.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="trafficbrick-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
