@@ -384,3 +384,58 @@ def q_read_captures(spark, sf):
 
 
 QUERIES["read_captures"] = q_read_captures
+
+
+# ------------------------------------------------------------------ F5 / F6 / A2 streaming
+from ..streaming import bricks as sbricks, fixtures as sfix, vote as svote  # noqa: E402
+
+
+def _stream_source(spark, sf):
+    path = scratch_path(spark, "packet-stream")
+    sfix.write_packet_stream(_packets(spark, sf), path)
+    return path
+
+
+def q_stream_bricks(spark, sf):
+    """Packets as a file stream -> windowed flow state -> closed windows rolled up per micro-batch."""
+    src = _stream_source(spark, sf)
+    out = scratch_path(spark, "stream-bricks")
+    q = sbricks.stream_bricks(sfix.read_packet_stream(spark, src), out, scratch_path(spark, "stream-bricks-ckpt"),
+                              duration=WINDOW, watermark="0 seconds")
+    q.awaitTermination()
+    c = sbricks.read_stream_output(spark, out, "cells")
+    return c.select(*summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est", "src_ip", "dst_ip",
+                    "sport", "dport")
+
+
+def q_stream_vote(spark, sf):
+    """Ordered vote with per-cell state in the state store, emitted on window close."""
+    src = _stream_source(spark, sf)
+    out = scratch_path(spark, "stream-vote")
+    q = (svote.stream_vote(sfix.read_packet_stream(spark, src), WINDOW)
+         .writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "stream-vote-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def q_stream_captures(spark, sf):
+    """Capture files picked up by a file stream (A2), decoded and summarised."""
+    path = scratch_path(spark, "stream-captures")
+    frames = derived.frames_from_packets(_packets(spark, sf))
+    captures.write_captures(frames, path, CAPTURE_FILES).write.format("noop").mode("overwrite").save()
+    sfix_path = scratch_path(spark, "stream-captures-sentinel")
+    sfix.write_packet_stream(_packets(spark, sf).limit(0), sfix_path)  # sentinel only
+    captures.write_captures(derived.frames_from_packets(spark.read.parquet(sfix_path)), path + "/sentinel", 1) \
+        .write.format("noop").mode("overwrite").save()
+    packets = decode.decode_frames(captures.stream_captures(spark, path))
+    out = scratch_path(spark, "stream-captures-out")
+    q = sbricks.stream_bricks(packets, out, scratch_path(spark, "stream-captures-ckpt"), duration=WINDOW,
+                              watermark="0 seconds")
+    q.awaitTermination()
+    return sbricks.read_stream_output(spark, out, "cells").select(
+        *summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est")
+
+
+QUERIES.update({"stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures})

@@ -378,3 +378,10 @@ SELECT ts, eth_type, vlan_id,
        CASE WHEN eth_type = 2048 AND ip_proto IN (6, 17) THEN dport ELSE 0 END AS dport,
        wire_len
 FROM allpackets"""
+
+_PLAIN_CELLS = with_(PACKETS, windowed(), BINNED, SUMMARY_CELLS)
+SQL["stream_bricks"] = _PLAIN_CELLS + """
+SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est, src_ip, dst_ip, sport, dport FROM summary_cells"""
+SQL["stream_vote"] = with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted"
+SQL["stream_captures"] = _PLAIN_CELLS + """
+SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est FROM summary_cells"""

@@ -118,7 +118,10 @@ def read_captures(spark: SparkSession, path: str, device: str = "pcap", batch_ro
 def stream_captures(spark: SparkSession, path: str, device: str = "pcap", batch_rows: int = 65536,
                     glob: str = "*.pcap", max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming variant (A2): new capture files in ``path`` become frames."""
-    r = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    from pyspark.sql import types as T
+    listing = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                            T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    r = (spark.readStream.format("binaryFile").schema(listing).option("pathGlobFilter", glob)
          .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
