@@ -61,17 +61,17 @@ class ParityTables:
         return self.t1[lo] ^ self.t2[hi] ^ self.t3[(lo + hi) & R17]
 
     def tables_df(self, spark: SparkSession) -> DataFrame:
-        """``(idx, t1, t2, t3, bin)`` -- 131,072 rows; t1/t2 are NULL above 65,535."""
+        """``(idx, t1, t2, t3, bin)`` -- 131,072 rows; t1/t2 are -1 above 65,535."""
         n = len(self.t3)
+        pad = np.full(n - len(self.t1), -1, dtype=np.int64)
         pdf = pd.DataFrame({
             "idx": np.arange(n, dtype=np.int32),
-            "t1": pd.array(np.concatenate([self.t1, np.full(n - len(self.t1), -1)]), dtype="Int64"),
-            "t2": pd.array(np.concatenate([self.t2, np.full(n - len(self.t2), -1)]), dtype="Int64"),
+            "t1": np.concatenate([self.t1.astype(np.int64), pad]),
+            "t2": np.concatenate([self.t2.astype(np.int64), pad]),
             "t3": self.t3.astype(np.int64),
             "bin": self.bin_map.astype(np.int32),
         })
-        pdf.loc[len(self.t1):, ["t1", "t2"]] = pd.NA
-        return spark.createDataFrame(pdf)
+        return spark.createDataFrame(pdf, "idx int, t1 bigint, t2 bigint, t3 bigint, bin int")
 
 
 def parity_tables(seed: int, reserved: int, dim: int = BRICK_DIM) -> ParityTables:

@@ -24,8 +24,8 @@ def _portable(df: DataFrame, addr: str, out: str) -> DataFrame:
 def _parity(df: DataFrame, addr: str, out: str, tables: DataFrame) -> DataFrame:
     a = F.col(addr).cast("bigint")
     lo, hi = a.bitwiseAND(65535), F.shiftright(a, 16)
-    t1 = F.broadcast(tables.select(F.col("idx").alias("_i1"), F.col("t1").alias("_t1")).where("_t1 IS NOT NULL"))
-    t2 = F.broadcast(tables.select(F.col("idx").alias("_i2"), F.col("t2").alias("_t2")).where("_t2 IS NOT NULL"))
+    t1 = F.broadcast(tables.select(F.col("idx").alias("_i1"), F.col("t1").alias("_t1")).where("_t1 >= 0"))
+    t2 = F.broadcast(tables.select(F.col("idx").alias("_i2"), F.col("t2").alias("_t2")).where("_t2 >= 0"))
     t3 = F.broadcast(tables.select(F.col("idx").alias("_i3"), F.col("t3").alias("_t3")))
     d = (df.withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int"))
            .withColumn("_mx", (lo + hi).bitwiseAND(R17).cast("int")))

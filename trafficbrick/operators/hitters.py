@@ -51,9 +51,9 @@ def pick_dominant(flows: DataFrame, keys=("cell",), weight: str = "bytes") -> Da
     g = (f.groupBy(*WINDOW_COLS, *keys)
           .agg(F.max("rk").alias("rk"), F.max_by("src_ip", "rk").alias("src_ip"),
                F.max_by("dst_ip", "rk").alias("dst_ip"), F.max_by("pp", "rk").alias("pp"),
-               F.sum(weight).alias("cell_bytes")))
+               F.max_by(weight, "rk").alias("fb"), F.sum(weight).alias("cell_bytes")))
     return g.select(*WINDOW_COLS, *keys, "src_ip", "dst_ip", K.sport_of(F.col("pp")).alias("sport"),
-                    K.dport_of(F.col("pp")).alias("dport"), K.heavy_weight(F.col("rk")).alias("flow_bytes"),
+                    K.dport_of(F.col("pp")).alias("dport"), F.col("fb").cast("bigint").alias("flow_bytes"),
                     "cell_bytes")
 
 

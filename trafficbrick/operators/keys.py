@@ -52,4 +52,5 @@ def heavy_key(weight: Column, src: Column, dst: Column) -> Column:
 
 
 def heavy_weight(key: Column) -> Column:
-    return F.floor(key / dlit(TWO64)).cast("bigint")
+    """The weight packed in ``key`` (exact: the remainder is removed before dividing)."""
+    return ((key - F.pmod(key, dlit(TWO64))) / dlit(TWO64)).cast("bigint")

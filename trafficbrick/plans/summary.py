@@ -55,11 +55,11 @@ def cells_of(binned_flows: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
     subs = (f.groupBy(*WINDOW_COLS, "cell", "sub")
              .agg(F.sum("bytes").alias("sub_bytes"), F.max("rk").alias("rk"),
                   F.max_by("src_ip", "rk").alias("src_ip"), F.max_by("dst_ip", "rk").alias("dst_ip"),
-                  F.max_by("pp", "rk").alias("pp")))
+                  F.max_by("pp", "rk").alias("pp"), F.max_by("bytes", "rk").alias("fb")))
     cells = (subs.groupBy(*WINDOW_COLS, "cell")
                  .agg(F.sum("sub_bytes").alias("bytes"), F.max("sub_bytes").alias("est"), F.max("rk").alias("rk"),
                       F.max_by("src_ip", "rk").alias("src_ip"), F.max_by("dst_ip", "rk").alias("dst_ip"),
-                      F.max_by("pp", "rk").alias("pp")))
+                      F.max_by("pp", "rk").alias("pp"), F.max_by("fb", "rk").alias("fb")))
     return cells.select(
         *WINDOW_COLS, "cell",
         (F.col("cell") / F.lit(dim)).cast("int").alias("src_bin"), (F.col("cell") % dim).cast("int").alias("dst_bin"),
@@ -68,7 +68,7 @@ def cells_of(binned_flows: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
         F.coalesce(F.col("dst_ip"), F.lit(0).cast("bigint")).alias("dst_ip"),
         F.coalesce(K.sport_of(F.col("pp")), F.lit(0)).alias("sport"),
         F.coalesce(K.dport_of(F.col("pp")), F.lit(0)).alias("dport"),
-        K.heavy_weight(F.col("rk")).alias("flow_bytes"),
+        F.col("fb").cast("bigint").alias("flow_bytes"),
     )
 
 
