@@ -147,12 +147,20 @@ def vote_hitters(binned: DataFrame, max_cell_rows: int = DEFAULT_MAX_CELL_ROWS)
     Output ``window, cell, src_ip, dst_ip, sport, dport, count``; cells whose
     final candidate has source 0 (the "empty" encoding) are dropped. The ports
     are those of the packet that installed the candidate.
+
+    Cells with more than ``max_cell_rows`` packets never become one array: their
+    keys (at most rows / max_cell_rows of them -- a proven bound) are collected
+    once and those cells go through the constant-memory sorted stream.
     """
     cols = [*WINDOW_COLS, "cell", *ORDER_COLS]
     b = binned.select(*cols)
+    if max_cell_rows <= 0:  # every cell through the stream fold
+        return _vote_large(b).where(F.col("src_ip") != 0)
     sizes = b.groupBy(*WINDOW_COLS, "cell").agg(F.count(F.lit(1)).alias("n"))
-    # at most rows / max_cell_rows entries: a proven bound, so broadcasting is safe
-    hot = F.broadcast(sizes.where(F.col("n") > max_cell_rows).drop("n"))
+    hot_rows = sizes.where(F.col("n") > max_cell_rows).drop("n").collect()
+    if not hot_rows:
+        return _vote_small(b).where(F.col("src_ip") != 0)
+    hot = F.broadcast(b.sparkSession.createDataFrame(hot_rows, sizes.drop("n").schema))
     small = _vote_small(b.join(hot, [*WINDOW_COLS, "cell"], "left_anti"))
     large = _vote_large(b.join(hot, [*WINDOW_COLS, "cell"], "left_semi"))
     return small.unionByName(large).where(F.col("src_ip") != 0)
@@ -214,13 +222,26 @@ def vote_merged(binned: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E8
 def verify_majority(binned: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Flag candidates that truly hold more than half of their cell."""
-    flows = binned.groupBy(*WINDOW_COLS, "cell", "src_ip", "dst_ip").agg(F.sum("w").alias("flow_bytes"))
-    cells = binned.groupBy(*WINDOW_COLS, "cell").agg(F.sum("w").alias("cell_bytes"))
-    c = candidates.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip")
-    return (c.join(flows, [*WINDOW_COLS, "cell", "src_ip", "dst_ip"], "left")
-             .join(cells, [*WINDOW_COLS, "cell"], "left")
-             .withColumn("is_majority", F.coalesce(F.col("flow_bytes"), F.lit(0)) * 2 > F.col("cell_bytes")))
+    """Flag candidates that truly hold more than half of their cell.
+
+    No join: candidates enter the packet stream as zero-weight marker rows, one
+    aggregation by (window, cell, src, dst) gives every flow's weight and marks
+    the candidate's flow, a second by (window, cell) gives the cell total. Both
+    combine map-side, so a hot cell costs one row per task.
+    """
+    pk = binned.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", F.col("w").cast("bigint").alias("w"),
+                       F.lit(0).alias("is_cand"))
+    cd = candidates.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", F.lit(0).cast("bigint").alias("w"),
+                           F.lit(1).alias("is_cand"))
+    flows = (pk.unionByName(cd).groupBy(*WINDOW_COLS, "cell", "src_ip", "dst_ip")
+               .agg(F.sum("w").alias("flow_bytes"), F.max("is_cand").alias("is_cand")))
+    cells = (flows.groupBy(*WINDOW_COLS, "cell")
+                  .agg(F.max("is_cand").alias("has"), F.sum("flow_bytes").alias("cell_bytes"),
+                       F.max_by("src_ip", "is_cand").alias("src_ip"), F.max_by("dst_ip", "is_cand").alias("dst_ip"),
+                       F.max(F.when(F.col("is_cand") == 1, F.col("flow_bytes"))).alias("flow_bytes")))
+    return (cells.where(F.col("has") == 1)
+                 .select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", "flow_bytes", "cell_bytes",
+                         (F.col("flow_bytes") * 2 > F.col("cell_bytes")).alias("is_majority")))
 
 
 def majority_fraction(flagged: DataFrame) -> DataFrame:
