@@ -31,8 +31,9 @@ def main() -> None:
 
     spark = get_session(f"local[{cpus}]", app="trafficbrick-bench", shuffle_partitions=max(8, cpus),
                         extra={"spark.driver.memory": "16g"})
-    times = {}
-    for name in HEADLINE:
+    names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    times, samples_all = {}, {}
+    for name in names:
         samples = []
         for i in range(runs + 1):
             t0 = time.perf_counter()
@@ -41,8 +42,9 @@ def main() -> None:
             if i:
                 samples.append(dt)
         times[name] = round(statistics.median(samples), 3)
+        samples_all[name] = [round(x, 2) for x in samples]
     packets = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet")).count()
-    e2e = times["dense_brick"]
+    e2e = times.get("dense_brick")
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_total_sec",
@@ -54,6 +56,7 @@ def main() -> None:
         "packets": packets,
         "summary_packets_per_sec": round(packets / e2e, 1) if e2e else None,
         "spark": spark.version,
+        "samples": samples_all,
     }
     spark.stop()
     print(json.dumps(out))

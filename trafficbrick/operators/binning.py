@@ -9,6 +9,8 @@ plan bins *flows* after the first aggregation, not raw packets.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,22 @@ def _portable(df: DataFrame, addr: str, out: str) -> DataFrame:
     return df.withColumn(out, hash17(addr))
 
 
-def _parity(df: DataFrame, addr: str, out: str, tables: DataFrame) -> DataFrame:
-    a = F.col(addr).cast("bigint")
-    lo, hi = a.bitwiseAND(65535), F.shiftright(a, 16)
-    t1 = F.broadcast(tables.select(F.col("idx").alias("_i1"), F.col("t1").alias("_t1")).where("_t1 >= 0"))
-    t2 = F.broadcast(tables.select(F.col("idx").alias("_i2"), F.col("t2").alias("_t2")).where("_t2 >= 0"))
-    t3 = F.broadcast(tables.select(F.col("idx").alias("_i3"), F.col("t3").alias("_t3")))
-    d = (df.withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int"))
-           .withColumn("_mx", (lo + hi).bitwiseAND(R17).cast("int")))
-    d = (d.join(t1, F.col("_lo") == F.col("_i1"), "left")
-          .join(t2, F.col("_hi") == F.col("_i2"), "left")
-          .join(t3, F.col("_mx") == F.col("_i3"), "left"))
-    d = d.withColumn(out, F.col("_t1").bitwiseXOR(F.col("_t2")).bitwiseXOR(F.col("_t3")).cast("bigint"))
-    return d.drop("_lo", "_hi", "_mx", "_i1", "_i2", "_i3", "_t1", "_t2", "_t3")
+def _parity_lookup(parity: ParityTables):
+    """Vectorised seeded-table hash + bin (numpy gather over Arrow batches).
+
+    The tables are fixed-size (1.5 MB as int32), shipped once with the
+    function; no join and no per-row Python."""
+    t1, t2, t3 = (parity.t1.astype(np.int32), parity.t2.astype(np.int32), parity.t3.astype(np.int32))
+    bm = parity.bin_map.astype(np.int32)
+
+    @F.pandas_udf("h bigint, b int")
+    def lookup(ip: pd.Series) -> pd.DataFrame:
+        a = ip.to_numpy(dtype=np.int64)
+        lo, hi = a & 65535, a >> 16
+        h = t1[lo] ^ t2[hi] ^ t3[(lo + hi) & R17]
+        return pd.DataFrame({"h": h.astype(np.int64), "b": bm[h]})
+
+    return lookup
 
 
 def _strata_bin(df: DataFrame, addr: str, out: str, strata: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _strata_bin(df: DataFrame, addr: str, out: str, strata: DataFrame) -> DataFr
 
 
 def assign_bins(df: DataFrame, strata: DataFrame | None = None, reserved: int = 1, *,
-                parity: ParityTables | None = None, tables_df: DataFrame | None = None,
+                parity: ParityTables | None = None,
                 dim: int = BRICK_DIM, src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
     """Add hash, bin, cell and sub-bucket columns for ``src``/``dst``.
 
@@ -53,16 +58,10 @@ def assign_bins(df: DataFrame, strata: DataFrame | None = None, reserved: int =
     (their ``reserved`` is fixed when they are drawn).
     """
     if parity is not None:
-        tables = tables_df if tables_df is not None else parity.tables_df(df.sparkSession)
-        d = _parity(df, src, "src_hash", tables)
-        d = _parity(d, dst, "dst_hash", tables)
-        bm = tables.select(F.col("idx").cast("bigint").alias("_hb"), F.col("bin").alias("_bin"))
-        d = (d.join(F.broadcast(bm.withColumnRenamed("_hb", "_hs").withColumnRenamed("_bin", "_src_hbin")),
-                    F.col("src_hash") == F.col("_hs"), "left")
-              .join(F.broadcast(bm.withColumnRenamed("_hb", "_hd").withColumnRenamed("_bin", "_dst_hbin")),
-                    F.col("dst_hash") == F.col("_hd"), "left")
-              .drop("_hs", "_hd"))
-        src_h, dst_h = F.col("_src_hbin"), F.col("_dst_hbin")
+        lookup = _parity_lookup(parity)
+        d = df.withColumn("_ps", lookup(F.col(src).cast("bigint"))).withColumn("_pd", lookup(F.col(dst).cast("bigint")))
+        d = d.withColumn("src_hash", F.col("_ps.h")).withColumn("dst_hash", F.col("_pd.h"))
+        src_h, dst_h = F.col("_ps.b"), F.col("_pd.b")
     else:
         d = _portable(_portable(df, src, "src_hash"), dst, "dst_hash")
         src_h, dst_h = hash_bin("src_hash", reserved, dim), hash_bin("dst_hash", reserved, dim)
@@ -77,7 +76,7 @@ def assign_bins(df: DataFrame, strata: DataFrame | None = None, reserved: int =
           .withColumn("dst_bin", dst_bin.cast("int")))
     d = d.withColumn("cell", with_cell_expr("src_bin", "dst_bin", dim)) \
          .withColumn("sub", sub_bucket("src_hash"))
-    return d.drop(*[c for c in ("_src_sbin", "_dst_sbin", "_src_hbin", "_dst_hbin") if c in d.columns])
+    return d.drop(*[c for c in ("_src_sbin", "_dst_sbin", "_ps", "_pd") if c in d.columns])
 
 
 def with_cell_expr(src_bin, dst_bin, dim: int = BRICK_DIM) -> Column:

@@ -439,3 +439,23 @@ def q_stream_captures(spark, sf):
 
 
 QUERIES.update({"stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures})
+
+
+# ------------------------------------------------------------------ D1/D2 seeded tables at scale
+from ..functions.parity import parity_tables  # noqa: E402
+
+PARITY_SEED = 134
+
+
+def q_brick_parity(spark, sf):
+    """The brick with the seeded table hash and pinned strata (bins as a native
+    monitor seeded the same way would draw them)."""
+    lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
+    reserved = reserved_bins(lines)
+    p = summary.binned_packets(_packets(spark, sf), WINDOW, strata_from_lines(lines), reserved,
+                               parity=parity_tables(PARITY_SEED, reserved))
+    return summary.brick(p).select(*summary.WINDOW_COLS, "src_bin", "dst_bin", "cell",
+                                   F.col("bytes").cast("bigint").alias("bytes"))
+
+
+QUERIES["brick_parity"] = q_brick_parity
