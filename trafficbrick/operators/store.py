@@ -33,9 +33,18 @@ def document_bytes(bricks: DataFrame) -> DataFrame:
     return bricks.withColumn("size_bytes", (F.size("data") * 8 + text).cast("bigint"))
 
 
-def retain_bricks(bricks: DataFrame, max_bytes: int, bucket: str = "month") -> DataFrame:
-    """Capped store (A9): keep the newest documents whose cumulative size fits in ``max_bytes``."""
-    sized = document_bytes(bricks)
-    cum = running_sums(sized, [], ["ts"], ["size_bytes"], F.date_trunc(bucket, F.col("ts")), descending=True,
+def retain_bricks(bricks: DataFrame, max_bytes: int, bucket: str = "day") -> DataFrame:
+    """Capped store (A9): keep the newest documents whose cumulative size fits in ``max_bytes``.
+
+    The running size is computed on a slim ``(ts, size)`` projection (bucketed
+    parallel scan, no single-task window); the only value that reaches the
+    driver is the cut-off time, and the documents themselves are just filtered
+    by ``ts >= cutoff`` -- a predicate that prunes stored date partitions.
+    """
+    slim = document_bytes(bricks).select("ts", "size_bytes")
+    cum = running_sums(slim, [], ["ts"], ["size_bytes"], F.date_trunc(bucket, F.col("ts")), descending=True,
                        suffix="_newer")
-    return cum.where(F.col("size_bytes_newer") <= max_bytes).drop("size_bytes_newer")
+    cutoff = cum.where(F.col("size_bytes_newer") <= max_bytes).agg(F.min("ts")).first()[0]
+    if cutoff is None:
+        return document_bytes(bricks).limit(0)
+    return document_bytes(bricks).where(F.col("ts") >= F.to_timestamp_ntz(F.lit(cutoff.isoformat(sep=" "))))

@@ -112,7 +112,8 @@ def read_captures(spark: SparkSession, path: str, device: str = "pcap", batch_ro
             for p in b["path"]:
                 yield from _read_file(p, device, batch_rows)
 
-    return files.repartition(n, "path").mapInPandas(parse, FRAMES)
+    # range partitioning on the (distinct) paths: one file per task
+    return files.repartitionByRange(n, "path").mapInPandas(parse, FRAMES)
 
 
 def stream_captures(spark: SparkSession, path: str, device: str = "pcap", batch_rows: int = 65536,
