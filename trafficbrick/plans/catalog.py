@@ -51,7 +51,7 @@ def q_cell_estimate(spark, sf):
 
 
 def q_dominant_flow(spark, sf):
-    d = hitters.dominant_flow(_binned(spark, sf))
+    d = plan.dominant_flows(_packets(spark, sf), WINDOW)
     return d.select(*summary.WINDOW_COLS, "cell", "src_ip", "dst_ip", "sport", "dport",
                     F.col("flow_bytes").cast("bigint").alias("flow_bytes"),
                     F.col("cell_bytes").cast("bigint").alias("cell_bytes"))

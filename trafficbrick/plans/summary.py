@@ -82,3 +82,16 @@ def window_summary(packets: DataFrame, duration: str = "3 seconds", strata: Data
     unit = "bytes" if weight == "bytes" else "packets"
     return WindowSummary(flows, cells, top, hitter_report(top, unit),
                          dense_brick(cells, dim))
+
+
+def dominant_flows(packets: DataFrame, duration: str = "3 seconds", strata: DataFrame | None = None,
+                   reserved: int = 1, weight: str = "bytes", dim: int = BRICK_DIM, **bin_kw) -> DataFrame:
+    """Exact heaviest flow per cell (E6) from raw packets, flows-first.
+
+    Packets combine map-side into flows, only the flows are binned, and one
+    more hash aggregation picks each cell's heaviest flow. Source 0 never
+    names a flow and is not part of the cell total here.
+    """
+    from ..operators.hitters import pick_dominant
+    f = flows_of(packets, duration, weight).where(F.col("src_ip") != 0)
+    return pick_dominant(assign_bins(f, strata, reserved, dim=dim, **bin_kw))
