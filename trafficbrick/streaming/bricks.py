@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import keys as K
+from .timecols import instant_to_wallclock, wallclock_to_instant
 from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
 from ..operators.hitters import hitter_report
@@ -29,9 +30,9 @@ from ..operators.summary import WINDOW_COLS, dense_brick
 
 def streaming_flows(packets: DataFrame, duration: str, watermark: str, weight: str = "bytes") -> DataFrame:
     """Windowed flow aggregation over a streaming (or batch) packet DataFrame."""
-    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ event time is read in the session time zone
+    # watermarks need TIMESTAMP: the wall-clock event time is read as UTC
     p = (with_weight(ipv4_only(packets), weight)
-         .withColumn("ts", F.col("ts").cast("timestamp"))
+         .withColumn("ts", wallclock_to_instant(F.col("ts")))
          .withWatermark("ts", watermark)
          .withColumn("window", F.window("ts", duration)))
     first = K.first_packet_key(F.col("ts"), F.col("window.start"), F.col("seq"))
@@ -43,8 +44,8 @@ def streaming_flows(packets: DataFrame, duration: str, watermark: str, weight: s
 def summarize_closed(flows: DataFrame, strata: DataFrame | None = None, reserved: int = 1, k: int = 20,
                      unit: str = "bytes"):
     """Batch roll-ups of closed-window flows -> (cells, top, report, documents)."""
-    f = flows.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+    f = flows.select(instant_to_wallclock(F.col("window.start")).alias("window_start"),
+                     instant_to_wallclock(F.col("window.end")).alias("window_end"),
                      "src_ip", "dst_ip", "bytes", "packets", "pp")
     cells = cells_of(assign_bins(f, strata, reserved))
     hitters = cells.where(F.col("src_ip") != 0)

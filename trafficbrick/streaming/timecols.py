@@ -1,0 +1,24 @@
+"""Zone-independent conversions between wall-clock and instant timestamps.
+
+Watermarks need ``TIMESTAMP`` (an instant) while packet tables carry
+``TIMESTAMP_NTZ`` (wall clock). A plain cast would go through the session time
+zone (DST gaps, offset windows); these read the wall clock as UTC
+microseconds and back, so stream windows line up with batch windows under any
+session time zone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def wallclock_to_instant(c: Column) -> Column:
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), c)
+    return F.timestamp_micros(micros)
+
+
+def instant_to_wallclock(c: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
+from .timecols import instant_to_wallclock, wallclock_to_instant
 
 STATE_SCHEMA = T.StructType([
     T.StructField("end_ms", T.LongType()),
@@ -85,11 +86,11 @@ def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds",
                 reserved: int = 1) -> DataFrame:
     """Streaming DataFrame of final vote candidates per (window, cell), emitted
     when the watermark passes the window end (use ``append`` output mode)."""
-    p = (with_weight(ipv4_only(packets), "bytes").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = (with_weight(ipv4_only(packets), "bytes").withColumn("ts", wallclock_to_instant(F.col("ts")))
          .withWatermark("ts", watermark))
     p = p.withColumn("_w", F.window("ts", duration))
-    p = (p.withColumn("window_start", F.col("_w.start").cast("timestamp_ntz"))
-          .withColumn("window_end", F.col("_w.end").cast("timestamp_ntz")).drop("_w"))
+    p = (p.withColumn("window_start", instant_to_wallclock(F.col("_w.start")))
+          .withColumn("window_end", instant_to_wallclock(F.col("_w.end"))).drop("_w"))
     b = assign_bins(p, strata, reserved).select("window_start", "window_end", "src_bin", "cell", *ORDER)
     return b.groupBy("window_start", "window_end", "src_bin").applyInPandasWithState(
         _fold, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
