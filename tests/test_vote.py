@@ -23,8 +23,8 @@ def _cell_rows(spark, trace, cell=5):
 
 def test_worked_vote_both_paths(spark):
     df = _cell_rows(spark, TRACE)
-    for limit in (10, 0):  # JVM fold and constant-memory stream fold
-        r = hitters.vote_hitters(df, max_cell_rows=limit).collect()
+    for method, limit in (("array", 10), ("array", 3), ("stream", 0)):  # JVM fold, hot-cell route, stream fold
+        r = hitters.vote_hitters(df, method=method, max_cell_rows=limit).collect()
         assert len(r) == 1
         assert (r[0].src_ip, r[0].dst_ip, r[0]["count"], r[0].sport) == (12, 20, 36, 1005)
 

@@ -6,9 +6,10 @@ Three ways to name a cell's heavy flow:
   cell. Two declarative aggregations, both partially aggregated; order-free.
 * ``vote_hitters`` (E4) -- the weighted Boyer-Moore vote in packet order, for
   parity with a sequential monitor. The vote is a fold over an ordered
-  sequence, so a cell is processed by one task. Cells up to ``max_cell_rows``
-  packets are folded JVM-side (sorted array + ``aggregate``); larger cells are
-  streamed through a sorted partition with constant memory.
+  sequence, so a cell is processed by one task: by default packets are sorted
+  within cell partitions and streamed through the fold in constant memory;
+  a JVM array fold (sorted array + ``aggregate``) is available for cells below
+  a size bound.
 * ``vote_merged`` (E5) -- the mergeable form: per-batch partial votes
   (``mapInPandas``) merged by built-in aggregates. Any flow holding more than
   half of its cell's weight is returned; no group is ever gathered.
@@ -141,21 +142,27 @@ def _vote_large(binned: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_stream_fold, _VOTE_OUT)
 
 
-def vote_hitters(binned: DataFrame, max_cell_rows: int = DEFAULT_MAX_CELL_ROWS) -> DataFrame:
+def vote_hitters(binned: DataFrame, method: str = "stream", max_cell_rows: int = DEFAULT_MAX_CELL_ROWS) -> DataFrame:
     """Weighted majority vote per cell in packet order.
 
     Output ``window, cell, src_ip, dst_ip, sport, dport, count``; cells whose
     final candidate has source 0 (the "empty" encoding) are dropped. The ports
     are those of the packet that installed the candidate.
 
-    Cells with more than ``max_cell_rows`` packets never become one array: their
-    keys (at most rows / max_cell_rows of them -- a proven bound) are collected
-    once and those cells go through the constant-memory sorted stream.
+    ``method="stream"`` (default): packets are hash-partitioned by cell, sorted
+    within partitions, and folded batch by batch with the state carried across
+    batches -- constant memory whatever the cell size, and no pre-pass.
+    ``method="array"``: cells are folded JVM-side over a sorted array; cells
+    above ``max_cell_rows`` packets never become one array -- their keys (at
+    most rows / max_cell_rows of them, a proven bound) are collected once and
+    those cells take the stream path.
     """
     cols = [*WINDOW_COLS, "cell", *ORDER_COLS]
     b = binned.select(*cols)
-    if max_cell_rows <= 0:  # every cell through the stream fold
+    if method == "stream" or max_cell_rows <= 0:
         return _vote_large(b).where(F.col("src_ip") != 0)
+    if method != "array":
+        raise ValueError("method must be 'stream' or 'array'")
     sizes = b.groupBy(*WINDOW_COLS, "cell").agg(F.count(F.lit(1)).alias("n"))
     hot_rows = sizes.where(F.col("n") > max_cell_rows).drop("n").collect()
     if not hot_rows:

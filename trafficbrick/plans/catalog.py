@@ -62,8 +62,13 @@ def q_vote_hitters(spark, sf):
 
 
 def q_vote_hitters_streamed(spark, sf):
-    # every cell through the constant-memory sorted stream (the hot-cell path)
-    return hitters.vote_hitters(_binned(spark, sf), max_cell_rows=0)
+    # every cell through the constant-memory sorted stream
+    return hitters.vote_hitters(_binned(spark, sf), method="stream")
+
+
+def q_vote_hitters_array(spark, sf):
+    # JVM array fold for cells under the size bound, stream fold above it
+    return hitters.vote_hitters(_binned(spark, sf), method="array")
 
 
 def q_vote_merged_majority(spark, sf):
@@ -204,6 +209,7 @@ QUERIES = {
     "dominant_flow": q_dominant_flow,
     "vote_hitters": q_vote_hitters,
     "vote_hitters_streamed": q_vote_hitters_streamed,
+    "vote_hitters_array": q_vote_hitters_array,
     "vote_merged_majority": q_vote_merged_majority,
     "majority_fraction": q_majority_fraction,
     "active_cells": q_active_cells,

@@ -164,6 +164,7 @@ FROM ranked r JOIN (SELECT window_start, cell, CAST(sum(w) AS BIGINT) AS cell_by
 WHERE r.rn = 1""",
     "vote_hitters": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
     "vote_hitters_streamed": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
+    "vote_hitters_array": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
     "vote_merged_majority": with_(PACKETS, windowed(), BINNED, FLOWS) + """
 SELECT r.window_start, r.window_end, r.cell, r.src_ip, r.dst_ip
 FROM ranked r JOIN cells c ON r.window_start = c.window_start AND r.cell = c.cell
