@@ -33,6 +33,7 @@ LINKTYPE_ETHERNET = 1
 GLOBAL_HEADER = 24
 RECORD_HEADER = 16
 EPOCH = dt.datetime(1970, 1, 1)
+READ_BUFFER = 8 << 20
 
 
 def _open(path: str):
@@ -47,7 +48,7 @@ def _open(path: str):
 
 def _read_file(path: str, device: str, batch_rows: int) -> Iterator[pd.DataFrame]:
     fs, p = _open(path)
-    with fs.open_input_stream(p) as f:
+    with fs.open_input_stream(p, buffer_size=READ_BUFFER) as f:
         head = f.read(GLOBAL_HEADER)
         if len(head) < GLOBAL_HEADER:
             return
