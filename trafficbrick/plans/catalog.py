@@ -465,3 +465,19 @@ def q_brick_parity(spark, sf):
 
 
 QUERIES["brick_parity"] = q_brick_parity
+
+
+# ------------------------------------------------------------------ offline job (captures -> stored summaries)
+from . import offline  # noqa: E402
+
+
+def q_offline_summary(spark, sf):
+    """pcap files written from the packets -> the offline job -> stored top-20 report."""
+    path = scratch_path(spark, "offline-captures")
+    captures.write_captures(derived.frames_from_packets(_packets(spark, sf)), path, CAPTURE_FILES) \
+        .write.format("noop").mode("overwrite").save()
+    out = offline.summarize_captures(spark, path, scratch_path(spark, "offline-out"), duration=WINDOW)
+    return spark.read.parquet(out["top"]).select(*summary.WINDOW_COLS, "rank", "cell", "src_ip", "dst_ip", "est")
+
+
+QUERIES["offline_summary"] = q_offline_summary

@@ -386,3 +386,6 @@ SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est, src_ip, dst
 SQL["stream_vote"] = with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted"
 SQL["stream_captures"] = _PLAIN_CELLS + """
 SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est FROM summary_cells"""
+
+SQL["offline_summary"] = _PLAIN_CELLS + """
+SELECT window_start, window_end, rank, cell, src_ip, dst_ip, est FROM top"""
