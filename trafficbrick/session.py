@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every job in the library relies on. They are applied only when the
-# caller has not set them already, so a cluster's own tuning always wins.
+# Settings for sessions this library creates. An already running session (a
+# cluster's, or the caller's) is returned untouched, so its own tuning wins.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -28,6 +28,9 @@ def get_session(master: str | None = None, app: str = "trafficbrick", shuffle_pa
 
     ``master`` is only set when given (cluster launches supply their own).
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
