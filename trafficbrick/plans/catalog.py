@@ -396,6 +396,10 @@ QUERIES["read_captures"] = q_read_captures
 from ..streaming import bricks as sbricks, fixtures as sfix, vote as svote  # noqa: E402
 
 
+def _state_partitions(spark):
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def _stream_source(spark, sf):
     path = scratch_path(spark, "packet-stream")
     sfix.write_packet_stream(_packets(spark, sf), path)
@@ -407,7 +411,7 @@ def q_stream_bricks(spark, sf):
     src = _stream_source(spark, sf)
     out = scratch_path(spark, "stream-bricks")
     q = sbricks.stream_bricks(sfix.read_packet_stream(spark, src), out, scratch_path(spark, "stream-bricks-ckpt"),
-                              duration=WINDOW, watermark="0 seconds")
+                              duration=WINDOW, watermark="0 seconds", state_partitions=_state_partitions(spark))
     q.awaitTermination()
     c = sbricks.read_stream_output(spark, out, "cells")
     return c.select(*summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est", "src_ip", "dst_ip",
@@ -418,10 +422,11 @@ def q_stream_vote(spark, sf):
     """Ordered vote with per-cell state in the state store, emitted on window close."""
     src = _stream_source(spark, sf)
     out = scratch_path(spark, "stream-vote")
-    q = (svote.stream_vote(sfix.read_packet_stream(spark, src), WINDOW)
+    w = (svote.stream_vote(sfix.read_packet_stream(spark, src), WINDOW)
          .writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "stream-vote-ckpt"))
-         .trigger(availableNow=True).start())
+         .trigger(availableNow=True))
+    q = sbricks.start_with_partitions(spark, w, _state_partitions(spark))
     q.awaitTermination()
     return spark.read.parquet(out)
 
@@ -438,7 +443,7 @@ def q_stream_captures(spark, sf):
     packets = decode.decode_frames(captures.stream_captures(spark, path))
     out = scratch_path(spark, "stream-captures-out")
     q = sbricks.stream_bricks(packets, out, scratch_path(spark, "stream-captures-ckpt"), duration=WINDOW,
-                              watermark="0 seconds")
+                              watermark="0 seconds", state_partitions=_state_partitions(spark))
     q.awaitTermination()
     return sbricks.read_stream_output(spark, out, "cells").select(
         *summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est")

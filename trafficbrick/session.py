@@ -81,3 +81,30 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trafficbrick`` importable in the Python workers (as ``--py-files`` would).
+
+    The operators that run pandas code inside tasks are pickled by module
+    reference; when the package is not installed on the executors, a zip of
+    its sources is added to the context once.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_trafficbrick_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="trafficbrick-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._trafficbrick_shipped = True

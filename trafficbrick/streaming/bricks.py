@@ -56,7 +56,7 @@ def summarize_closed(flows: DataFrame, strata: DataFrame | None = None, reserved
 def stream_bricks(packets: DataFrame, output_path: str, checkpoint: str, duration: str = "3 seconds",
                   watermark: str = "0 seconds", strata: DataFrame | None = None, reserved: int = 1,
                   weight: str = "bytes", k: int = 20, trigger: dict | None = None,
-                  sink: Callable | None = None):
+                  sink: Callable | None = None, state_partitions: int | None = None):
     """Start the live pipeline; returns the ``StreamingQuery``.
 
     Default sink: ``<output_path>/{cells,top,report,documents}/batch_id=<n>``
@@ -85,7 +85,23 @@ def stream_bricks(packets: DataFrame, output_path: str, checkpoint: str, duratio
     w = (flows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(write_batch))
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    return start_with_partitions(packets.sparkSession, w, state_partitions)
+
+
+def start_with_partitions(spark, writer, state_partitions: int | None):
+    """Start ``writer``; with ``state_partitions``, the query's state (and its
+    per-batch shuffles) use that many partitions. The count is pinned in the
+    query checkpoint on first start; the caller's session setting is restored
+    right after (the running query keeps its own cloned session)."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
 
 
 def read_stream_output(spark, output_path: str, name: str) -> DataFrame:
