@@ -107,25 +107,24 @@ def _stream_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     s = d = sp = dp = n = 0
     out = []
     for b in batches:
-        ws, we, cell = b["window_start"].to_numpy(), b["window_end"].to_numpy(), b["cell"].to_numpy()
-        src, dst, w = b["src_ip"].to_numpy(), b["dst_ip"].to_numpy(), b["w"].to_numpy()
-        spt, dpt = b["sport"].to_numpy(), b["dport"].to_numpy()
-        for i in range(len(b)):
-            k = (ws[i], cell[i])
+        ws, we = b["window_start"].tolist(), b["window_end"].tolist()
+        cols = zip(ws, we, b["cell"].tolist(), b["src_ip"].tolist(), b["dst_ip"].tolist(), b["w"].tolist(),
+                   b["sport"].tolist(), b["dport"].tolist())
+        for wsi, wei, ci, si, di, wi, spi, dpi in cols:
+            k = (wsi, ci)
             if k != key:
                 if key is not None:
                     out.append((key[0], kend, key[1], s, d, sp, dp, n))
-                key, kend = k, we[i]
+                key, kend = k, wei
                 s = d = sp = dp = n = 0
-            wi = int(w[i])
             if s == 0:
-                s, d, sp, dp, n = int(src[i]), int(dst[i]), int(spt[i]), int(dpt[i]), wi
-            elif s == src[i] and d == dst[i]:
+                s, d, sp, dp, n = si, di, spi, dpi, wi
+            elif s == si and d == di:
                 n += wi
             else:
                 n -= wi
                 if n < 0:
-                    s, d, sp, dp, n = int(src[i]), int(dst[i]), int(spt[i]), int(dpt[i]), -n
+                    s, d, sp, dp, n = si, di, spi, dpi, -n
         if len(out) >= 10_000:
             yield pd.DataFrame(out, columns=_VOTE_OUT.fieldNames())
             out = []

@@ -59,20 +59,19 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     # this batch's rows of the key (bounded by the micro-batch size), in vote order
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["cell", *ORDER], kind="stable")
     cur_cell, v = None, None
-    for cell, src, dst, w, spt, dpt in zip(pdf["cell"].to_numpy(), pdf["src_ip"].to_numpy(), pdf["dst_ip"].to_numpy(),
-                                           pdf["w"].to_numpy(), pdf["sport"].to_numpy(), pdf["dport"].to_numpy()):
+    for cell, src, dst, w, spt, dpt in zip(pdf["cell"].tolist(), pdf["src_ip"].tolist(), pdf["dst_ip"].tolist(),
+                                           pdf["w"].tolist(), pdf["sport"].tolist(), pdf["dport"].tolist()):
         if cell != cur_cell:
-            cur_cell = int(cell)
+            cur_cell = cell
             v = votes.setdefault(cur_cell, [0, 0, 0, 0, 0])
-        w = int(w)
         if v[0] == 0:
-            v[0], v[1], v[2], v[3], v[4] = int(src), int(dst), int(spt), int(dpt), w
+            v[0], v[1], v[2], v[3], v[4] = src, dst, spt, dpt, w
         elif v[0] == src and v[1] == dst:
             v[4] += w
         else:
             left = v[4] - w
             if left < 0:
-                v[0], v[1], v[2], v[3], v[4] = int(src), int(dst), int(spt), int(dpt), -left
+                v[0], v[1], v[2], v[3], v[4] = src, dst, spt, dpt, -left
             else:
                 v[4] = left
     cells = sorted(votes)
