@@ -12,8 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import BRICK_DIM, R17
@@ -60,19 +58,6 @@ class ParityTables:
         lo, hi = ip & 65535, ip >> 16
         return self.t1[lo] ^ self.t2[hi] ^ self.t3[(lo + hi) & R17]
 
-    def tables_df(self, spark: SparkSession) -> DataFrame:
-        """``(idx, t1, t2, t3, bin)`` -- 131,072 rows; t1/t2 are -1 above 65,535."""
-        n = len(self.t3)
-        pad = np.full(n - len(self.t1), -1, dtype=np.int64)
-        pdf = pd.DataFrame({
-            "idx": np.arange(n, dtype=np.int32),
-            "t1": np.concatenate([self.t1.astype(np.int64), pad]),
-            "t2": np.concatenate([self.t2.astype(np.int64), pad]),
-            "t3": self.t3.astype(np.int64),
-            "bin": self.bin_map.astype(np.int32),
-        })
-        return spark.createDataFrame(pdf, "idx int, t1 bigint, t2 bigint, t3 bigint, bin int")
-
 
 def parity_tables(seed: int, reserved: int, dim: int = BRICK_DIM) -> ParityTables:
     """Draw the tables in the native order: T1[i], T2[i], T3[i], T3[i+65536] for

@@ -49,8 +49,3 @@ def heavy_key(weight: Column, src: Column, dst: Column) -> Column:
     """Larger = heavier; ties go to the smaller (src, dst). Unique per flow."""
     pair = src.cast(DEC) * dlit(TWO32) + dst.cast(DEC)
     return (weight.cast(DEC) * dlit(TWO64) + (dlit(TWO64 - 1) - pair)).cast(DEC)
-
-
-def heavy_weight(key: Column) -> Column:
-    """The weight packed in ``key`` (exact: the remainder is removed before dividing)."""
-    return ((key - F.pmod(key, dlit(TWO64))) / dlit(TWO64)).cast("bigint")
