@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .packing import op9_best_fit_packing
+from .quality import op8_quality_rules
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op3_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 # DuckDB SQL of the queries that SQL can express

@@ -92,6 +92,22 @@ def run_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(h)
 
 
+def run_sums(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of place-weighted code points of all runs, and where each run begins in them.
+
+    ``sums[place + k] - sums[place]`` tells the first ``k`` characters of a run.
+    """
+    lens = end - start
+    at = np.cumsum(lens) - lens
+    pos = np.arange(lens.sum()) - np.repeat(at, lens)
+    body = points[pos + np.repeat(start, lens)].astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(body) + 1, dtype=np.uint64)
+    # places beyond the table weigh by another rule, so that long runs differ as well
+    far = pos >= _LONG
+    np.cumsum(body * np.where(far, mix(pos.astype(np.uint64)) | np.uint64(1), _POW[np.minimum(pos, _LONG - 1)]), out=sums[1:])
+    return sums, at
+
+
 def pretokens(part: Part, special: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the byte-level pretokens of a part, and which of them are ``special``.
 
