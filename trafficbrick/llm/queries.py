@@ -2,19 +2,73 @@
 
 from __future__ import annotations
 
+from .fingerprints import op7_fingerprints
+from .jaccard_join import op6_jaccard_join
 from .packing import op9_best_fit_packing
+from .pieces import op4_sentencepiece_nbest
 from .quality import op8_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op3_token_counts
+from .topk_search import op5_topk_search
 from .toxicity import op2_toxicity
+from .warc import op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
+    "op5_topk_search": op5_topk_search,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 
 # DuckDB SQL of the queries that SQL can express
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # one row per word of every text; a window is the list of 50 words from a word on
+    "op1_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM places),
+least AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN least USING (h) WHERE doc_id > first),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)""",
+    "op5_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    # base32 from the digest's bits, five at a time
+    "op10_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS k FROM pages),
+bits AS (
+  SELECT page_id, array_to_string(list_transform(range(1, 41), lambda i:
+           lpad(bin(instr('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), '') AS b FROM p),
+codes AS (
+  SELECT page_id, array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
+             CAST(substr(b, i * 5 + j + 1, 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest
+  FROM bits),
+f AS (SELECT k, min(page_id) AS first FROM p GROUP BY k)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN p.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (k) JOIN codes USING (page_id)""",
+}
