@@ -21,12 +21,28 @@ def _cell_rows(spark, trace, cell=5):
                                        "sport int, dport int")
 
 
-def test_worked_vote_both_paths(spark):
+def test_worked_vote(spark):
+    r = hitters.vote_hitters(_cell_rows(spark, TRACE)).collect()
+    assert len(r) == 1
+    assert (r[0].src_ip, r[0].dst_ip, r[0]["count"], r[0].sport) == (12, 20, 36, 1005)
+
+
+def test_native_pipeline_on_the_worked_trace(spark):
+    """The candidate is the vote's, its rank and report the cell estimate's."""
+    from trafficbrick.plans.summary import with_candidates, window_summary
+    rows = [(T0 + dt.timedelta(milliseconds=s), "eth0", s, 2048, 0, 6, a, b, 1000 + s, 80, w) for s, a, b, w in TRACE]
+    packets = spark.createDataFrame(rows, "ts timestamp_ntz, device string, seq bigint, eth_type int, vlan_id int, ip_proto int, "
+                                          "src_ip bigint, dst_ip bigint, sport int, dport int, wire_len int")
+    top = {(r.src_ip, r.dst_ip): r for r in window_summary(packets, "3 seconds", hitters_by="vote").top.collect()}
+    cells = {r.src_ip for r in hitters.vote_hitters(summary.binned_packets(packets, "3 seconds")).collect()}
+    assert {s for s, _ in top} == cells
     df = _cell_rows(spark, TRACE)
-    for method, limit in (("array", 10), ("array", 3), ("stream", 0)):  # JVM fold, hot-cell route, stream fold
-        r = hitters.vote_hitters(df, method=method, max_cell_rows=limit).collect()
-        assert len(r) == 1
-        assert (r[0].src_ip, r[0].dst_ip, r[0]["count"], r[0].sport) == (12, 20, 36, 1005)
+    subs = df.withColumn("sub", F.col("src_ip").cast("int"))
+    est = summary.cell_estimate(summary.sub_buckets(subs)).withColumnRenamed("cell_bytes", "bytes")
+    r = hitters.top_hitters(with_candidates(est, hitters.vote_hitters(df)).where("src_ip != 0")).first()
+    assert (r["rank"], r.src_ip, r.dst_ip, r.est) == (1, 12, 20, 200)
+    line = hitters.hitter_report(hitters.top_hitters(with_candidates(est, hitters.vote_hitters(df))), "packets").first().line
+    assert line == "Hitter Flow #1: [0.0.0.12] -> [0.0.0.20]: 200 packets."
 
 
 def test_vote_zero_source_is_empty(spark):

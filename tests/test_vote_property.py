@@ -43,9 +43,12 @@ def test_vote_matches_reference(spark, groups):
     df = spark.createDataFrame(rows, "window_start timestamp_ntz, window_end timestamp_ntz, cell int, "
                                      "ts timestamp_ntz, seq bigint, src_ip bigint, dst_ip bigint, w bigint, "
                                      "sport int, dport int").repartition(3)
-    for method in ("stream", "array"):
-        got = {r.cell: (r.src_ip, r.dst_ip, r.sport, r["count"]) for r in hitters.vote_hitters(df, method=method).collect()}
-        assert got == want, method
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows_per_batch in (size, "3"):      # runs within a batch, and runs across batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+        got = {r.cell: (r.src_ip, r.dst_ip, r.sport, r["count"]) for r in hitters.vote_hitters(df).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert got == want, rows_per_batch
     # the mergeable vote always returns a strict-majority flow
     merged = {r.cell: (r.src_ip, r.dst_ip) for r in hitters.vote_merged(df).collect()}
     for c, trace in enumerate(groups):

@@ -40,12 +40,13 @@ def ip_to_string(c) -> Column:
 
 
 def ip_from_string(c) -> Column:
-    """Inverse of :func:`ip_to_string` (NULL for malformed text)."""
+    """Inverse of :func:`ip_to_string` (NULL for malformed text or octets above 255)."""
     parts = F.split(as_col(c), r"\.")
-    v = F.lit(0).cast("bigint")
+    v, ok = F.lit(0).cast("bigint"), F.size(parts) == 4
     for i in range(4):
-        v = F.shiftleft(v, 8) + F.element_at(parts, i + 1).cast("bigint")
-    return F.when(F.size(parts) == 4, v)
+        o = F.get(parts, i).try_cast("bigint")
+        v, ok = F.shiftleft(v, 8) + o, ok & o.between(0, 255)
+    return F.when(ok, v)
 
 
 def flow_label(src, sport, dst, dport) -> Column:

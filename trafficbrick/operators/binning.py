@@ -43,7 +43,9 @@ def _parity_lookup(parity: ParityTables):
 
 def _strata_bin(df: DataFrame, addr: str, out: str, strata: DataFrame) -> DataFrame:
     # the same broadcast side for src and dst, so the exchange is built once and reused
-    s = F.broadcast(strata.select("prefix17", "bin")).alias(f"_s_{out}")
+    # one row per 17-bit prefix: at most 131,072 rows, whatever the caller passes
+    one = strata.groupBy("prefix17").agg(F.max("bin").alias("bin"))
+    s = F.broadcast(one).alias(f"_s_{out}")
     j = df.join(s, prefix17(addr) == F.col(f"_s_{out}.prefix17"), "left")
     return j.withColumn(out, F.col(f"_s_{out}.bin")).drop(F.col(f"_s_{out}.prefix17")).drop(F.col(f"_s_{out}.bin"))
 

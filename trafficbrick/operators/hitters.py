@@ -6,13 +6,12 @@ Three ways to name a cell's heavy flow:
   cell. Two declarative aggregations, both partially aggregated; order-free.
 * ``vote_hitters`` (E4) -- the weighted Boyer-Moore vote in packet order, for
   parity with a sequential monitor. The vote is a fold over an ordered
-  sequence, so a cell is processed by one task: by default packets are sorted
-  within cell partitions and streamed through the fold in constant memory;
-  a JVM array fold (sorted array + ``aggregate``) is available for cells below
-  a size bound.
-* ``vote_merged`` (E5) -- the mergeable form: per-batch partial votes
-  (``mapInPandas``) merged by built-in aggregates. Any flow holding more than
-  half of its cell's weight is returned; no group is ever gathered.
+  sequence, so a cell is processed by one task: packets are sorted within cell
+  partitions and streamed through the fold in constant memory. It is the one
+  hitter whose hottest cell bounds its time; use the other two on skewed data.
+* ``vote_merged`` (E5) -- the mergeable form: summaries (here: one per flow)
+  merge by built-in aggregates. Any flow holding more than half of its cell's
+  weight is returned; no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ from .summary import WINDOW_COLS
 
 # Total order of packets inside a cell (sequence numbers alone are not unique).
 ORDER_COLS = ["ts", "seq", "src_ip", "dst_ip", "w", "sport", "dport"]
-CAND_COLS = ["src_ip", "dst_ip", "sport", "dport"]
-DEFAULT_MAX_CELL_ROWS = 2_000_000
 
 
 # ---------------------------------------------------------------- E6 exact
@@ -64,35 +61,6 @@ def dominant_flow(binned: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E4 ordered vote
-_STATE = T.StructType([T.StructField(c, T.LongType()) for c in ("src_ip", "dst_ip", "sport", "dport", "cnt")])
-
-
-def _vote_step(acc, x):
-    empty = acc["src_ip"] == 0
-    match = (acc["src_ip"] == x["src_ip"]) & (acc["dst_ip"] == x["dst_ip"])
-    left = acc["cnt"] - x["w"]
-
-    def st(s, c):
-        return F.struct(s["src_ip"].cast("bigint").alias("src_ip"), s["dst_ip"].cast("bigint").alias("dst_ip"),
-                        s["sport"].cast("bigint").alias("sport"), s["dport"].cast("bigint").alias("dport"),
-                        c.cast("bigint").alias("cnt"))
-
-    return (F.when(empty, st(x, x["w"]))
-             .when(match, st(acc, acc["cnt"] + x["w"]))
-             .when(left < 0, st(x, -left))
-             .otherwise(st(acc, left)))
-
-
-def _vote_small(binned: DataFrame) -> DataFrame:
-    init = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("src_ip", "dst_ip", "sport", "dport", "cnt")])
-    arr = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ORDER_COLS])))
-    return (binned.groupBy(*WINDOW_COLS, "cell").agg(arr.alias("seq_"))
-                  .select(*WINDOW_COLS, "cell", F.aggregate("seq_", init, _vote_step).alias("v"))
-                  .select(*WINDOW_COLS, "cell", "v.src_ip", "v.dst_ip",
-                          F.col("v.sport").cast("int").alias("sport"), F.col("v.dport").cast("int").alias("dport"),
-                          F.col("v.cnt").alias("count")))
-
-
 _VOTE_OUT = T.StructType([
     T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
     T.StructField("cell", T.IntegerType()), T.StructField("src_ip", T.LongType()), T.StructField("dst_ip", T.LongType()),
@@ -102,123 +70,74 @@ _VOTE_OUT = T.StructType([
 
 def _stream_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold key-sorted rows batch by batch; state survives across batches, so
-    memory is one batch whatever the cell size."""
-    key = None
-    s = d = sp = dp = n = 0
-    out = []
+    memory is one batch whatever the cell size.
+
+    Packets of one flow in a row form a run; the loop is over runs. A run that
+    outweighs the candidate takes over at the packet whose running weight first
+    exceeds the count, and that packet gives the ports.
+    """
+    state = None        # window start, window end, cell, src, dst, sport, dport, count
     for b in batches:
-        ws, we = b["window_start"].tolist(), b["window_end"].tolist()
-        cols = zip(ws, we, b["cell"].tolist(), b["src_ip"].tolist(), b["dst_ip"].tolist(), b["w"].tolist(),
-                   b["sport"].tolist(), b["dport"].tolist())
-        for wsi, wei, ci, si, di, wi, spi, dpi in cols:
-            k = (wsi, ci)
-            if k != key:
-                if key is not None:
-                    out.append((key[0], kend, key[1], s, d, sp, dp, n))
-                key, kend = k, wei
-                s = d = sp = dp = n = 0
-            if s == 0:
-                s, d, sp, dp, n = si, di, spi, dpi, wi
-            elif s == si and d == di:
-                n += wi
+        if not len(b):
+            continue
+        ws, we = (b[c].to_numpy().astype("datetime64[us]").astype(np.int64) for c in WINDOW_COLS)
+        cell, src, dst, w, sport, dport = (b[c].to_numpy(dtype=np.int64) for c in ("cell", "src_ip", "dst_ip", "w", "sport", "dport"))
+        key = [ws, cell, src, dst]
+        change = np.zeros(len(b), dtype=bool)
+        change[0] = True
+        for k in key:
+            change[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(change)
+        last = np.r_[first[1:], len(b)]
+        running = np.cumsum(w)
+        total = np.add.reduceat(w, first)
+        done = []
+        for i, j, t, wsi, wei, ci, si, di in zip(first.tolist(), last.tolist(), total.tolist(), ws[first].tolist(), we[first].tolist(),
+                                                 cell[first].tolist(), src[first].tolist(), dst[first].tolist()):
+            if state is None or state[0] != wsi or state[2] != ci:
+                if state is not None:
+                    done.append(tuple(state))
+                state = [wsi, wei, ci, 0, 0, 0, 0, 0]
+            if state[3] == 0:
+                state[3:] = [si, di, int(sport[i]), int(dport[i]), t]
+            elif state[3] == si and state[4] == di:
+                state[7] += t
+            elif t <= state[7]:
+                state[7] -= t
             else:
-                n -= wi
-                if n < 0:
-                    s, d, sp, dp, n = si, di, spi, dpi, -n
-        if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=_VOTE_OUT.fieldNames())
-            out = []
-    if key is not None:
-        out.append((key[0], kend, key[1], s, d, sp, dp, n))
-    if out:
-        yield pd.DataFrame(out, columns=_VOTE_OUT.fieldNames())
-
-
-def _vote_large(binned: DataFrame) -> DataFrame:
-    keyed = binned.select(*WINDOW_COLS, "cell", *ORDER_COLS)
-    ordered = (keyed.repartition(*WINDOW_COLS, "cell")
-                    .sortWithinPartitions(*WINDOW_COLS, "cell", *ORDER_COLS))
-    return ordered.mapInPandas(_stream_fold, _VOTE_OUT)
+                before = int(running[i] - w[i])
+                at = i + int(np.searchsorted(running[i:j], before + state[7], "right"))
+                state[3:] = [si, di, int(sport[at]), int(dport[at]), t - state[7]]
+        if done:
+            yield _votes(done)
+    if state is not None:
+        yield _votes([tuple(state)])
 
 
-def vote_hitters(binned: DataFrame, method: str = "stream", max_cell_rows: int = DEFAULT_MAX_CELL_ROWS) -> DataFrame:
+def _votes(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_VOTE_OUT.fieldNames())
+    for c in WINDOW_COLS:
+        out[c] = pd.to_datetime(out[c], unit="us")
+    return out
+
+
+def vote_hitters(binned: DataFrame) -> DataFrame:
     """Weighted majority vote per cell in packet order.
 
     Output ``window, cell, src_ip, dst_ip, sport, dport, count``; cells whose
     final candidate has source 0 (the "empty" encoding) are dropped. The ports
     are those of the packet that installed the candidate.
 
-    ``method="stream"`` (default): packets are hash-partitioned by cell, sorted
-    within partitions, and folded batch by batch with the state carried across
-    batches -- constant memory whatever the cell size, and no pre-pass.
-    ``method="array"``: cells are folded JVM-side over a sorted array; cells
-    above ``max_cell_rows`` packets never become one array -- their keys (at
-    most rows / max_cell_rows of them, a proven bound) are collected once and
-    those cells take the stream path.
+    Packets are hash-partitioned by cell, sorted within partitions and folded
+    batch by batch: constant memory whatever the cell size, and no pre-pass.
     """
-    cols = [*WINDOW_COLS, "cell", *ORDER_COLS]
-    b = binned.select(*cols)
-    if method == "stream" or max_cell_rows <= 0:
-        return _vote_large(b).where(F.col("src_ip") != 0)
-    if method != "array":
-        raise ValueError("method must be 'stream' or 'array'")
-    sizes = b.groupBy(*WINDOW_COLS, "cell").agg(F.count(F.lit(1)).alias("n"))
-    hot_rows = sizes.where(F.col("n") > max_cell_rows).drop("n").collect()
-    if not hot_rows:
-        return _vote_small(b).where(F.col("src_ip") != 0)
-    hot = F.broadcast(b.sparkSession.createDataFrame(hot_rows, sizes.drop("n").schema))
-    small = _vote_small(b.join(hot, [*WINDOW_COLS, "cell"], "left_anti"))
-    large = _vote_large(b.join(hot, [*WINDOW_COLS, "cell"], "left_semi"))
-    return small.unionByName(large).where(F.col("src_ip") != 0)
+    keyed = binned.select(*WINDOW_COLS, "cell", *ORDER_COLS)
+    ordered = (keyed.repartition(*WINDOW_COLS, "cell")
+                    .sortWithinPartitions(*WINDOW_COLS, "cell", *ORDER_COLS))
+    return ordered.mapInPandas(_stream_fold, _VOTE_OUT).where(F.col("src_ip") != 0)
 
 
 # ---------------------------------------------------------------- E5 mergeable vote
-_PARTIAL = T.StructType([
-    T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
-    T.StructField("cell", T.IntegerType()), T.StructField("src_ip", T.LongType()), T.StructField("dst_ip", T.LongType()),
-    T.StructField("cnt", T.LongType()), T.StructField("first_ts", T.TimestampNTZType()),
-    T.StructField("first_seq", T.LongType()), T.StructField("sport", T.IntegerType()), T.StructField("dport", T.IntegerType()),
-])
-
-
-def _partial_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One summary per (window, cell) per Arrow batch: candidate = heaviest flow
-    of the batch (ties: smaller src, dst), count = max(0, 2*w_top - W_batch),
-    ports of the candidate's first packet by (ts, seq). Vectorised numpy: one
-    lexsort and segment sums, no per-row Python."""
-    for b in batches:
-        n = len(b)
-        if n == 0:
-            continue
-        wcode, wuniq = pd.factorize(b["window_start"], sort=False)
-        key = wcode.astype(np.int64) * 65536 + b["cell"].to_numpy(dtype=np.int64)
-        src, dst = b["src_ip"].to_numpy(dtype=np.int64), b["dst_ip"].to_numpy(dtype=np.int64)
-        ts = b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        seq, w = b["seq"].to_numpy(dtype=np.int64), b["w"].to_numpy(dtype=np.int64)
-        o = np.lexsort((seq, ts, dst, src, key))
-        key, src, dst, ts, seq, w = key[o], src[o], dst[o], ts[o], seq[o], w[o]
-        sport, dport = b["sport"].to_numpy()[o], b["dport"].to_numpy()[o]
-        wend = b["window_end"].to_numpy()[o]
-        flow_start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])])
-        fw = np.add.reduceat(w, flow_start)
-        fkey = key[flow_start]
-        cell_start = np.flatnonzero(np.r_[True, fkey[1:] != fkey[:-1]])
-        cell_total = np.add.reduceat(fw, cell_start)
-        cell_max = np.maximum.reduceat(fw, cell_start)
-        cell_of_flow = np.repeat(np.arange(len(cell_start)), np.diff(np.r_[cell_start, len(fw)]))
-        is_top = fw == cell_max[cell_of_flow]
-        top_idx = np.flatnonzero(is_top)
-        _, first = np.unique(cell_of_flow[top_idx], return_index=True)
-        top = top_idx[first]                      # flows are (src, dst)-ascending within a cell
-        rows = flow_start[top]                    # each flow's first packet by (ts, seq)
-        cnt = np.maximum(0, 2 * fw[top] - cell_total)
-        yield pd.DataFrame({
-            "window_start": np.asarray(wuniq)[key[rows] // 65536], "window_end": wend[rows],
-            "cell": (key[rows] % 65536).astype(np.int32), "src_ip": src[rows], "dst_ip": dst[rows],
-            "cnt": cnt.astype(np.int64), "first_ts": pd.to_datetime(ts[rows], unit="us"),
-            "first_seq": seq[rows], "sport": sport[rows].astype(np.int32), "dport": dport[rows].astype(np.int32)})
-
-
 def merge_votes(partials: DataFrame) -> DataFrame:
     """Merge vote summaries ``(window, cell, src_ip, dst_ip, cnt, first_ts, first_seq, sport, dport)``.
 
@@ -235,10 +154,27 @@ def merge_votes(partials: DataFrame) -> DataFrame:
 
 
 def vote_merged(binned: DataFrame) -> DataFrame:
-    """Mergeable weighted vote (E5): strict-majority flows are always returned."""
-    cols = [*WINDOW_COLS, "cell", "src_ip", "dst_ip", "w", "ts", "seq", "sport", "dport"]
-    parts = binned.where(F.col("src_ip") != 0).select(*cols).mapInPandas(_partial_votes, _PARTIAL)
-    return merge_votes(parts)
+    """Mergeable weighted vote (E5): strict-majority flows are always returned.
+
+    The summaries that merge are the flows themselves: one scan, two hash
+    aggregates that combine map-side.
+    """
+    flows = flow_sums(binned.where(F.col("src_ip") != 0))
+    best = pick_dominant(flows)
+    return best.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", "sport", "dport",
+                       F.greatest(F.lit(0), 2 * F.col("flow_bytes") - F.col("cell_bytes")).cast("bigint").alias("count"))
+
+
+def merged_majority(binned: DataFrame) -> DataFrame:
+    """E5 and E8 in one scan: each cell's merged candidate, its weight, the cell's
+    (source 0 included) and whether the candidate holds more than half of it."""
+    rk = F.when(F.col("src_ip") != 0, K.heavy_key(F.col("bytes"), F.col("src_ip"), F.col("dst_ip")))
+    flows = (binned.groupBy(*WINDOW_COLS, "cell", "src_ip", "dst_ip").agg(F.sum("w").alias("bytes")).withColumn("rk", rk))
+    cells = (flows.groupBy(*WINDOW_COLS, "cell")
+                  .agg(F.max_by("src_ip", "rk").alias("src_ip"), F.max_by("dst_ip", "rk").alias("dst_ip"),
+                       F.max_by("bytes", "rk").alias("flow_bytes"), F.sum("bytes").alias("cell_bytes")))
+    return (cells.where(F.col("src_ip").isNotNull())
+                 .withColumn("is_majority", F.col("flow_bytes") * 2 > F.col("cell_bytes")))
 
 
 # ---------------------------------------------------------------- E8

@@ -26,17 +26,4 @@ PACKETS = T.StructType([
     T.StructField("wire_len", T.IntegerType()),
 ])
 
-STRATA = T.StructType([
-    T.StructField("line_no", T.LongType()),
-    T.StructField("prefix17", T.IntegerType()),
-    T.StructField("bin", T.IntegerType()),
-])
-
-CAPTURE_STATS = T.StructType([
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("device", T.StringType()),
-    T.StructField("recv", T.LongType()),
-    T.StructField("drop", T.LongType()),
-])
-
 PACKET_COLUMNS = [f.name for f in PACKETS.fields]

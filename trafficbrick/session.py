@@ -54,8 +54,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the
-    cluster names one. Only when none is configured -- local runs and tests --
-    a private folder is created and registered as the checkpoint dir.
+    cluster names one. Only when none is configured and the master is local is a
+    private folder created and registered as the checkpoint dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +63,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="trafficbrick-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

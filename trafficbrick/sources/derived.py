@@ -18,6 +18,8 @@ from ..session import read_table
 SRC_MULT = 2654435761
 DST_MULT = 2246822519
 DST_PARTS = 37
+PINNED_BINS = 7
+LATER_LINES = 1_000_000_000_000
 U32 = 4294967296
 
 
@@ -47,19 +49,16 @@ def load_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_from_lineitem(read_table(spark, sf_dir, "lineitem"))
 
 
-def strata_lines_from_supplier(supplier: DataFrame, pinned: int = 5) -> DataFrame:
-    """Strata lines ``(line_no, ip, bin)`` pinning the addresses of the first
-    ``pinned`` suppliers to bins ``0..pinned-1``, plus one later line that
-    re-pins supplier 0 to bin ``pinned-1`` (exercises last-line-wins)."""
-    base = supplier.where(F.col("s_suppkey") < pinned).select(
-        F.col("s_suppkey").alias("line_no"),
-        (((F.col("s_suppkey") + 1) * SRC_MULT) % U32).alias("ip"),
-        F.col("s_suppkey").cast("int").alias("bin"))
-    repin = supplier.where(F.col("s_suppkey") == 0).select(
-        F.lit(pinned).cast("bigint").alias("line_no"),
-        (((F.col("s_suppkey") + 1) * SRC_MULT) % U32).alias("ip"),
-        F.lit(pinned - 1).alias("bin"))
-    return base.unionByName(repin)
+def strata_lines_from_supplier(supplier: DataFrame) -> DataFrame:
+    """Strata lines ``(line_no, ip, bin)``: one line per supplier pins its address
+    to bin ``s_suppkey % 7``; after those, one more line for every tenth supplier
+    moves it to the next bin (exercises last-line-wins)."""
+    ip = (((F.col("s_suppkey") + 1) * SRC_MULT) % U32).alias("ip")
+    base = supplier.select(F.col("s_suppkey").alias("line_no"), ip, (F.col("s_suppkey") % PINNED_BINS).cast("int").alias("bin"))
+    again = supplier.where(F.col("s_suppkey") % 10 == 0).select(
+        (F.col("s_suppkey") + LATER_LINES).alias("line_no"), ip,
+        ((F.col("s_suppkey") + 1) % PINNED_BINS).cast("int").alias("bin"))
+    return base.unionByName(again)
 
 
 def capture_stats_from_events(events: DataFrame) -> DataFrame:
