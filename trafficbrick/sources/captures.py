@@ -6,21 +6,23 @@ type) followed by records of a 16-byte header and the captured bytes.
 
 Reading lists the files with the ``binaryFile`` source but *prunes the
 content column*, so Spark only ships paths; each file becomes one task that
-streams its records through a buffered reader (``pyarrow.fs``, so the same
-code reads local, HDFS or object-store paths) and yields Arrow batches of at
-most ``batch_rows`` frames. Memory per task is one batch, whatever the file
-size. A pcap file cannot be split (records are variable length and carry no
-sync marker), so parallelism is the number of files: rotate captures.
+reads it in blocks (``pyarrow.fs``, so the same code reads local, HDFS or
+object-store paths), walks the record headers inside a block and yields one Arrow
+batch per block. Memory per task is one block, whatever the file size. A pcap
+file cannot be split (records are variable length and carry no sync marker), so
+parallelism is the number of files: rotate captures.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import logging
 import struct
+from functools import partial
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,93 +34,115 @@ MAGIC_NSEC = 0xA1B23C4D
 LINKTYPE_ETHERNET = 1
 GLOBAL_HEADER = 24
 RECORD_HEADER = 16
-EPOCH = dt.datetime(1970, 1, 1)
-READ_BUFFER = 8 << 20
+BLOCK_BYTES = 8 << 20
+MAX_RECORD = 1 << 18    # largest snapshot length that capture tools write
+# URI schemes of Hadoop connectors, by the name the Arrow file systems know
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+log = logging.getLogger(__name__)
 
 
 def _open(path: str):
     import pyarrow.fs as pafs
     if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    fs, p = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    return fs, p
+        path = "/" + path[5:].lstrip("/")
+    scheme, sign, rest = path.partition("://")
+    if not sign:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
-def _read_file(path: str, device: str, batch_rows: int) -> Iterator[pd.DataFrame]:
+def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The records of one file, block by block."""
+    def bad(what: str) -> None:
+        if errors == "raise":
+            raise ValueError(f"{path}: {what}")
+        log.warning("%s: %s; the rest of the file is skipped", path, what)
+
     fs, p = _open(path)
-    with fs.open_input_stream(p, buffer_size=READ_BUFFER) as f:
+    with fs.open_input_stream(p) as f:
         head = f.read(GLOBAL_HEADER)
         if len(head) < GLOBAL_HEADER:
-            return
-        magic_le = struct.unpack("<I", head[:4])[0]
-        if magic_le in (MAGIC_USEC, MAGIC_NSEC):
-            endian = "<"
-        else:
-            endian = ">"
+            return bad("no global header")
+        endian = "<" if struct.unpack("<I", head[:4])[0] in (MAGIC_USEC, MAGIC_NSEC) else ">"
         magic = struct.unpack(endian + "I", head[:4])[0]
         if magic not in (MAGIC_USEC, MAGIC_NSEC):
             raise ValueError(f"{path}: not a pcap file")
-        frac_div = 1000 if magic == MAGIC_NSEC else 1
-        linktype = struct.unpack(endian + "I", head[20:24])[0]
-        if linktype != LINKTYPE_ETHERNET:
-            # the decoder assumes Ethernet framing; keep reading, as a capture tool would warn and go on
-            pass
-        rec = struct.Struct(endian + "IIII")
-        seq = 0
-        ts, caps, wires, frames, seqs = [], [], [], [], []
+        div = 1000 if magic == MAGIC_NSEC else 1
+        link = struct.unpack(endian + "I", head[20:24])[0]
+        if link != LINKTYPE_ETHERNET:
+            log.warning("%s: link type %d is not Ethernet; frames are decoded as if it were", path, link)
+        length = struct.Struct(endian + "I")
+        rest, seq = b"", 0
         while True:
-            h = f.read(RECORD_HEADER)
-            if len(h) < RECORD_HEADER:
-                break
-            sec, frac, incl, orig = rec.unpack(h)
-            data = f.read(incl)
-            if len(data) < incl:
-                break  # truncated final record
-            ts.append(sec * 1_000_000 + frac // frac_div)
-            caps.append(incl)
-            wires.append(orig)
-            frames.append(data)
-            seqs.append(seq)
-            seq += 1
-            if len(frames) >= batch_rows:
-                yield _batch(ts, device, path, seqs, caps, wires, frames)
-                ts, caps, wires, frames, seqs = [], [], [], [], []
-        if frames:
-            yield _batch(ts, device, path, seqs, caps, wires, frames)
-
-
-def _batch(ts, device, path, seqs, caps, wires, frames) -> pd.DataFrame:
-    return pd.DataFrame({
-        "ts": pd.to_datetime(np.asarray(ts, dtype="int64"), unit="us"),
-        "device": device,
-        "file": path,
-        "seq": np.asarray(seqs, dtype="int64"),
-        "cap_len": np.asarray(caps, dtype="int32"),
-        "wire_len": np.asarray(wires, dtype="int32"),
-        "frame": frames,
-    })
-
-
-def read_captures(spark: SparkSession, path: str, device: str = "pcap", batch_rows: int = 65536,
-                  glob: str = "*.pcap") -> DataFrame:
-    """Capture files under ``path`` -> ``frames`` (one task per file)."""
+            block = f.read(block_bytes)
+            buf = rest + block
+            starts, at, fault = [], 0, None
+            while at + RECORD_HEADER <= len(buf):
+                size = length.unpack_from(buf, at + 8)[0]
+                if size > MAX_RECORD:
+                    fault = f"record {seq + len(starts)} claims {size} bytes"
+                    break
+                if at + RECORD_HEADER + size > len(buf):
+                    break
+                starts.append(at)
+                at += RECORD_HEADER + size
+            if starts:
+                yield _batch(buf, np.array(starts, dtype=np.int64), endian, div, device, path, seq)
+                seq += len(starts)
+            if fault:
+                return bad(fault)
+            rest = buf[at:]
+            if not block:
+                if rest:
+                    bad(f"record {seq} is cut short")
+                return
+
+
+def _batch(buf: bytes, starts: np.ndarray, endian: str, div: int, device: str, path: str, seq: int) -> pa.RecordBatch:
+    raw = np.frombuffer(buf, dtype=np.uint8)
+    fields = raw[starts[:, None] + np.arange(RECORD_HEADER)].copy().view(endian + "u4").astype(np.int64)
+    sec, frac, size, wire = fields.T
+    n = len(starts)
+    # the frames of a block without the headers between them, as one binary column
+    keep = np.ones(int(starts[-1] + RECORD_HEADER + size[-1]), dtype=bool)
+    keep[(starts[:, None] + np.arange(RECORD_HEADER)).reshape(-1)] = False
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    frames = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[:len(keep)][keep])])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(sec * 1_000_000 + frac // div, pa.int64()).cast(pa.timestamp("us")), pa.repeat(device, n), pa.repeat(path, n),
+         pa.array(np.arange(seq, seq + n)), pa.array(size.astype(np.int32)), pa.array(wire.astype(np.int32)), frames],
+        [f.name for f in FRAMES.fields])
+
+
+def _read_listed(batches: Iterator[pa.RecordBatch], device: str, errors: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for p in b.column(0).to_pylist():
+            yield from _read_file(p, device, errors)
+
+
+def _checked(errors: str) -> str:
+    if errors not in ("raise", "skip"):
+        raise ValueError("errors must be 'raise' or 'skip'")
+    return errors
+
+
+def read_captures(spark: SparkSession, path: str, device: str = "pcap", glob: str = "*.pcap",
+                  errors: str = "raise") -> DataFrame:
+    """Capture files under ``path`` -> ``frames`` (one task per file).
+
+    A record that is cut short or claims more than 256 KiB ends its file:
+    ``errors="raise"`` fails the job, ``"skip"`` logs it and goes on with the
+    next file. Another link type than Ethernet is logged and read on.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path).select("path"))
     n = max(1, files.count())  # a listing, not the data
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                yield from _read_file(p, device, batch_rows)
-
     # range partitioning on the (distinct) paths: one file per task
-    return files.repartitionByRange(n, "path").mapInPandas(parse, FRAMES)
+    return files.repartitionByRange(n, "path").mapInArrow(partial(_read_listed, device=device, errors=_checked(errors)), FRAMES)
 
 
-def stream_captures(spark: SparkSession, path: str, device: str = "pcap", batch_rows: int = 65536,
-                    glob: str = "*.pcap", max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_captures(spark: SparkSession, path: str, device: str = "pcap", glob: str = "*.pcap",
+                    max_files_per_trigger: int | None = 64, errors: str = "raise") -> DataFrame:
     """Streaming variant (A2): new capture files in ``path`` become frames."""
     from pyspark.sql import types as T
     listing = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -127,13 +151,7 @@ def stream_captures(spark: SparkSession, path: str, device: str = "pcap", batch_
          .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                yield from _read_file(p, device, batch_rows)
-
-    return r.load(path).select("path").mapInPandas(parse, FRAMES)
+    return r.load(path).select("path").mapInArrow(partial(_read_listed, device=device, errors=_checked(errors)), FRAMES)
 
 
 # ---------------------------------------------------------------- writer
@@ -144,14 +162,14 @@ def _global_header() -> bytes:
     return struct.pack("<IHHiIII", MAGIC_USEC, 2, 4, 0, 0, 65535, LINKTYPE_ETHERNET)
 
 
-def write_captures(frames: DataFrame, path: str, files: int) -> DataFrame:
-    """Write ``frames`` as up to ``files`` pcap files under ``path``; returns
-    ``(file, frames)`` per written file. Used to produce capture fixtures from
-    the test tables (the round trip of :func:`read_captures`).
+def write_captures(frames: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Write ``frames`` as pcap files under ``path``; returns ``(file, frames)`` per
+    written file. Used to produce capture fixtures from the test tables (the round
+    trip of :func:`read_captures`).
 
-    Rows are hash-spread over ``files`` partitions and sorted by time within
-    each; every executor streams its partition straight into its own file, so
-    nothing is gathered in memory.
+    Every partition of ``frames`` (or of ``files`` hash partitions) is sorted by
+    time and streamed into a file of its own under a name of the attempt, which is
+    renamed when complete: a retried or speculative task leaves no half file.
     """
     from pyspark.sql import types as T
     out_schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("frames", T.LongType())])
@@ -160,31 +178,27 @@ def write_captures(frames: DataFrame, path: str, files: int) -> DataFrame:
     fs0.create_dir(p0, recursive=True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = name = fs = None
-        n = 0
-        done = []
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        target = f"{base}/part-{task.partitionId():05d}.pcap"
+        fs, final = _open(target)
+        attempt = f"{final}.attempt-{task.taskAttemptId()}"
+        out, n = None, 0
         for b in batches:
             us = b["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            for part, t, frame, wire in zip(b["_part"].to_numpy(), us, b["frame"], b["wire_len"].to_numpy()):
-                target = f"{base}/part-{int(part):05d}.pcap"
-                if target != name:
-                    if out is not None:
-                        out.close()
-                        done.append((name, n))
-                    fs, pth = _open(target)
-                    out, name, n = fs.open_output_stream(pth), target, 0
+            for t, frame, wire in zip(us.tolist(), b["frame"], b["wire_len"].tolist()):
+                if out is None:
+                    out = fs.open_output_stream(attempt)
                     out.write(_global_header())
-                fb = bytes(frame)
-                out.write(struct.pack(_REC_FMT, int(t // 1_000_000), int(t % 1_000_000), len(fb), int(wire)))
-                out.write(fb)
+                out.write(struct.pack(_REC_FMT, t // 1_000_000, t % 1_000_000, len(frame), wire))
+                out.write(bytes(frame))
                 n += 1
         if out is not None:
             out.close()
-            done.append((name, n))
-        if done:
-            yield pd.DataFrame(done, columns=["file", "frames"])
-
-    keyed = frames.select("ts", "seq", "wire_len", "frame",
-                          F.pmod(F.xxhash64("device", "seq", "ts"), F.lit(files)).cast("int").alias("_part"))
-    return (keyed.repartition(files, "_part").sortWithinPartitions("_part", "ts", "seq")
-                 .mapInPandas(write, out_schema))
+            fs.move(attempt, final)
+            yield pd.DataFrame([(target, n)], columns=["file", "frames"])
+
+    keyed = frames.select("device", "ts", "seq", "wire_len", "frame")
+    if files:
+        keyed = keyed.repartition(files, F.xxhash64("device", "seq", "ts"))
+    return keyed.sortWithinPartitions("ts", "seq").mapInPandas(write, out_schema)

@@ -11,11 +11,12 @@ from ..schemas import PACKETS, PACKET_COLUMNS
 SENTINEL_TS = "2100-01-01 00:00:00"
 
 
-def write_packet_stream(packets: DataFrame, path: str, files: int = 4, sentinel: bool = True) -> None:
-    """Write ``packets`` as ``files`` time-ranged parquet files, plus a one-row
-    sentinel file whose event time closes every real window."""
-    (packets.select(*PACKET_COLUMNS).repartitionByRange(files, "ts").sortWithinPartitions("ts", "seq")
-            .write.mode("overwrite").parquet(path))
+def write_packet_stream(packets: DataFrame, path: str, files: int | None = None, sentinel: bool = True) -> None:
+    """Write ``packets`` as ``files`` time-ranged parquet files (default: as many as
+    ``packets`` has partitions), plus a one-row sentinel file whose event time
+    closes every real window."""
+    (packets.select(*PACKET_COLUMNS).repartitionByRange(files or max(1, packets.rdd.getNumPartitions()), "ts")
+            .sortWithinPartitions("ts", "seq").write.mode("overwrite").parquet(path))
     if sentinel:
         one = packets.sparkSession.range(1).select(
             F.lit(SENTINEL_TS).cast("timestamp_ntz").alias("ts"), F.lit("sentinel").alias("device"),
@@ -25,7 +26,8 @@ def write_packet_stream(packets: DataFrame, path: str, files: int = 4, sentinel:
         one.write.mode("append").parquet(path)
 
 
-def read_packet_stream(spark, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def read_packet_stream(spark, path: str, max_files_per_trigger: int | None = 64) -> DataFrame:
+    """A packet stream from parquet files; ``max_files_per_trigger`` bounds a micro-batch."""
     r = spark.readStream.schema(PACKETS)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

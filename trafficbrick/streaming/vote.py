@@ -1,18 +1,18 @@
 """Ordered weighted vote on a stream (F6) with ``applyInPandasWithState``.
 
-State is keyed by (window, source bin): one key holds the vote pairs --
-candidate flow and count -- of that row of the brick (at most ``dim`` cells,
-a bound fixed by the brick size). Rows of a key within a micro-batch are
-folded in (cell, ts, seq, ...) order, micro-batches in arrival order. An
-event-time timeout at the window end (driven by the watermark) emits the
-final candidates and drops the state. Rows of windows that already closed are
-late (F7) and ignored.
+State is keyed by (window, cell): one candidate flow and its count. Rows of a key
+within a micro-batch are folded in (ts, seq, ...) order, micro-batches in arrival
+order; what a key holds at once is its packed numbers of one micro-batch, which
+the source's files-per-trigger bounds. An event-time timeout at the window end
+(driven by the watermark) emits the final candidate and drops the state. Rows of
+windows that already closed are late (F7) and ignored.
 """
 
 from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +23,7 @@ from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
 from .timecols import instant_to_wallclock, wallclock_to_instant
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("end_ms", T.LongType()),
-    T.StructField("cells", T.ArrayType(T.IntegerType())),
-    T.StructField("votes", T.ArrayType(T.ArrayType(T.LongType()))),  # [src, dst, sport, dport, cnt]
-])
+STATE_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("end_ms", "src_ip", "dst_ip", "sport", "dport", "cnt")])
 OUT_SCHEMA = T.StructType([
     T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
     T.StructField("cell", T.IntegerType()), T.StructField("src_ip", T.LongType()), T.StructField("dst_ip", T.LongType()),
@@ -36,46 +32,35 @@ OUT_SCHEMA = T.StructType([
 ORDER = ["ts", "seq", "src_ip", "dst_ip", "w", "sport", "dport"]
 
 
-def _emit(window_start, window_end, votes: dict) -> pd.DataFrame:
-    rows = [(window_start, window_end, c, v[0], v[1], v[2], v[3], v[4]) for c, v in sorted(votes.items()) if v[0]]
-    return pd.DataFrame(rows, columns=OUT_SCHEMA.fieldNames())
-
-
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    window_start, window_end, _src_bin = key
+    window_start, window_end, cell = key
     if state.hasTimedOut:
-        _, cells, votes = state.get
+        _, *vote = state.get
         state.remove()
-        yield _emit(window_start, window_end, {c: list(v) for c, v in zip(cells, votes)})
+        if vote[0]:
+            yield pd.DataFrame([(window_start, window_end, cell, *vote)], columns=OUT_SCHEMA.fieldNames())
         return
     if state.exists:
-        end_ms, cells, vs = state.get
-        votes = {c: list(v) for c, v in zip(cells, vs)}
+        end_ms, src, dst, sport, dport, cnt = state.get
     else:
         end_ms = int(pd.Timestamp(window_end).value // 1_000_000)
         if end_ms <= state.getCurrentWatermarkMs():
             return  # late rows of a window that has already been reported (F7)
-        votes = {}
-    # this batch's rows of the key (bounded by the micro-batch size), in vote order
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["cell", *ORDER], kind="stable")
-    cur_cell, v = None, None
-    for cell, src, dst, w, spt, dpt in zip(pdf["cell"].tolist(), pdf["src_ip"].tolist(), pdf["dst_ip"].tolist(),
-                                           pdf["w"].tolist(), pdf["sport"].tolist(), pdf["dport"].tolist()):
-        if cell != cur_cell:
-            cur_cell = cell
-            v = votes.setdefault(cur_cell, [0, 0, 0, 0, 0])
-        if v[0] == 0:
-            v[0], v[1], v[2], v[3], v[4] = src, dst, spt, dpt, w
-        elif v[0] == src and v[1] == dst:
-            v[4] += w
+        src = dst = sport = dport = cnt = 0
+    parts = [np.stack([p[c].to_numpy().astype("datetime64[us]").astype(np.int64) if c == "ts" else p[c].to_numpy(dtype=np.int64)
+                       for c in ORDER]) for p in pdfs]
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    for _, _, s, d, w, sp, dp in rows.T.tolist():
+        if src == 0:
+            src, dst, sport, dport, cnt = s, d, sp, dp, w
+        elif src == s and dst == d:
+            cnt += w
+        elif cnt >= w:
+            cnt -= w
         else:
-            left = v[4] - w
-            if left < 0:
-                v[0], v[1], v[2], v[3], v[4] = src, dst, spt, dpt, -left
-            else:
-                v[4] = left
-    cells = sorted(votes)
-    state.update((end_ms, cells, [votes[c] for c in cells]))
+            src, dst, sport, dport, cnt = s, d, sp, dp, w - cnt
+    state.update((end_ms, src, dst, sport, dport, cnt))
     state.setTimeoutTimestamp(end_ms)
     return
     yield  # generator
@@ -90,6 +75,6 @@ def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds",
     p = p.withColumn("_w", F.window("ts", duration))
     p = (p.withColumn("window_start", instant_to_wallclock(F.col("_w.start")))
           .withColumn("window_end", instant_to_wallclock(F.col("_w.end"))).drop("_w"))
-    b = assign_bins(p, strata, reserved).select("window_start", "window_end", "src_bin", "cell", *ORDER)
-    return b.groupBy("window_start", "window_end", "src_bin").applyInPandasWithState(
+    b = assign_bins(p, strata, reserved).select("window_start", "window_end", "cell", *ORDER)
+    return b.groupBy("window_start", "window_end", "cell").applyInPandasWithState(
         _fold, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
