@@ -17,13 +17,18 @@ BITS_PER_GIGABIT_BYTE = 125_000_000  # bytes per gigabit
 
 
 def cumulative_rates(totals: DataFrame, bucket: str = "day", keys=("device",)) -> DataFrame:
-    """Since-start counters per device (F4): packets, bytes, elapsed ms, pkt/s, Mbit/s."""
+    """Since-start counters per device (F4): packets, bytes, elapsed ms, pkt/s, Mbit/s.
+
+    ``keys=()`` gives the counters of the whole monitor. ``totals`` is read three
+    times: give a written table (one row per interval).
+    """
     keys = list(keys)
     b = F.date_trunc(bucket, F.col("window_end"))
     cum = running_sums(totals, keys, ["window_end"], ["packets", "line_bytes"], b)
     start = totals.groupBy(*keys).agg(F.min("window_start").alias("start"))
     ms = delta_ms(F.col("window_end"), F.col("start"))
-    return (cum.join(start, keys, "left")
+    # without keys the start is one row
+    return ((cum.join(start, keys, "left") if keys else cum.crossJoin(F.broadcast(start)))
                .select(*keys, "window_end",
                        F.col("packets_cum").cast("bigint").alias("packets"),
                        F.col("line_bytes_cum").cast("bigint").alias("bytes"),

@@ -14,21 +14,35 @@ def write_bricks(documents: DataFrame, path: str, mode: str = "append", fmt: str
     The date partitioning plays the role of a timestamp index: readers that
     filter on ``date`` or ``ts`` prune whole folders.
     """
-    (documents.withColumn("date", F.to_date("ts"))
+    (document_bytes(documents).withColumn("date", F.to_date("ts"))
               .write.mode(mode).partitionBy("date").format(fmt).save(path))
 
 
 def read_bricks(spark, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path).drop("date")
+    """The stored documents with their ``size_bytes`` and the ``date`` they are filed under."""
+    return spark.read.format(fmt).load(path)
 
 
 def latest_brick(bricks: DataFrame) -> DataFrame:
-    """The newest document (A7): a top-1 (TakeOrderedAndProject), no full sort."""
-    return bricks.orderBy(F.col("ts").desc()).limit(1)
+    """The newest document.
+
+    The time is found from the ``ts`` column alone (one value reaches the driver);
+    only the documents of that time are then read. With a ``date`` column the
+    filter prunes the other dates' folders.
+    """
+    newest = bricks.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return bricks.limit(0)
+    at = F.to_timestamp_ntz(F.lit(newest.isoformat(sep=" ")))
+    found = bricks.where(F.col("ts") == at)
+    return (found.where(F.col("date") == F.to_date(at)) if "date" in bricks.columns else found).limit(1)
 
 
 def document_bytes(bricks: DataFrame) -> DataFrame:
-    """Approximate stored size: 8 bytes per counter plus the hitter text."""
+    """Approximate stored size: 8 bytes per counter plus the hitter text (kept where
+    the store already has it)."""
+    if "size_bytes" in bricks.columns:
+        return bricks
     text = F.aggregate("hitters", F.lit(0).cast("bigint"), lambda acc, h: acc + F.length(h))
     return bricks.withColumn("size_bytes", (F.size("data") * 8 + text).cast("bigint"))
 

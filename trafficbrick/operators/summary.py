@@ -90,7 +90,19 @@ def _densify(arr, field: str, fill, n: int):
     return F.concat(body, F.array_repeat(fill_col, (F.lit(n) - F.size(body)).cast("int")))
 
 
-def dense_brick(cells: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
+def _all_windows(cells: DataFrame, duration: str) -> DataFrame:
+    """Every window of ``duration`` from the first to the last of ``cells``; two
+    values reach the driver, the windows are made in Spark."""
+    at = F.unix_micros(F.col("window_start").cast("timestamp"))
+    step = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp") + F.expr(f"INTERVAL {duration}")) \
+        - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
+    r = cells.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max(step).alias("step")).first()
+    n = 0 if r.lo is None else (r.hi - r.lo) // r.step + 1
+    start = lambda shift: F.timestamp_micros(F.lit(r.lo or 0) + (F.col("id") + shift) * F.lit(r.step or 1)).cast("timestamp_ntz")
+    return cells.sparkSession.range(n).select(start(0).alias("window_start"), start(1).alias("window_end"))
+
+
+def dense_brick(cells: DataFrame, dim: int = BRICK_DIM, fill: str | None = None) -> DataFrame:
     """One document per window (E10): ``ts`` (window end), ``data`` (dim*dim bytes,
     row-major, zeros included) and ``hitters`` (flow labels, ``''`` when empty).
 
@@ -98,6 +110,10 @@ def dense_brick(cells: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
     ``src_ip, dst_ip, sport, dport`` (source 0 = none). Each window gathers at
     most dim*dim sparse entries -- a bound set by the brick dimension, not by
     the traffic -- and fills the gaps with array functions; no grid is joined.
+
+    With ``fill`` (the window duration), windows between the first and the last
+    that have no cell get a document of zeros too, as an exporter that runs on
+    every tick writes.
     """
     n = dim * dim
     if "src_ip" in cells.columns:
@@ -106,6 +122,10 @@ def dense_brick(cells: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
         label = F.lit("")
     entry = F.struct(F.col("cell").cast("int").alias("cell"), F.col("bytes").cast("bigint").alias("v"), label.alias("h"))
     per = cells.groupBy(*WINDOW_COLS).agg(F.sort_array(F.collect_list(entry)).alias("a"))
+    if fill:
+        none = F.array().cast("array<struct<cell:int,v:bigint,h:string>>")
+        per = (_all_windows(cells, fill).join(per.drop("window_end"), "window_start", "left")
+               .withColumn("a", F.coalesce("a", none)))
     return per.select(
         F.col("window_end").alias("ts"),
         _densify(F.col("a"), "v", F.lit(0).cast("bigint"), n).alias("data"),

@@ -16,7 +16,7 @@ from ..functions import addr, hashing, timefmt
 from ..operators import binning, decode, hitters, summary
 from ..session import read_table
 from ..sources import derived
-from ..sources.strata import reserved_bins, strata_from_lines
+from ..sources.strata import read_strata, reserved_bins, reserved_table, strata_from_lines
 from . import summary as plan
 
 WINDOW = "30 days"
@@ -61,19 +61,16 @@ def q_vote_hitters(spark, sf):
     return hitters.vote_hitters(_binned(spark, sf))
 
 
-def q_vote_hitters_streamed(spark, sf):
-    # every cell through the constant-memory sorted stream
-    return hitters.vote_hitters(_binned(spark, sf), method="stream")
+def q_vote_hitters_strata(spark, sf):
+    return hitters.vote_hitters(_binned(spark, sf, strata=True))
 
 
-def q_vote_hitters_array(spark, sf):
-    # JVM array fold for cells under the size bound, stream fold above it
-    return hitters.vote_hitters(_binned(spark, sf), method="array")
+def q_vote_hitters_packets(spark, sf):
+    return hitters.vote_hitters(summary.binned_packets(_packets(spark, sf), WINDOW, weight="packets"))
 
 
 def q_vote_merged_majority(spark, sf):
-    b = _binned(spark, sf)
-    flagged = hitters.verify_majority(b, hitters.vote_merged(b))
+    flagged = hitters.merged_majority(_binned(spark, sf))
     return flagged.where("is_majority").select(*summary.WINDOW_COLS, "cell", "src_ip", "dst_ip")
 
 
@@ -86,12 +83,38 @@ def q_active_cells(spark, sf):
     return summary.active_cells(hitters.vote_hitters(_binned(spark, sf)))
 
 
-def _summary(spark, sf, strata=True):
+def _summary(spark, sf, strata=True, **kw):
     p = _packets(spark, sf)
     if strata:
         lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
-        return plan.window_summary(p, WINDOW, strata_from_lines(lines), reserved_bins(lines))
-    return plan.window_summary(p, WINDOW)
+        return plan.window_summary(p, WINDOW, strata_from_lines(lines), reserved_bins(lines), **kw)
+    return plan.window_summary(p, WINDOW, **kw)
+
+
+def q_vote_top_hitters(spark, sf):
+    """The native pipeline: vote candidates ranked by the cell estimate."""
+    t = _summary(spark, sf, strata=False, hitters_by="vote").top
+    return t.select(*summary.WINDOW_COLS, "rank", "cell", "src_ip", "dst_ip", "sport", "dport", "est")
+
+
+def q_vote_hitter_report(spark, sf):
+    return _summary(spark, sf, hitters_by="vote").report
+
+
+def q_vote_packets_report(spark, sf):
+    return _summary(spark, sf, strata=False, hitters_by="vote", weight="packets").report
+
+
+def q_vote_documents(spark, sf):
+    return _summary(spark, sf, hitters_by="vote").documents
+
+
+FILL_WINDOW = "1 hour"
+
+
+def q_dense_brick_filled(spark, sf):
+    """Hourly documents of the second device, silent hours included."""
+    return plan.window_summary(derived.load_event_packets(spark, sf), FILL_WINDOW, fill=True).documents
 
 
 def q_top_hitters(spark, sf):
@@ -144,7 +167,7 @@ def q_strata_last_wins(spark, sf):
 
 def q_reserved_bins(spark, sf):
     lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
-    return lines.agg((F.coalesce(F.max("bin"), F.lit(0)) + 1).alias("reserved"))
+    return reserved_table(lines)
 
 
 def q_assign_bin(spark, sf):
@@ -208,8 +231,13 @@ QUERIES = {
     "cell_estimate": q_cell_estimate,
     "dominant_flow": q_dominant_flow,
     "vote_hitters": q_vote_hitters,
-    "vote_hitters_streamed": q_vote_hitters_streamed,
-    "vote_hitters_array": q_vote_hitters_array,
+    "vote_hitters_streamed": q_vote_hitters_strata,
+    "vote_hitters_array": q_vote_hitters_packets,
+    "vote_top_hitters": q_vote_top_hitters,
+    "vote_hitter_report": q_vote_hitter_report,
+    "vote_packets_report": q_vote_packets_report,
+    "vote_documents": q_vote_documents,
+    "dense_brick_filled": q_dense_brick_filled,
     "vote_merged_majority": q_vote_merged_majority,
     "majority_fraction": q_majority_fraction,
     "active_cells": q_active_cells,
@@ -294,12 +322,20 @@ def q_mac_text(spark, sf):
 
 
 # ------------------------------------------------------------------ E9 / E11 / F3 / F4
-def _totals(spark, sf):
-    return summary.traffic_totals(_all_packets(spark, sf), TOTALS_WINDOW)
+def _totals(spark, sf, by_device=True):
+    """The totals as a written table (one row per interval): the rates read it more than once."""
+    path = scratch_path(spark, "totals")
+    summary.traffic_totals(_all_packets(spark, sf), TOTALS_WINDOW, by_device).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def q_traffic_totals(spark, sf):
-    return _totals(spark, sf)
+    return summary.traffic_totals(_all_packets(spark, sf), TOTALS_WINDOW)
+
+
+def q_global_rates(spark, sf):
+    """Rates of the whole monitor, over all devices."""
+    return rates.cumulative_rates(_totals(spark, sf, by_device=False), keys=())
 
 
 def q_capture_totals(spark, sf):
@@ -320,17 +356,29 @@ def _docs(spark, sf):
 
 
 def q_stored_bricks(spark, sf):
+    path = scratch_path(spark, "bricks")
+    store.write_bricks(_docs(spark, sf), path)
+    return store.read_bricks(spark, path).select("ts", "data", "hitters")
+
+
+def _store(spark, sf):
     path = scratch_path(spark, "bricks")
     store.write_bricks(_docs(spark, sf), path)
     return store.read_bricks(spark, path)
 
 
 def q_latest_brick(spark, sf):
-    return store.latest_brick(_docs(spark, sf))
+    return store.latest_brick(_store(spark, sf)).select("ts", "data", "hitters")
 
 
 def q_retain_bricks(spark, sf):
-    return store.retain_bricks(_docs(spark, sf), RETAIN_BYTES).select("ts", "size_bytes", "data", "hitters")
+    return store.retain_bricks(_store(spark, sf), RETAIN_BYTES).select("ts", "size_bytes", "data", "hitters")
+
+
+def q_dashboard(spark, sf):
+    """The dashboard read: the newest stored document as one JSON payload."""
+    newest = store.latest_brick(_store(spark, sf)).select("ts", "data", "hitters")
+    return view.cells_payload(view.with_hitter_label(view.with_category(view.brick_to_cells(newest))))
 
 
 def q_brick_cells(spark, sf):
@@ -338,12 +386,12 @@ def q_brick_cells(spark, sf):
 
 
 def q_categories(spark, sf):
-    cells = view.brick_to_cells(store.latest_brick(_docs(spark, sf)))
+    cells = view.brick_to_cells(_docs(spark, sf))
     return view.with_category(cells).select("ts", "x", "y", "traffic", "category", "color")
 
 
 def q_hitter_default(spark, sf):
-    cells = view.brick_to_cells(store.latest_brick(_docs(spark, sf)))
+    cells = view.brick_to_cells(_docs(spark, sf))
     return view.with_hitter_label(cells).select("ts", "x", "y", "hitters")
 
 
@@ -365,6 +413,8 @@ QUERIES.update({
     "capture_totals": q_capture_totals,
     "cumulative_rates": q_cumulative_rates,
     "interval_rates": q_interval_rates,
+    "global_rates": q_global_rates,
+    "dashboard": q_dashboard,
     "stored_bricks": q_stored_bricks,
     "latest_brick": q_latest_brick,
     "retain_bricks": q_retain_bricks,
@@ -378,13 +428,11 @@ QUERIES.update({
 # ------------------------------------------------------------------ A1 capture files
 from ..sources import captures  # noqa: E402
 
-CAPTURE_FILES = 4
-
 
 def q_read_captures(spark, sf):
     """Frames -> pcap files (written by the executors) -> read back -> decode."""
     path = scratch_path(spark, "captures")
-    captures.write_captures(_frames(spark, sf), path, CAPTURE_FILES).write.format("noop").mode("overwrite").save()
+    captures.write_captures(_frames(spark, sf), path).write.format("noop").mode("overwrite").save()
     d = decode.decode_frames(captures.read_captures(spark, path))
     return d.select("ts", "eth_type", "vlan_id", "ip_proto", "src_ip", "dst_ip", "sport", "dport", "wire_len")
 
@@ -392,10 +440,28 @@ def q_read_captures(spark, sf):
 QUERIES["read_captures"] = q_read_captures
 
 
+def q_read_strata_file(spark, sf):
+    """Strata lines written as a text file and read back with the last line of a prefix winning."""
+    path = scratch_path(spark, "strata")
+    lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
+    # a strata file is one ordered file; its size is bounded by the 17-bit prefixes worth pinning
+    (lines.orderBy("line_no").select(F.concat_ws(" ", "ip", "bin").alias("value")).coalesce(1).write.text(path))
+    return read_strata(spark, path)
+
+
+QUERIES["read_strata_file"] = q_read_strata_file
+
+
 # ------------------------------------------------------------------ F5 / F6 / A2 streaming
+from ..schemas import PACKET_COLUMNS  # noqa: E402
 from ..streaming import bricks as sbricks, fixtures as sfix, vote as svote  # noqa: E402
 
 
+# the files of a stream source are listed by the time they were written, which is
+# not the packets' time: a delay longer than any disorder keeps every row on time
+DELAY = "3650 days"
+
+
 def _state_partitions(spark):
     return max(8, spark.sparkContext.defaultParallelism)
 
@@ -411,7 +477,7 @@ def q_stream_bricks(spark, sf):
     src = _stream_source(spark, sf)
     out = scratch_path(spark, "stream-bricks")
     q = sbricks.stream_bricks(sfix.read_packet_stream(spark, src), out, scratch_path(spark, "stream-bricks-ckpt"),
-                              duration=WINDOW, watermark="0 seconds", state_partitions=_state_partitions(spark))
+                              duration=WINDOW, watermark=DELAY, state_partitions=_state_partitions(spark))
     q.awaitTermination()
     c = sbricks.read_stream_output(spark, out, "cells")
     return c.select(*summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est", "src_ip", "dst_ip",
@@ -435,7 +501,7 @@ def q_stream_captures(spark, sf):
     """Capture files picked up by a file stream (A2), decoded and summarised."""
     path = scratch_path(spark, "stream-captures")
     frames = derived.frames_from_packets(_packets(spark, sf))
-    captures.write_captures(frames, path, CAPTURE_FILES).write.format("noop").mode("overwrite").save()
+    captures.write_captures(frames, path).write.format("noop").mode("overwrite").save()
     sfix_path = scratch_path(spark, "stream-captures-sentinel")
     sfix.write_packet_stream(_packets(spark, sf).limit(0), sfix_path)  # sentinel only
     captures.write_captures(derived.frames_from_packets(spark.read.parquet(sfix_path)), path + "/sentinel", 1) \
@@ -443,13 +509,30 @@ def q_stream_captures(spark, sf):
     packets = decode.decode_frames(captures.stream_captures(spark, path))
     out = scratch_path(spark, "stream-captures-out")
     q = sbricks.stream_bricks(packets, out, scratch_path(spark, "stream-captures-ckpt"), duration=WINDOW,
-                              watermark="0 seconds", state_partitions=_state_partitions(spark))
+                              watermark=DELAY, state_partitions=_state_partitions(spark))
     q.awaitTermination()
     return sbricks.read_stream_output(spark, out, "cells").select(
         *summary.WINDOW_COLS, "cell", "src_bin", "dst_bin", "bytes", "est")
 
 
-QUERIES.update({"stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures})
+def q_stream_late(spark, sf):
+    """Every eighth packet arrives only after its window has closed, and is not counted."""
+    packets = _packets(spark, sf)
+    late = F.col("seq") % 8 == 7
+    src, out, ckpt = (scratch_path(spark, f"stream-late-{n}") for n in ("in", "out", "ckpt"))
+
+    def run():
+        sbricks.stream_bricks(sfix.read_packet_stream(spark, src), out, ckpt, duration=WINDOW, watermark=DELAY,
+                              state_partitions=_state_partitions(spark)).awaitTermination()
+
+    sfix.write_packet_stream(packets.where(~late), src)
+    run()
+    packets.where(late).select(*PACKET_COLUMNS).write.mode("append").parquet(src)
+    run()
+    return sbricks.read_stream_output(spark, out, "cells").select(*summary.WINDOW_COLS, "cell", "bytes", "est")
+
+
+QUERIES.update({"stream_late": q_stream_late, "stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures})
 
 
 # ------------------------------------------------------------------ D1/D2 seeded tables at scale
@@ -479,7 +562,7 @@ from . import offline  # noqa: E402
 def q_offline_summary(spark, sf):
     """pcap files written from the packets -> the offline job -> stored top-20 report."""
     path = scratch_path(spark, "offline-captures")
-    captures.write_captures(derived.frames_from_packets(_packets(spark, sf)), path, CAPTURE_FILES) \
+    captures.write_captures(derived.frames_from_packets(_packets(spark, sf)), path) \
         .write.format("noop").mode("overwrite").save()
     out = offline.summarize_captures(spark, path, scratch_path(spark, "offline-out"), duration=WINDOW)
     return spark.read.parquet(out["top"]).select(*summary.WINDOW_COLS, "rank", "cell", "src_ip", "dst_ip", "est")

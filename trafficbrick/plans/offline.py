@@ -12,23 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.decode import decode_frames
+from ..operators.decode import decode_frames, filter_packets
 from ..operators.hitters import hitter_report, top_hitters
 from ..operators.store import write_bricks
 from ..operators.summary import dense_brick
 from ..sources.captures import read_captures
 from ..sources.strata import read_strata, read_strata_lines, reserved_bins
-from .summary import cells_of, flows_of
-from ..operators.binning import assign_bins
+from .summary import window_summary
 
 
 def summarize_packets(packets: DataFrame, out_path: str, duration: str = "3 seconds",
                       strata: DataFrame | None = None, reserved: int = 1, weight: str = "bytes", k: int = 20,
-                      **bin_kw) -> dict[str, str]:
-    """Write ``cells``, ``top``, ``report`` and ``documents`` under ``out_path``."""
+                      hitters_by: str = "flow", fill: bool = False, predicate=None, **bin_kw) -> dict[str, str]:
+    """Write ``cells``, ``top``, ``report`` and ``documents`` under ``out_path``.
+
+    ``predicate`` (SQL text or a column) keeps only the packets it holds for,
+    before binning; ``hitters_by`` and ``fill`` as in ``window_summary``.
+    """
     base = out_path.rstrip("/")
     spark = packets.sparkSession
-    cells = cells_of(assign_bins(flows_of(packets, duration, weight), strata, reserved, **bin_kw))
+    if predicate is not None:
+        packets = filter_packets(packets, predicate)
+    cells = window_summary(packets, duration, strata, reserved, weight, k, hitters_by=hitters_by, **bin_kw).cells
     (cells.withColumn("date", F.to_date("window_start"))
           .write.mode("overwrite").partitionBy("date").parquet(f"{base}/cells"))
     stored = spark.read.parquet(f"{base}/cells").drop("date")
@@ -36,13 +41,13 @@ def summarize_packets(packets: DataFrame, out_path: str, duration: str = "3 seco
     top.write.mode("overwrite").parquet(f"{base}/top")
     unit = "bytes" if weight == "bytes" else "packets"
     hitter_report(spark.read.parquet(f"{base}/top"), unit).write.mode("overwrite").parquet(f"{base}/report")
-    write_bricks(dense_brick(stored), f"{base}/documents", mode="overwrite")
+    write_bricks(dense_brick(stored, fill=duration if fill else None), f"{base}/documents", mode="overwrite")
     return {n: f"{base}/{n}" for n in ("cells", "top", "report", "documents")}
 
 
 def summarize_captures(spark: SparkSession, capture_path: str, out_path: str, duration: str = "3 seconds",
                        strata_path: str | None = None, parity_seed: int | None = None, weight: str = "bytes",
-                       k: int = 20) -> dict[str, str]:
+                       k: int = 20, hitters_by: str = "flow", fill: bool = False, predicate=None) -> dict[str, str]:
     """Capture files -> stored summaries, with optional pinned strata and the
     seeded table hash (``parity_seed``)."""
     strata, reserved = None, 1
@@ -53,4 +58,4 @@ def summarize_captures(spark: SparkSession, capture_path: str, out_path: str, du
         from ..functions.parity import parity_tables
         kw["parity"] = parity_tables(parity_seed, reserved)
     packets = decode_frames(read_captures(spark, capture_path))
-    return summarize_packets(packets, out_path, duration, strata, reserved, weight, k, **kw)
+    return summarize_packets(packets, out_path, duration, strata, reserved, weight, k, hitters_by, fill, predicate, **kw)

@@ -44,19 +44,20 @@ PACKETS = """packets AS (
   FROM lineitem)"""
 
 STRATA = """strata_lines AS (
-  SELECT s_suppkey AS line_no, ((s_suppkey + 1) * 2654435761) % 4294967296 AS ip, CAST(s_suppkey AS INTEGER) AS bin
-  FROM supplier WHERE s_suppkey < 5
+  SELECT s_suppkey AS line_no, ((s_suppkey + 1) * 2654435761) % 4294967296 AS ip, CAST(s_suppkey % 7 AS INTEGER) AS bin
+  FROM supplier
   UNION ALL
-  SELECT CAST(5 AS BIGINT), ((s_suppkey + 1) * 2654435761) % 4294967296, 4 FROM supplier WHERE s_suppkey = 0),
+  SELECT s_suppkey + 1000000000000, ((s_suppkey + 1) * 2654435761) % 4294967296, CAST((s_suppkey + 1) % 7 AS INTEGER)
+  FROM supplier WHERE s_suppkey % 10 = 0),
 strata AS (SELECT CAST(ip >> 15 AS INTEGER) AS prefix17, arg_max(bin, line_no) AS bin FROM strata_lines GROUP BY 1),
 strata_reserved AS (SELECT coalesce(max(bin), 0) + 1 AS r FROM strata_lines)"""
 
 
-def windowed(src: str = "packets") -> str:
+def windowed(src: str = "packets", every: str = f"{DAYS} days", weight: str = "wire_len") -> str:
     return f"""wpackets AS (
-  SELECT *, time_bucket(INTERVAL '{DAYS} days', ts, TIMESTAMP '1970-01-01') AS window_start,
-         time_bucket(INTERVAL '{DAYS} days', ts, TIMESTAMP '1970-01-01') + INTERVAL '{DAYS} days' AS window_end,
-         CAST(wire_len AS BIGINT) AS w
+  SELECT *, time_bucket(INTERVAL '{every}', ts, TIMESTAMP '1970-01-01') AS window_start,
+         time_bucket(INTERVAL '{every}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{every}' AS window_end,
+         CAST({weight} AS BIGINT) AS w
   FROM {src} WHERE eth_type = 2048)"""
 
 
@@ -163,8 +164,8 @@ FROM ranked r JOIN (SELECT window_start, cell, CAST(sum(w) AS BIGINT) AS cell_by
   ON r.window_start = c.window_start AND r.cell = c.cell
 WHERE r.rn = 1""",
     "vote_hitters": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
-    "vote_hitters_streamed": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
-    "vote_hitters_array": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
+    "vote_hitters_streamed": with_(PACKETS, STRATA, windowed(), BINNED_STRATA, VOTE) + "SELECT * FROM voted",
+    "vote_hitters_array": with_(PACKETS, windowed(weight="1"), BINNED, VOTE) + "SELECT * FROM voted",
     "vote_merged_majority": with_(PACKETS, windowed(), BINNED, FLOWS) + """
 SELECT r.window_start, r.window_end, r.cell, r.src_ip, r.dst_ip
 FROM ranked r JOIN cells c ON r.window_start = c.window_start AND r.cell = c.cell
@@ -362,8 +363,8 @@ SELECT ts, size_bytes, data, hitters FROM (
   SELECT *, sum(size_bytes) OVER (ORDER BY ts DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer FROM sized)
 WHERE newer <= 5000000""",
     "brick_cells": DOC_BASE + "SELECT * FROM " + _cells_of("docs"),
-    "categories": DOC_BASE + f"SELECT ts, x, y, traffic, {_CAT} AS category, {_COLOR} AS color FROM " + _cells_of("latest"),
-    "hitter_default": DOC_BASE + f"SELECT ts, x, y, {_HLABEL} AS hitters FROM " + _cells_of("latest"),
+    "categories": DOC_BASE + f"SELECT ts, x, y, traffic, {_CAT} AS category, {_COLOR} AS color FROM " + _cells_of("docs"),
+    "hitter_default": DOC_BASE + f"SELECT ts, x, y, {_HLABEL} AS hitters FROM " + _cells_of("docs"),
     "payload": DOC_BASE + f""", vcells AS (SELECT ts, x, y, traffic, {_HLABEL} AS hitters, {_CAT} AS category FROM {_cells_of('docs')})
 SELECT ts, to_json({{'x': list(x ORDER BY x, y), 'y': list(y ORDER BY x, y), 'traffic': list(traffic ORDER BY x, y),
                     'hitters': list(hitters ORDER BY x, y), 'category': list(category ORDER BY x, y)}})::VARCHAR AS payload
@@ -383,9 +384,64 @@ FROM allpackets"""
 _PLAIN_CELLS = with_(PACKETS, windowed(), BINNED, SUMMARY_CELLS)
 SQL["stream_bricks"] = _PLAIN_CELLS + """
 SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est, src_ip, dst_ip, sport, dport FROM summary_cells"""
+SQL["stream_late"] = with_(PACKETS, "ontime AS (SELECT * FROM packets WHERE seq % 8 <> 7)", windowed("ontime"), BINNED,
+                          SUMMARY_CELLS) + """
+SELECT window_start, window_end, cell, bytes, est FROM summary_cells"""
 SQL["stream_vote"] = with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted"
 SQL["stream_captures"] = _PLAIN_CELLS + """
 SELECT window_start, window_end, cell, src_bin, dst_bin, bytes, est FROM summary_cells"""
 
+# the native pipeline: vote candidates on the cells, ranked by the estimate
+_TOP = SUMMARY_CELLS[SUMMARY_CELLS.index("top AS ("):]
+VOTE_CELLS = """vsub AS (SELECT window_start, window_end, cell, sub, sum(w) AS sub_bytes FROM binned GROUP BY ALL),
+vcell AS (SELECT window_start, window_end, cell, CAST(sum(sub_bytes) AS BIGINT) AS bytes,
+                 CAST(max(sub_bytes) AS BIGINT) AS est FROM vsub GROUP BY ALL),
+summary_cells AS (
+  SELECT c.*, coalesce(v.src_ip, 0) AS src_ip, coalesce(v.dst_ip, 0) AS dst_ip,
+         coalesce(v.sport, 0) AS sport, coalesce(v.dport, 0) AS dport
+  FROM vcell c LEFT JOIN voted v ON c.window_start = v.window_start AND c.cell = v.cell),
+""" + _TOP
+
+
+def _report(unit: str) -> str:
+    return f"""
+SELECT window_start, window_end, rank,
+       'Hitter Flow #' || CAST(rank AS VARCHAR) || ': [' || {ip_text('src_ip')} || '] -> [' || {ip_text('dst_ip')}
+       || ']: ' || format('{{:,}}', est) || ' {unit}.' AS line
+FROM top"""
+
+
+SQL["vote_top_hitters"] = with_(PACKETS, windowed(), BINNED, VOTE, VOTE_CELLS) + """
+SELECT window_start, window_end, rank, cell, src_ip, dst_ip, sport, dport, est FROM top"""
+SQL["vote_hitter_report"] = with_(PACKETS, STRATA, windowed(), BINNED_STRATA, VOTE, VOTE_CELLS) + _report("bytes")
+SQL["vote_packets_report"] = with_(PACKETS, windowed(weight="1"), BINNED, VOTE, VOTE_CELLS) + _report("packets")
+SQL["vote_documents"] = with_(PACKETS, STRATA, windowed(), BINNED_STRATA, VOTE, VOTE_CELLS, DOCS) + \
+    "SELECT ts, data, hitters FROM docs"
+
+# hourly documents of the second device, silent hours included
+_FILLED = DOCS.replace("(SELECT DISTINCT window_start, window_end FROM summary_cells) w", """(
+             SELECT t AS window_start, t + INTERVAL '1 hour' AS window_end
+             FROM (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL '1 hour')) AS t
+                   FROM summary_cells)) w""")
+SQL["dense_brick_filled"] = with_(PACKETS, EVENT_PACKETS, windowed("epackets", "1 hour"), BINNED, SUMMARY_CELLS, _FILLED) + \
+    "SELECT ts, data, hitters FROM docs"
+
+SQL["global_rates"] = with_(PACKETS, EVENT_PACKETS, """gtotals AS (
+  SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS packets,
+         CAST(sum(wire_len + 24) AS BIGINT) AS line_bytes
+  FROM allpackets GROUP BY ALL),
+gcum AS (
+  SELECT window_start + INTERVAL '1 day' AS window_end,
+         CAST(sum(packets) OVER (ORDER BY window_start) AS BIGINT) AS packets,
+         CAST(sum(line_bytes) OVER (ORDER BY window_start) AS BIGINT) AS bytes,
+         date_diff('microsecond', min(window_start) OVER (), window_start + INTERVAL '1 day') / 1000.0 AS ms
+  FROM gtotals)""") + """
+SELECT window_end, packets, bytes, ms, CAST(packets AS DOUBLE) * 1000.0 / ms AS pps,
+       CAST(bytes AS DOUBLE) * 8.0 / (ms * 1000.0) AS mbps
+FROM gcum"""
+
+SQL["dashboard"] = SQL["payload"].replace(_cells_of("docs"), _cells_of("latest"))
+SQL["read_strata_file"] = SQL["strata_last_wins"]
+
 SQL["offline_summary"] = _PLAIN_CELLS + """
 SELECT window_start, window_end, rank, cell, src_ip, dst_ip, est FROM top"""

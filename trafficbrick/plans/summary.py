@@ -20,8 +20,8 @@ from ..functions.hashing import BRICK_DIM
 from ..operators import keys as K
 from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
-from ..operators.hitters import hitter_report, top_hitters
-from ..operators.summary import WINDOW_COLS, dense_brick, with_window
+from ..operators.hitters import hitter_report, top_hitters, vote_hitters
+from ..operators.summary import WINDOW_COLS, binned_packets, dense_brick, with_window
 
 
 @dataclass
@@ -72,16 +72,35 @@ def cells_of(binned_flows: DataFrame, dim: int = BRICK_DIM) -> DataFrame:
     )
 
 
+def with_candidates(cells: DataFrame, votes: DataFrame) -> DataFrame:
+    """``cells`` with the hitter columns of the vote's candidates (0 where a cell has none)."""
+    plain = cells.drop("src_ip", "dst_ip", "sport", "dport", "flow_bytes")
+    v = votes.select(*WINDOW_COLS, "cell", "src_ip", "dst_ip", "sport", "dport", F.col("count").alias("flow_bytes"))
+    return plain.join(v, [*WINDOW_COLS, "cell"], "left").na.fill(0, ["src_ip", "dst_ip", "sport", "dport", "flow_bytes"])
+
+
 def window_summary(packets: DataFrame, duration: str = "3 seconds", strata: DataFrame | None = None,
                    reserved: int = 1, weight: str = "bytes", k: int = 20, dim: int = BRICK_DIM,
-                   **bin_kw) -> WindowSummary:
+                   hitters_by: str = "flow", fill: bool = False, **bin_kw) -> WindowSummary:
+    """The whole summary of ``packets``.
+
+    ``hitters_by="flow"`` names each cell's exact heaviest flow; ``"vote"`` runs
+    the native pipeline: candidates of the ordered vote, ranked by the cell
+    estimate, reported and written to the documents. ``fill`` adds documents for
+    windows without traffic.
+    """
+    if hitters_by not in ("flow", "vote"):
+        raise ValueError("hitters_by must be 'flow' or 'vote'")
     flows = assign_bins(flows_of(packets, duration, weight), strata, reserved, dim=dim, **bin_kw)
     cells = cells_of(flows, dim)
+    if hitters_by == "vote":
+        binned = binned_packets(packets, duration, strata, reserved, weight, dim=dim, **bin_kw)
+        cells = with_candidates(cells, vote_hitters(binned))
     hitters = cells.where(F.col("src_ip") != 0)
     top = top_hitters(hitters, k=k)
     unit = "bytes" if weight == "bytes" else "packets"
     return WindowSummary(flows, cells, top, hitter_report(top, unit),
-                         dense_brick(cells, dim))
+                         dense_brick(cells, dim, duration if fill else None))
 
 
 def dominant_flows(packets: DataFrame, duration: str = "3 seconds", strata: DataFrame | None = None,
