@@ -10,8 +10,8 @@ cover start an *anchor* of ``size - period + 1`` words. Two equal windows always
 hold an anchor at the same distance from their starts, whatever their places in
 the two documents, so hashing about a fifth of the positions finds every match.
 Anchors that occur in two different texts are then extended: the full windows
-around them are compared by a 128-bit hash, and the smallest document of each
-decides.
+around them are compared by a 96-bit hash, once for each text, and the smallest
+document of each decides.
 
 Distribution. Anchors and windows are only ever counted by key with map-side
 combine and joined back by key, so a passage shared by a third of all documents
@@ -29,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import Words, rolling, slices, text_bytes
+from .wordhash import Words, mix, rolling, slices, text_bytes
 
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+# narrow rows: anchors only propose windows, so 48 bits are enough for them; 48 bits
+# of the texts' digests tell whether an anchor occurs in different texts; a place and
+# the 16-bit tag of its text share one number, the spot
+_SHORT = np.uint64(16)
+_LOW48 = (1 << 48) - 1
 
 
 def cover_for(size: int) -> tuple[int, tuple[int, ...], int]:
@@ -57,8 +62,9 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
             at, text, place = at[keep], text[keep], place[keep]
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rolling(w.hashes(), span, 1)[at].view(np.int64)), pa.array(digests[i:j][text]),
-                     pa.array(ids[i:j][text]), pa.array(place.astype(np.int32))], ["anchor", "digest", "id", "place"])
+                    [pa.array((rolling(w.hashes(), span, 1)[at] >> _SHORT).view(np.int64)),
+                     pa.array(digests[i:j][text] & _LOW48), pa.array(ids[i:j][text]),
+                     pa.array(place << 16 | digests[i:j][text] & 0xFFFF)], ["anchor", "digest", "id", "spot"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +79,38 @@ def _covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+def _window_keys(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 96-bit hash of the window from each word on."""
+    h = w.hashes()
+    return rolling(h, size, 2), (rolling(h, size, 3) >> np.uint64(32)).astype(np.uint32)
+
+
+def _first_of_each(h1: np.ndarray, h2: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the first of equal windows of one text, in order of text."""
+    order = np.lexsort((h2, h1, text))
+    a, b, t = h1[order], h2[order], text[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])
+    return order[new]
+
+
+def _with_repeats(w: Words, size: int, start: np.ndarray) -> np.ndarray:
+    """``start`` and every other window of the same texts that equals one of them."""
+    text = np.searchsorted(w.first, start, "right") - 1
+    at, owner = w.windows(size)
+    wanted = np.isin(owner, text)
+    at, owner = at[wanted], owner[wanted]
+    h1, h2 = _window_keys(w, size)
+    key = mix(h1[at] ^ mix(h2[at].astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)))
+    gone = mix(h1[start] ^ mix(h2[start].astype(np.uint64) << np.uint64(32) | text.astype(np.uint64)))
+    return at[np.isin(key, gone)]
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     span = cover_for(size)[2]
     for b in batches:
         data, offs = text_bytes(b.column(2))
-        ids, digests = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         places, cuts = _lists(b.column(3))
         for i, j in slices(offs):
             w = Words(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
@@ -90,11 +123,12 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
             if not len(start):
                 continue
             text = np.searchsorted(w.first, start, "right") - 1
-            h = w.hashes()
+            h1, h2 = _window_keys(w, size)
+            once = _first_of_each(h1[start], h2[start], text)
+            start, text = start[once], text[once]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rolling(h, size, 2)[start].view(np.int64)), pa.array(rolling(h, size, 3)[start].view(np.int64)),
-                 pa.array(ids[i:j][text]), pa.array(digests[i:j][text]),
-                 pa.array((start - w.first[text]).astype(np.int32))], ["h1", "h2", "id", "digest", "start"])
+                [pa.array(h1[start].view(np.int64)), pa.array(h2[start].view(np.int32)), pa.array(ids[i:j][text]),
+                 pa.array((start - w.first[text]) << 16 | tags[i:j][text].astype(np.int64))], ["h1", "h2", "id", "spot"])
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -108,6 +142,8 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
             many = np.diff(w.first)
             text = np.repeat(np.arange(j - i), np.diff(cuts[i:j + 1]))
             lo = starts[cuts[i]:cuts[j]].astype(np.int64) + w.first[text]
+            if len(lo):
+                lo = _with_repeats(w, size, lo)
             gone = _covered(lo, lo + size, len(w)) | np.repeat(copy[i:j] & (many >= size), many)
             kept = np.flatnonzero(~gone)
             owner = np.repeat(np.arange(j - i), many)[kept]
@@ -136,42 +172,48 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null or empty text: no words, ``text`` is empty. Fewer than ``size`` words:
     nothing is removed. Null id: the row neither removes nor loses words.
-    Repeated rows of one id do not remove each other's words. An empty table
+    Repeated rows of one id do not remove each other's words; different texts of
+    one id are told apart by 16 bits of their digest. An empty table
     gives an empty result.
     """
     rest = [c for c in docs.columns if c != text_col]
     id_type = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"),
-                       F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("rest"))
-    texts = base.where(F.col("id").isNotNull()).select("id", "digest", "text")
-
-    anchors = texts.mapInArrow(partial(_anchor_batches, size=size),
-                               f"anchor bigint, digest bigint, id {id_type}, place int")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.struct(*rest).alias("rest"))
+    some = base.where(F.col("id").isNotNull())
+    # both joins on (id, tag) below read the same columns of the same rows, so
+    # Spark shuffles the texts once and reuses that exchange
+    tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int").alias("tag")
+    texts = some.select("id", tag, "text", "rest")
+
+    anchors = some.select("id", F.xxhash64("text").alias("digest"), "text").mapInArrow(
+        partial(_anchor_batches, size=size), f"anchor bigint, digest bigint, id {id_type}, spot bigint")
     shared = (anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
                      .where(F.col("lo") != F.col("hi")).select("anchor"))
-    places = (anchors.select("anchor", "id", "digest", "place").join(shared, "anchor")
-                     .groupBy("id", "digest").agg(F.collect_list("place").alias("places")))
+    of_spot = [F.shiftright("spot", 16).cast("int").alias("place"), F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("tag")]
+    places = (anchors.select("anchor", "id", "spot").join(shared, "anchor").select("id", *of_spot)
+                     .groupBy("id", "tag").agg(F.collect_list("place").alias("places")))
 
-    known = base.where(F.col("id").isNotNull()).select("id", "digest", F.sha2("text", 256).alias("sha"))
+    known = some.select("id", tag, F.unhex(F.sha2("text", 256)).alias("sha"))
     first = known.groupBy("sha").agg(F.min("id").alias("first"))
     copies = (known.join(first, "sha").where(F.col("id") > F.col("first"))
-                   .select("id", "digest", F.lit(True).alias("copy")).distinct())
+                   .select("id", "tag", F.lit(True).alias("copy")).distinct())
 
-    # the same exchange of the texts by (id, digest) serves both joins below
-    keyed = base.join(places, ["id", "digest"], "left").join(copies, ["id", "digest"], "left")
-    windows = (keyed.where(F.col("places").isNotNull() & F.col("copy").isNull())
-                    .select("id", "digest", "text", "places")
+    windows = (texts.join(places.join(copies, ["id", "tag"], "left_anti"), ["id", "tag"])
+                    .select("id", "tag", "text", "places", "rest")
                     .mapInArrow(partial(_window_batches, size=size),
-                                f"h1 bigint, h2 bigint, id {id_type}, digest bigint, start int"))
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
-                   .where(F.col("least") < F.col("most")).select("h1", "h2", "least")
-    starts = (windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least"))
-                     .groupBy("id", "digest").agg(F.collect_list("start").alias("starts")))
-    return (base.join(starts, ["id", "digest"], "left").join(copies, ["id", "digest"], "left")
-                .select("rest", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-                .mapInArrow(partial(_kept_batches, size=size),
-                            f"rest {base.schema['rest'].dataType.simpleString()}, text string, "
-                            "n_words bigint, n_removed bigint"))
+                                f"h1 bigint, h2 int, id {id_type}, spot bigint"))
+    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    starts = (windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least")).select("id", *of_spot)
+                     .groupBy("id", "tag").agg(F.collect_list("place").alias("starts")))
+    keyed = (texts.join(starts, ["id", "tag"], "left").join(copies, ["id", "tag"], "left")
+                  .select("rest", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy")))
+    without = base.where(F.col("id").isNull()).select("rest", "text", F.array().cast("array<int>").alias("starts"),
+                                                      F.lit(False).alias("copy"))
+    return (keyed.unionByName(without)
+                 .mapInArrow(partial(_kept_batches, size=size),
+                             f"rest {base.schema['rest'].dataType.simpleString()}, text string, "
+                             "n_words bigint, n_removed bigint"))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
