@@ -1,11 +1,13 @@
 """Ordered weighted vote on a stream (F6) with ``applyInPandasWithState``.
 
-State is keyed by (window, cell): one candidate flow and its count. Rows of a key
-within a micro-batch are folded in (ts, seq, ...) order, micro-batches in arrival
-order; what a key holds at once is its packed numbers of one micro-batch, which
-the source's files-per-trigger bounds. An event-time timeout at the window end
-(driven by the watermark) emits the final candidate and drops the state. Rows of
-windows that already closed are late (F7) and ignored.
+State is keyed by (window, slice of cells): the candidate flow and count of every
+cell of the slice, 16 cells by default, so busy cells of one source bin are folded
+by different tasks. Rows of a key within a micro-batch are folded in (cell, ts, seq,
+...) order, micro-batches in arrival order; what a key holds at once is its packed
+numbers of one micro-batch, which the source's files-per-trigger bounds. An
+event-time timeout at the window end (driven by the watermark) emits the final
+candidates and drops the state. Rows of windows that already closed are late (F7)
+and ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
 from .timecols import instant_to_wallclock, wallclock_to_instant
 
-STATE_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("end_ms", "src_ip", "dst_ip", "sport", "dport", "cnt")])
+STATE_SCHEMA = T.StructType([
+    T.StructField("end_ms", T.LongType()),
+    T.StructField("votes", T.ArrayType(T.ArrayType(T.LongType()))),  # [cell, src, dst, sport, dport, cnt]
+])
+SLICES = 1024
 OUT_SCHEMA = T.StructType([
     T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
     T.StructField("cell", T.IntegerType()), T.StructField("src_ip", T.LongType()), T.StructField("dst_ip", T.LongType()),
@@ -33,41 +39,45 @@ ORDER = ["ts", "seq", "src_ip", "dst_ip", "w", "sport", "dport"]
 
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    window_start, window_end, cell = key
+    window_start, window_end, _slice = key
     if state.hasTimedOut:
-        _, *vote = state.get
+        _, votes = state.get
         state.remove()
-        if vote[0]:
-            yield pd.DataFrame([(window_start, window_end, cell, *vote)], columns=OUT_SCHEMA.fieldNames())
+        rows = [(window_start, window_end, *v) for v in votes if v[1]]
+        yield pd.DataFrame(rows, columns=OUT_SCHEMA.fieldNames())
         return
     if state.exists:
-        end_ms, src, dst, sport, dport, cnt = state.get
+        end_ms, held = state.get
+        votes = {v[0]: list(v) for v in held}
     else:
         end_ms = int(pd.Timestamp(window_end).value // 1_000_000)
         if end_ms <= state.getCurrentWatermarkMs():
             return  # late rows of a window that has already been reported (F7)
-        src = dst = sport = dport = cnt = 0
+        votes = {}
     parts = [np.stack([p[c].to_numpy().astype("datetime64[us]").astype(np.int64) if c == "ts" else p[c].to_numpy(dtype=np.int64)
-                       for c in ORDER]) for p in pdfs]
+                       for c in ("cell", *ORDER)]) for p in pdfs]
     rows = np.concatenate(parts, axis=1)
     rows = rows[:, np.lexsort(rows[::-1])]
-    for _, _, s, d, w, sp, dp in rows.T.tolist():
-        if src == 0:
-            src, dst, sport, dport, cnt = s, d, sp, dp, w
-        elif src == s and dst == d:
-            cnt += w
-        elif cnt >= w:
-            cnt -= w
+    v = None
+    for c, _, _, s, d, w, sp, dp in rows.T.tolist():
+        if v is None or v[0] != c:
+            v = votes.setdefault(c, [c, 0, 0, 0, 0, 0])
+        if v[1] == 0:
+            v[1:] = [s, d, sp, dp, w]
+        elif v[1] == s and v[2] == d:
+            v[5] += w
+        elif v[5] >= w:
+            v[5] -= w
         else:
-            src, dst, sport, dport, cnt = s, d, sp, dp, w - cnt
-    state.update((end_ms, src, dst, sport, dport, cnt))
+            v[1:] = [s, d, sp, dp, w - v[5]]
+    state.update((end_ms, [votes[c] for c in sorted(votes)]))
     state.setTimeoutTimestamp(end_ms)
     return
     yield  # generator
 
 
 def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds", strata: DataFrame | None = None,
-                reserved: int = 1) -> DataFrame:
+                reserved: int = 1, slices: int = SLICES) -> DataFrame:
     """Streaming DataFrame of final vote candidates per (window, cell), emitted
     when the watermark passes the window end (use ``append`` output mode)."""
     p = (with_weight(ipv4_only(packets), "bytes").withColumn("ts", wallclock_to_instant(F.col("ts")))
@@ -75,6 +85,7 @@ def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds",
     p = p.withColumn("_w", F.window("ts", duration))
     p = (p.withColumn("window_start", instant_to_wallclock(F.col("_w.start")))
           .withColumn("window_end", instant_to_wallclock(F.col("_w.end"))).drop("_w"))
-    b = assign_bins(p, strata, reserved).select("window_start", "window_end", "cell", *ORDER)
-    return b.groupBy("window_start", "window_end", "cell").applyInPandasWithState(
+    b = assign_bins(p, strata, reserved).select(
+        "window_start", "window_end", F.pmod(F.col("cell"), F.lit(slices)).alias("slice"), "cell", *ORDER)
+    return b.groupBy("window_start", "window_end", "slice").applyInPandasWithState(
         _fold, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
