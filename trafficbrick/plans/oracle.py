@@ -445,3 +445,36 @@ SQL["read_strata_file"] = SQL["strata_last_wins"]
 
 SQL["offline_summary"] = _PLAIN_CELLS + """
 SELECT window_start, window_end, rank, cell, src_ip, dst_ip, est FROM top"""
+
+# The seeded hash: the C library's additive feedback generator by its published
+# recurrence, 31 words a recursion step (r[i] = r[i-31] + r[i-3]), from which the
+# tables are drawn in the native order. The first 341 words after the seed words'
+# copy are not used (31 words of the state and 310 discarded outputs).
+PARITY_SEED = 134
+RAND = f"""seeds(i, v) AS (
+  SELECT 0, CAST({PARITY_SEED} AS BIGINT) UNION ALL SELECT i + 1, (v * 16807) % 2147483647 FROM seeds WHERE i < 30),
+gen(k, s) AS (
+  SELECT 0, list_concat((SELECT list(v ORDER BY i) FROM seeds WHERE i >= 3), (SELECT list(v ORDER BY i) FROM seeds WHERE i < 3))
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, 31), lambda i: CAST((s[29 + i % 3]
+           + list_sum(list_transform(range(i % 3, i + 1, 3), lambda j: s[j + 1]))) % 4294967296 AS BIGINT))
+  FROM gen WHERE k < 11 + 393216 // 31),
+draws AS (SELECT (k - 11) * 31 + p AS n, s[p + 1] >> 1 AS v FROM gen, (SELECT range AS p FROM range(31)) WHERE k >= 11),
+t AS (SELECT n % 4 AS c, n // 4 AS i, v % 131071 AS v FROM draws WHERE n < 262144),
+binmap AS (
+  SELECT n - 262144 AS h, (SELECT r FROM strata_reserved) + v % (128 - (SELECT r FROM strata_reserved)) AS b
+  FROM draws WHERE n >= 262144 AND n < 393216),
+ips AS (SELECT src_ip AS ip FROM wpackets UNION SELECT dst_ip FROM wpackets),
+hashed AS (
+  SELECT ip, xor(xor(t1.v, t2.v), t3.v) AS h
+  FROM ips JOIN t t1 ON t1.c = 0 AND t1.i = ip & 65535 JOIN t t2 ON t2.c = 1 AND t2.i = ip >> 16
+  JOIN t t3 ON t3.c = 2 + (((ip & 65535) + (ip >> 16)) & 131071) // 65536
+           AND t3.i = (((ip & 65535) + (ip >> 16)) & 131071) % 65536),
+bin_of AS (
+  SELECT ip, CAST(coalesce(st.bin, b) AS INTEGER) AS bin
+  FROM hashed JOIN binmap USING (h) LEFT JOIN strata st ON CAST(ip >> 15 AS INTEGER) = st.prefix17),
+binned AS (
+  SELECT wp.*, s.bin AS src_bin, d.bin AS dst_bin FROM wpackets wp JOIN bin_of s ON wp.src_ip = s.ip JOIN bin_of d ON wp.dst_ip = d.ip)"""
+SQL["brick_parity"] = with_(PACKETS, STRATA, windowed(), RAND) + """
+SELECT window_start, window_end, src_bin, dst_bin, src_bin * 128 + dst_bin AS cell, CAST(sum(w) AS BIGINT) AS bytes
+FROM binned GROUP BY ALL"""

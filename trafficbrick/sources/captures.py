@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import logging
 import struct
+import zlib
 from functools import partial
 from typing import Iterator
 
@@ -72,7 +73,8 @@ def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYT
         if link != LINKTYPE_ETHERNET:
             log.warning("%s: link type %d is not Ethernet; frames are decoded as if it were", path, link)
         length = struct.Struct(endian + "I")
-        rest, seq = b"", 0
+        # the file's number in the high bits: no two files give the same (ts, seq) order key
+        rest, seq = b"", (zlib.crc32(p.encode()) & 0x7FFFFFFF) << 32
         while True:
             block = f.read(block_bytes)
             buf = rest + block
@@ -80,7 +82,7 @@ def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYT
             while at + RECORD_HEADER <= len(buf):
                 size = length.unpack_from(buf, at + 8)[0]
                 if size > MAX_RECORD:
-                    fault = f"record {seq + len(starts)} claims {size} bytes"
+                    fault = f"record {(seq & 0xFFFFFFFF) + len(starts)} claims {size} bytes"
                     break
                 if at + RECORD_HEADER + size > len(buf):
                     break
@@ -94,7 +96,7 @@ def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYT
             rest = buf[at:]
             if not block:
                 if rest:
-                    bad(f"record {seq} is cut short")
+                    bad(f"record {seq & 0xFFFFFFFF} is cut short")
                 return
 
 

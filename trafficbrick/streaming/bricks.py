@@ -42,12 +42,12 @@ def streaming_flows(packets: DataFrame, duration: str, watermark: str, weight: s
 
 
 def summarize_closed(flows: DataFrame, strata: DataFrame | None = None, reserved: int = 1, k: int = 20,
-                     unit: str = "bytes"):
+                     unit: str = "bytes", **bin_kw):
     """Batch roll-ups of closed-window flows -> (cells, top, report, documents)."""
     f = flows.select(instant_to_wallclock(F.col("window.start")).alias("window_start"),
                      instant_to_wallclock(F.col("window.end")).alias("window_end"),
                      "src_ip", "dst_ip", "bytes", "packets", "pp")
-    cells = cells_of(assign_bins(f, strata, reserved))
+    cells = cells_of(assign_bins(f, strata, reserved, **bin_kw))
     hitters = cells.where(F.col("src_ip") != 0)
     top = top_hitters(hitters, k=k)
     return cells, top, hitter_report(top, unit), dense_brick(cells)
@@ -56,12 +56,13 @@ def summarize_closed(flows: DataFrame, strata: DataFrame | None = None, reserved
 def stream_bricks(packets: DataFrame, output_path: str, checkpoint: str, duration: str = "3 seconds",
                   watermark: str = "0 seconds", strata: DataFrame | None = None, reserved: int = 1,
                   weight: str = "bytes", k: int = 20, trigger: dict | None = None,
-                  sink: Callable | None = None, state_partitions: int | None = None):
+                  sink: Callable | None = None, state_partitions: int | None = None, **bin_kw):
     """Start the live pipeline; returns the ``StreamingQuery``.
 
     Default sink: ``<output_path>/{cells,top,report,documents}/batch_id=<n>``
     parquet folders, overwritten per batch. ``sink(batch_df, batch_id)`` may
-    replace it (it receives the closed-window flows).
+    replace it (it receives the closed-window flows). ``bin_kw`` (such as
+    ``parity=``, the seeded hash) goes to ``assign_bins``.
     """
     flows = streaming_flows(packets, duration, watermark, weight)
     unit = "bytes" if weight == "bytes" else "packets"
@@ -71,7 +72,7 @@ def stream_bricks(packets: DataFrame, output_path: str, checkpoint: str, duratio
         if sink is not None:
             sink(batch, batch_id)
             return
-        cells, _, _, _ = summarize_closed(batch, strata, reserved, k, unit)
+        cells, _, _, _ = summarize_closed(batch, strata, reserved, k, unit, **bin_kw)
         cells = cells.persist()
         hitters = cells.where(F.col("src_ip") != 0)
         top = top_hitters(hitters, k=k)

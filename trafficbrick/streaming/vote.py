@@ -77,7 +77,7 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
 
 
 def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds", strata: DataFrame | None = None,
-                reserved: int = 1, slices: int = SLICES) -> DataFrame:
+                reserved: int = 1, slices: int = SLICES, **bin_kw) -> DataFrame:
     """Streaming DataFrame of final vote candidates per (window, cell), emitted
     when the watermark passes the window end (use ``append`` output mode)."""
     p = (with_weight(ipv4_only(packets), "bytes").withColumn("ts", wallclock_to_instant(F.col("ts")))
@@ -85,7 +85,7 @@ def stream_vote(packets: DataFrame, duration: str, watermark: str = "0 seconds",
     p = p.withColumn("_w", F.window("ts", duration))
     p = (p.withColumn("window_start", instant_to_wallclock(F.col("_w.start")))
           .withColumn("window_end", instant_to_wallclock(F.col("_w.end"))).drop("_w"))
-    b = assign_bins(p, strata, reserved).select(
+    b = assign_bins(p, strata, reserved, **bin_kw).select(
         "window_start", "window_end", F.pmod(F.col("cell"), F.lit(slices)).alias("slice"), "cell", *ORDER)
     return b.groupBy("window_start", "window_end", "slice").applyInPandasWithState(
         _fold, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
