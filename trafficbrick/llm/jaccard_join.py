@@ -361,7 +361,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sizes = meet.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = meet.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
-    sets = (base.select("id", "text").join(wanted, "id").dropDuplicates(["id"])
+    # a merge join at every size: the texts move alike whether few or many of them are wanted
+    sets = (base.select("id", "text").join(wanted.hint("merge"), "id").dropDuplicates(["id"])
                 .select(F.col("id").alias("node"), "label", "size", "text")
                 .mapInArrow(_set_batches, "node bigint, label bigint, size bigint, sig binary, set binary"))
     links = written(blocked(sets, "label", "size", "node").select("label", "left", "right", "block", "node", "sig", "set")
