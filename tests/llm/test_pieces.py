@@ -57,7 +57,7 @@ def test_nbest_matches_enumeration(model, text, n):
         seen.add(path)
 
 
-def test_decoding_is_the_library_s_and_the_round_trip(spark, table, path):
+def test_decoding_is_the_library_s_and_the_round_trip(spark, table, path, model):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rnd = random.Random(1)
@@ -71,6 +71,8 @@ def test_decoding_is_the_library_s_and_the_round_trip(spark, table, path):
         t = texts[r.rest.doc_id] or ""
         assert sp.decode(list(r.ids)) == back[r.rest.doc_id] == t
         assert r.nbest_scores == sorted(r.nbest_scores, reverse=True) and bool(r.ids) == bool(t)
+        ids, scores, _ = model.encode(t, 4)
+        assert (list(r.ids), list(r.nbest_scores)) == (ids, scores)
     assert encode(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 

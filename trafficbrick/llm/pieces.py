@@ -8,10 +8,12 @@ A-star search from the end of the lattice uses those scores as exact heuristics,
 so paths come out in order of score and the search opens little more than they
 hold.
 
-No piece has a U+2581 after another character, so every path passes the places
-where a blank follows one. The lattice falls apart there: each word is searched
-alone (and kept for its next occurrences), and the N best of the whole text are
-the N best sums of the words' alternatives.
+Where two neighbouring characters stand side by side in no piece at all (a letter
+and a blank after it, say), every path passes between them. The lattice falls
+apart there into *words*: each is searched alone, and the N best of the whole text
+are the N best sums of the words' alternatives. Only the N - 1 words whose second choice costs least can differ in
+those, so a forward and a backward pass give every word's best path and the cost
+of its second, and the A-star search runs for the words that can matter.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runs import parts, run_hashes
+
 BLANK = "▁"
 PENALTY = 10.0      # of a character without a piece, below the lowest score
-KEPT_WORDS = 300_000
-KEPT_LENGTH = 64
+KEPT_WORDS = 150_000     # best paths held by a task
+KEPT_SEARCHES = 10_000   # N-best lists held by a task
+SLICE = 1 << 18
 NBEST = 4
 
 
@@ -49,20 +55,27 @@ class Model:
         self.pieces = {self.names[i]: (i, sp.get_score(i)) for i in plain}
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces) or len(self.bytes) != 256:
             raise ValueError("the model needs byte pieces, and no piece with a blank inside")
-        self.longest = max(map(len, self.pieces))
+        pairs = {p[k:k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.pairs = np.array(sorted(ord(x[0]) << 32 | ord(x[1]) for x in pairs), dtype=np.uint64)
+        # every beginning of a piece: its id and score if it is a piece itself, else None
+        self.table: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.table.update(self.pieces)
         self.unknown = min((s for s in (v for _, v in self.pieces.values()) if s > -1e8), default=0.0) - PENALTY
         back = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([back[i]]) if i in back else b"" if i < n and (sp.is_control(i) or sp.is_unknown(i))
                     else self.names[i].replace(BLANK, " ").encode() for i in range(n)]
-        self.kept: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.kept: dict[int, tuple[bytes, float, float]] = {}
+        self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the edges that arrive: start, score, ids."""
-        n, pieces = len(word), self.pieces
+        n, pieces, get = len(word), self.pieces, self.table.get
         into: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = pieces.get(word[i:j])
+            for j in range(i + 1, n + 1):
+                found = get(word[i:j], False)
+                if found is False:
+                    break
                 if found:
                     into[j].append((i, found[1], (found[0],)))
             if word[i] not in pieces:
@@ -71,7 +84,7 @@ class Model:
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` segmentations of the highest scores (all, if fewer), best first."""
-        found = self.kept.get((word, n))
+        found = self.searched.get((word, n))
         if found is not None:
             return found
         into = self.edges(word)
@@ -92,33 +105,85 @@ class Model:
             for i, s, ids in into[j]:
                 count += 1
                 heapq.heappush(heap, (-(best[i] + behind + s), count, i, behind + s, (ids, path)))
-        if len(word) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word, n] = out
+        if len(self.searched) >= KEPT_SEARCHES:
+            self.searched.clear()
+        if len(word) <= 64:
+            self.searched[word, n] = out
         return out
 
+    def best(self, word: str) -> tuple[bytes, float, float]:
+        """Ids (little-endian 32-bit) and score of the best path, and how much less the
+        second best scores (infinite without one): the best path through any edge
+        that the best one does not take."""
+        n, pieces, get = len(word), self.pieces, self.table.get
+        ahead, come = [0.0] + [-np.inf] * n, [(0, ())] * (n + 1)
+        edges = []
+        for i in range(n):
+            score = ahead[i]
+            for j in range(i + 1, n + 1):
+                found = get(word[i:j], False)
+                if found is False:
+                    break
+                if found:
+                    own = found[1]
+                    edges.append((i, j, own))
+                    if score + own > ahead[j]:
+                        ahead[j], come[j] = score + own, (i, (found[0],))
+            if word[i] not in pieces:
+                edges.append((i, i + 1, self.unknown))
+                if score + self.unknown > ahead[i + 1]:
+                    ahead[i + 1], come[i + 1] = score + self.unknown, (i, tuple(self.bytes[b] for b in word[i].encode()))
+        behind = [-np.inf] * n + [0.0]
+        for i, j, score in reversed(edges):
+            if score + behind[j] > behind[i]:
+                behind[i] = score + behind[j]
+        path, ids, j = set(), [], n
+        while j:
+            i, own = come[j]
+            path.add((i, j))
+            ids.append(own)
+            j = i
+        second = max((ahead[i] + score + behind[j] for i, j, score in edges if (i, j) not in path), default=-np.inf)
+        flat = [x for own in reversed(ids) for x in own]
+        return np.array(flat, dtype="<i4").tobytes(), ahead[n], ahead[n] - second
+
+    def totals(self, total: float, words: list[str], n: int) -> tuple[list[float], list[list[tuple[int, tuple[int, ...]]]]]:
+        """The ``n`` best scores of a text whose best is ``total``, from the (at most
+        ``n - 1``) words with the cheapest second choice, and what each changes."""
+        choices: list[tuple[float, tuple]] = [(0.0, ())]
+        for k, word in enumerate(words):
+            found = self.nbest(word, n)
+            top = found[0][0]
+            choices = heapq.nsmallest(n, [(c + top - s, w + ((k, ids),) if m else w) for c, w in choices
+                                          for m, (s, ids) in enumerate(found)], key=lambda x: x[0])
+        return [total - c for c, _ in choices], [list(w) for _, w in choices]
+
+    def heads(self, points: np.ndarray) -> np.ndarray:
+        """Mask of the characters that start a word (the first does)."""
+        head = np.ones(len(points), dtype=bool)
+        pair = points[:-1].astype(np.uint64) << np.uint64(32) | points[1:].astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        head[1:] = self.pairs[at] != pair
+        return head
+
     def words(self, text: str) -> list[str]:
-        return re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + text.replace(" ", BLANK)) if text else []
+        if not text:
+            return []
+        whole = BLANK + text.replace(" ", BLANK)
+        start = np.flatnonzero(self.heads(np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32))).tolist()
+        return [whole[a:b] for a, b in zip(start, [*start[1:], len(whole)])]
 
     def encode(self, text: str, n: int) -> tuple[list[int], list[float], list[list[tuple[int, tuple[int, ...]]]]]:
         """Ids of the best segmentation, the scores of the ``n`` best, and for each of
         those the words (by place) that it segments otherwise, with their ids."""
         words = self.words(text)
-        found = [self.nbest(w, n) for w in words]
-        ids: list[int] = []
-        total = 0.0
-        for options in found:
-            ids.extend(options[0][1])
-            total += options[0][0]
-        # only the n - 1 places with the cheapest second choice can differ in the n best
-        loss = [(options[0][0] - options[1][0], k) for k, options in enumerate(found) if len(options) > 1]
-        choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, k in heapq.nsmallest(n - 1, loss):
-            top = found[k][0][0]
-            choices = heapq.nsmallest(n, [(c + top - s, w + ((k, ids2),) if m else w) for c, w in choices
-                                          for m, (s, ids2) in enumerate(found[k])], key=lambda x: x[0])
-        return ids, [total - c for c, _ in choices], [list(w) for _, w in choices]
+        found = [self.best(w) for w in words]
+        ids = np.frombuffer(b"".join(f[0] for f in found), dtype="<i4").tolist()
+        if not words:
+            return [], [], []
+        order = [k for _, k in heapq.nsmallest(n - 1, [(f[2], k) for k, f in enumerate(found) if f[2] < np.inf])]
+        scores, changes = self.totals(sum(f[1] for f in found), [words[k] for k in order], n)
+        return ids, scores, [[(order[k], own) for k, own in change] for change in changes]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -131,34 +196,91 @@ def model_of(path: str) -> Model:
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
+    """(text, rest) -> rest, ids, nbest_scores; words are looked up once for each part of a batch."""
     m = model_of(path)
-    rest, ids, scores, size = [], [], [], 0
-
-    def made() -> pa.RecordBatch:
-        ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-        flat = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(rest), pa.ListArray.from_arrays(pa.array(ends), flat),
-                                           pa.array(scores, pa.list_(pa.float64()))], ["rest", "ids", "nbest_scores"])
-
     for b in batches:
-        for r, text in enumerate(b.column(0)):
-            best, s, _ = m.encode(text.as_py() or "", n)
-            rest.append(b.column(1).slice(r, 1))
-            ids.append(np.array(best, dtype=np.int32))
-            scores.append(s if best else [])
-            size += len(best)
-            if size >= 1 << 20:
-                yield made()
-                rest, ids, scores, size = [], [], [], 0
-    if rest:
-        yield made()
+        total = np.zeros(b.num_rows)
+        cheap: list[list[tuple[float, str]]] = [[] for _ in range(b.num_rows)]
+        ids: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+        before = -1
+        for part in parts(b.column(0), SLICE):
+            points = np.where(part.points == 0x20, np.uint32(ord(BLANK)), part.points)
+            # the dummy blank before each text (not before the next stretch of a long one)
+            rows = np.flatnonzero(np.diff(part.offsets))
+            fresh = rows if part.lo != before or part.hi - part.lo > 1 else rows[:0]
+            before = part.hi - 1
+            shift = np.zeros(part.hi - part.lo + 1, dtype=np.int64)
+            shift[fresh + 1] = 1
+            points = np.insert(points, part.offsets[fresh], np.uint32(ord(BLANK)))
+            offsets = part.offsets + np.cumsum(shift)
+            if not len(points):
+                continue
+            head = m.heads(points)
+            head[offsets[:-1][np.diff(offsets) > 0]] = True
+            start = np.flatnonzero(head)
+            end = np.r_[start[1:], len(points)]
+            text = points.tobytes().decode("utf-32-le")
+            keys, where, back = np.unique(run_hashes(points, start, end), return_index=True, return_inverse=True)
+            if len(m.kept) > KEPT_WORDS:
+                m.kept.clear()
+            known = [m.kept.get(k) for k in keys.tolist()]
+            for k, found in enumerate(known):
+                if found is None:
+                    known[k] = m.best(text[start[where[k]]:end[where[k]]])
+                    m.kept[int(keys[k])] = known[k]
+            pool = np.frombuffer(b"".join(f[0] for f in known), dtype="<i4")
+            size = np.array([len(f[0]) // 4 for f in known])
+            base = np.cumsum(size) - size
+            score, loss = np.array([f[1] for f in known])[back], np.array([f[2] for f in known])[back]
+            many = size[back]
+            at = np.r_[0, np.cumsum(many)]
+            flat = pool[np.arange(at[-1]) + np.repeat(base[back] - at[:-1], many)]
+            row = np.searchsorted(offsets, start, "right") - 1
+            total[part.lo:part.hi] += np.bincount(row, score, part.hi - part.lo)
+            cuts = at[np.searchsorted(start, offsets)]
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                ids[part.lo + r].append(flat[cuts[r]:cuts[r + 1]])
+            order = np.lexsort((loss, row))
+            order = order[loss[order] < np.inf]
+            first = np.searchsorted(row[order], row[order], "left")
+            for k in order[np.arange(len(order)) - first < n - 1].tolist():
+                cheap[part.lo + row[k]].append((float(loss[k]), text[start[k]:end[k]]))
+        scores = [m.totals(total[r], [w for _, w in heapq.nsmallest(n - 1, cheap[r], key=lambda x: x[0])], n)[0] if ids[r] else []
+                  for r in range(b.num_rows)]
+        whole = [np.concatenate(x) if x else np.zeros(0, dtype="<i4") for x in ids]
+        lens = np.cumsum([len(x) for x in whole])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + SLICE, "right")))
+            ends = np.r_[0, np.cumsum([len(x) for x in whole[lo:hi]])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole[lo:hi]))),
+                 pa.array(scores[lo:hi], pa.list_(pa.float64()))], ["rest", "ids", "nbest_scores"])
+            lo = hi
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     m = model_of(path)
+    pool = np.frombuffer(b"".join(m.raw), dtype=np.uint8)
+    size = np.array([len(x) for x in m.raw], dtype=np.int64)
+    base = np.cumsum(size) - size
     for b in batches:
-        text = [None if ids is None else m.decode(ids) for ids in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(text, pa.string())], ["rest", "text"])
+        lens = np.asarray(pc.fill_null(pc.list_value_length(b.column(0)), 0), dtype=np.int64)
+        flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        null = np.asarray(b.column(0).is_null())
+        cum = np.cumsum(lens)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(cum, (cum[lo - 1] if lo else 0) + SLICE, "right")))
+            ids = flat[cum[lo] - lens[lo]:cum[hi - 1]]
+            many = size[ids]
+            at = np.r_[0, np.cumsum(many)]
+            raw = pool[np.arange(at[-1]) + np.repeat(base[ids] - at[:-1], many)].tobytes()
+            ends = at[np.r_[0, np.cumsum(lens[lo:hi])]].tolist()
+            text = [None if null[lo + k] else raw[x:y].removeprefix(b" ").decode(errors="replace")
+                    for k, (x, y) in enumerate(zip(ends, ends[1:]))]
+            yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(text, pa.string())], ["rest", "text"])
+            lo = hi
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", nbest: int = NBEST) -> DataFrame:
