@@ -14,9 +14,11 @@ around them are compared by a 96-bit hash, once for each text, and the smallest
 document of each decides.
 
 Distribution. Anchors and windows are only ever counted by key with map-side
-combine and joined back by key, so a passage shared by a third of all documents
-costs one row per task in the aggregate and a join that adaptive execution can
-split. No pairs are formed. Exact copies are settled by their digest alone.
+combine, written, and joined back by key, so a passage shared by a third of all
+documents costs one row per task in the aggregate, and its join is between two
+plain exchanges, which adaptive execution splits. No pairs are formed. Exact
+copies are settled by their digest alone. Each step's result is a small written
+table (keys, places); the shuffle files of a step go when it ends.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
 from .wordhash import Words, mix, rolling, slices, text_bytes
 
 # Perfect difference sets, by period.
@@ -181,31 +184,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.struct(*rest).alias("rest"))
     some = base.where(F.col("id").isNotNull())
-    # both joins on (id, tag) below read the same columns of the same rows, so
-    # Spark shuffles the texts once and reuses that exchange
     tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int").alias("tag")
     texts = some.select("id", tag, "text", "rest")
 
     anchors = some.select("id", F.xxhash64("text").alias("digest"), "text").mapInArrow(
         partial(_anchor_batches, size=size), f"anchor bigint, digest bigint, id {id_type}, spot bigint")
-    shared = (anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-                     .where(F.col("lo") != F.col("hi")).select("anchor"))
+    shared = written(anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+                            .where(F.col("lo") != F.col("hi")).select("anchor"), "shared-anchors")
     of_spot = [F.shiftright("spot", 16).cast("int").alias("place"), F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("tag")]
-    places = (anchors.select("anchor", "id", "spot").join(shared, "anchor").select("id", *of_spot)
-                     .groupBy("id", "tag").agg(F.collect_list("place").alias("places")))
-
-    known = some.select("id", tag, F.unhex(F.sha2("text", 256)).alias("sha"))
-    first = known.groupBy("sha").agg(F.min("id").alias("first"))
-    copies = (known.join(first, "sha").where(F.col("id") > F.col("first"))
-                   .select("id", "tag", F.lit(True).alias("copy")).distinct())
-
-    windows = (texts.join(places.join(copies, ["id", "tag"], "left_anti"), ["id", "tag"])
-                    .select("id", "tag", "text", "places", "rest")
-                    .mapInArrow(partial(_window_batches, size=size),
-                                f"h1 bigint, h2 int, id {id_type}, spot bigint"))
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    starts = (windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least")).select("id", *of_spot)
-                     .groupBy("id", "tag").agg(F.collect_list("place").alias("starts")))
+    places = written(anchors.select("anchor", "id", "spot").join(shared, "anchor").select("id", *of_spot)
+                            .groupBy("id", "tag").agg(F.collect_list("place").alias("places")), "anchor-places")
+
+    known = some.select("id", tag, F.unhex(F.sha2("text", 256)).alias("key"))
+    first = known.groupBy("key").agg(F.min("id").alias("first"))
+    copies = written(known.join(first, "key").where(F.col("id") > F.col("first"))
+                          .select("id", "tag", F.lit(True).alias("copy")).distinct(), "copies")
+
+    windows = (texts.select("id", "tag", "text").join(places.join(copies, ["id", "tag"], "left_anti"), ["id", "tag"])
+                    .select("id", "tag", "text", "places")
+                    .mapInArrow(partial(_window_batches, size=size), f"h1 bigint, h2 int, id {id_type}, spot bigint"))
+    least = written(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+                           .where(F.col("n") > 1).select("h1", "h2", "least"), "repeated-windows")
+    starts = written(windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least")).select("id", *of_spot)
+                            .groupBy("id", "tag").agg(F.collect_list("place").alias("starts")), "repeat-starts")
     keyed = (texts.join(starts, ["id", "tag"], "left").join(copies, ["id", "tag"], "left")
                   .select("rest", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy")))
     without = base.where(F.col("id").isNull()).select("rest", "text", F.array().cast("array<int>").alias("starts"),
