@@ -88,3 +88,40 @@ def test_query_on_the_table(spark, sf_small):
     assert all(len(r.fingerprint) == 32 and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     mean = lambda c: sum(r[c] for r in got) / len(got)
     assert mean("near_edited") > mean("near_next") + 0.1
+
+
+def test_block_tables_at_the_query_s_radius(spark):
+    rnd = random.Random(12)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = set()
+    for _ in range(6):
+        b = rnd.getrandbits(128)
+        for _ in range(25):
+            x = b
+            for k in rnd.sample(range(128), rnd.randrange(12)):
+                x ^= 1 << k
+            prints.add(x)
+    df = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in prints], "hi long, lo long")
+    number = lambda hi, lo: (hi & (1 << 64) - 1) << 64 | lo & (1 << 64) - 1
+    for radius in (12, 15):
+        found = [frozenset((number(r.hi, r.lo), number(r.hi2, r.lo2))) for r in P.near_pairs(df, radius).collect()]
+        want = {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= radius}
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_edited_copies_of_ordinary_length_are_near(spark, sf_small, tmp_path):
+    rnd = random.Random(7)
+    grams = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    texts = [r.text.split() for r in spark.read.parquet(f"{sf_small}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    vocabulary, rows = [w for t in texts for w in t], []
+    for w in [t for t in texts if 200 <= len(t) <= 400][:60]:
+        v = list(w)
+        for k in rnd.sample(range(len(w)), len(w) // 60):
+            v[k] = rnd.choice(vocabulary)
+        a, b = grams(w), grams(v)
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    assert len(rows) >= 60
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = P.op7_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_near > 0 for r in got) >= 0.8 * len(rows)
