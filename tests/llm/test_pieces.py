@@ -88,3 +88,55 @@ def test_query_on_the_table(spark, sf_small):
     rows = op4_sentencepiece_nbest(spark, sf_small).collect()
     assert len(rows) == spark.read.parquet(f"{sf_small}/documents.parquet").count()
     assert all(r.round_trip for r in rows) and any(len(r.nbest_scores) == 4 for r in rows)
+
+
+def test_distributed_alternatives_match_enumeration(table, path, model):
+    from pyspark.sql import functions as F
+    from trafficbrick.llm.pieces import alternative
+    texts = ["hello", "the cat sat", " a  b", "naïve 日本𠮷", "x\ny\t", "🧿", "aaaaaaa", "", None]
+    got = encode(table([("i", k, t) for k, t in enumerate(texts)], SCHEMA), path, nbest=5)
+    rows = got.select("rest.doc_id", "ids", "nbest_scores",
+                      F.transform("changes", lambda c: alternative(F.col("ids"), c)).alias("paths")).collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        if not t:
+            assert r.paths == [] and r.nbest_scores == []
+            continue
+        all_ = every(model, BLANK + t.replace(" ", BLANK))
+        score = {x: s for s, x in all_}
+        paths = [tuple(p) for p in r.paths]
+        assert len(set(paths)) == len(paths) == min(5, len(all_)) and list(paths[0]) == r.ids
+        assert [score[p] for p in paths] == pytest.approx([s for s, _ in all_[:5]]) == r.nbest_scores
+
+
+def test_alternatives_of_long_texts_fall_in_place(table, path, model):
+    from pyspark.sql import functions as F
+    from trafficbrick.llm.pieces import alternative
+    texts = ["word " * 70_000 + "unbelievable", "a b c", "the quick brown fox " * 20]
+    got = encode(table([("i", k, t) for k, t in enumerate(texts)], SCHEMA), path)
+    rows = got.select("rest.doc_id", "nbest_scores", F.transform("changes", lambda c: alternative(F.col("ids"), c)).alias("paths")).collect()
+    price = dict(model.pieces.values())
+    for r in rows:
+        assert len({tuple(p) for p in r.paths}) == len(r.nbest_scores) == 4
+        for p, s in zip(r.paths, r.nbest_scores):
+            assert model.decode(p) == texts[r.doc_id] and sum(price[k] for k in p) == pytest.approx(s)
+
+
+def test_query_hashes_every_segmentation(spark, sf_small):
+    for r in op4_sentencepiece_nbest(spark, sf_small).collect():
+        assert len(r.nbest_hashes) == len(r.nbest_scores) == len(set(r.nbest_hashes))
+        assert r.nbest_hashes[:1] == [r.ids_hash][:len(r.nbest_hashes)]
+
+
+def test_equals_put_the_best_path_first():
+    m = object.__new__(Model)
+    names = ["a", "b", "c", "ab", "bc", "ca", "abc", "bca", "aa", "aaa"]
+    m.pieces = {p: (k, -1.0) for k, p in enumerate(names)}
+    m.table = {p[:k]: None for p in names for k in range(1, len(p))} | m.pieces
+    m.unknown, m.bytes, m.searched = -20.0, {}, {}
+    for word in ("abc", "abcabc", "abcab", "aaaa", "aaaaaaa", "bcaabca", "cabcabca"):
+        own = tuple(memoryview(m.best(word)[0]).cast("i"))
+        for n in (2, 4, 9):
+            found = m.nbest(word, n)
+            assert found[0][1] == own and len({x for _, x in found}) == len(found)
+            assert [s for s, _ in found] == [s for s, _ in every(m, word)[:n]]

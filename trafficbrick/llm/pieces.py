@@ -27,7 +27,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runs import parts, run_hashes
@@ -105,6 +105,9 @@ class Model:
             for i, s, ids in into[j]:
                 count += 1
                 heapq.heappush(heap, (-(best[i] + behind + s), count, i, behind + s, (ids, path)))
+        if len(out) > 1 and out[0][0] - out[1][0] < 1e-6:      # of equals, the one that best() takes comes first
+            own = tuple(np.frombuffer(self.best(word)[0], dtype="<i4").tolist())
+            out = [(out[0][0], own), *[x for x in out if x[1] != own]][:n]
         if len(self.searched) >= KEPT_SEARCHES:
             self.searched.clear()
         if len(word) <= 64:
@@ -196,11 +199,13 @@ def model_of(path: str) -> Model:
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
-    """(text, rest) -> rest, ids, nbest_scores; words are looked up once for each part of a batch."""
+    """(text, rest) -> rest, ids, nbest_scores, changes; words are looked up once for each part of a batch."""
     m = model_of(path)
+    kind = pa.list_(pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
     for b in batches:
         total = np.zeros(b.num_rows)
-        cheap: list[list[tuple[float, str]]] = [[] for _ in range(b.num_rows)]
+        cheap: list[list[tuple[float, str, int, int]]] = [[] for _ in range(b.num_rows)]     # loss, word, place and number of its ids
+        seen = np.zeros(b.num_rows, dtype=np.int64)
         ids: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
         before = -1
         for part in parts(b.column(0), SLICE):
@@ -244,9 +249,17 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Ite
             order = order[loss[order] < np.inf]
             first = np.searchsorted(row[order], row[order], "left")
             for k in order[np.arange(len(order)) - first < n - 1].tolist():
-                cheap[part.lo + row[k]].append((float(loss[k]), text[start[k]:end[k]]))
-        scores = [m.totals(total[r], [w for _, w in heapq.nsmallest(n - 1, cheap[r], key=lambda x: x[0])], n)[0] if ids[r] else []
-                  for r in range(b.num_rows)]
+                r = part.lo + row[k]
+                cheap[r].append((float(loss[k]), text[start[k]:end[k]], int(seen[r] + at[k] - cuts[row[k]]), int(many[k])))
+            seen[part.lo:part.hi] += np.diff(cuts)
+        scores: list[list[float]] = []
+        changes: list[list[list[dict]]] = []
+        for r in range(b.num_rows):
+            few = heapq.nsmallest(n - 1, cheap[r], key=lambda x: x[0])
+            sums, ranks = m.totals(total[r], [x[1] for x in few], n) if ids[r] else ([], [])
+            scores.append(sums)
+            changes.append([[{"at": few[k][2], "size": few[k][3], "ids": own} for k, own in sorted(rank, key=lambda x: few[x[0]][2])]
+                            for rank in ranks])
         whole = [np.concatenate(x) if x else np.zeros(0, dtype="<i4") for x in ids]
         lens = np.cumsum([len(x) for x in whole])
         lo = 0
@@ -255,7 +268,8 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Ite
             ends = np.r_[0, np.cumsum([len(x) for x in whole[lo:hi]])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole[lo:hi]))),
-                 pa.array(scores[lo:hi], pa.list_(pa.float64()))], ["rest", "ids", "nbest_scores"])
+                 pa.array(scores[lo:hi], pa.list_(pa.float64())), pa.array(changes[lo:hi], kind)],
+                ["rest", "ids", "nbest_scores", "changes"])
             lo = hi
 
 
@@ -284,15 +298,31 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", nbest: int = NBEST) -> DataFrame:
-    """``rest`` (struct of all columns of ``docs``), ``ids`` of the best segmentation and
-    ``nbest_scores`` (descending; fewer than ``nbest`` where the text has fewer segmentations).
+    """``rest`` (struct of all columns of ``docs``), ``ids`` of the best segmentation,
+    ``nbest_scores`` (descending; fewer than ``nbest`` where the text has fewer segmentations)
+    and ``changes``: for each of those scores, what its segmentation has in place of ``ids``
+    (``size`` ids from the 0-based place ``at`` on give way to ``ids``; ascending, none for
+    the best). ``alternative`` puts them in.
 
-    Null or empty text: no ids, no scores. Characters without a piece become
+    Null or empty text: no ids, no scores, no changes. Characters without a piece become
     their UTF-8 byte pieces. Repeated rows are encoded alike.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("rest"))
     return rows.mapInArrow(partial(_encode_batches, path=path, n=nbest),
-                           f"rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>, nbest_scores array<double>")
+                           f"rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>, nbest_scores array<double>, "
+                           "changes array<array<struct<at: bigint, size: int, ids: array<int>>>>")
+
+
+def alternative(ids: Column, change: Column) -> Column:
+    """The ids of one segmentation: ``ids`` with the places of ``change`` (an entry of ``changes``) replaced."""
+    def step(done: Column, c: Column) -> Column:
+        upto = c["at"].cast("int")
+        return F.struct(F.concat(done["out"], F.slice(ids, done["next"] + 1, upto - done["next"]), c["ids"]).alias("out"),
+                        (upto + c["size"]).alias("next"))
+
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("next"))
+    return F.aggregate(change, start, step,
+                       lambda done: F.concat(done["out"], F.slice(ids, done["next"] + 1, F.size(ids) - done["next"])))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -307,15 +337,17 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 
 def op4_sentencepiece_nbest(spark, sf_dir: str) -> DataFrame:
-    """Every document's best pieces, the scores of its four best segmentations, and the round trip."""
+    """Every document's best pieces, the scores of its four best segmentations the hash
+    of the ids of each, and the round trip of the best."""
     from ..session import read_table
     from .token_counts import tokenizer_path
     path = tokenizer_path("piece_bpe_32k.model")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     done = encode(docs, path).select(
         F.col("rest.doc_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"), "nbest_scores", "ids",
+        F.xxhash64("ids").alias("ids_hash"), "nbest_scores",
+        F.transform("changes", lambda c: F.xxhash64(alternative(F.col("ids"), c))).alias("nbest_hashes"), "ids",
         F.xxhash64(F.translate(F.coalesce("rest.text", F.lit("")), BLANK, " ")).alias("want"))
     back = decode(done, path)
-    return back.select("rest.doc_id", "rest.n_pieces", "rest.ids_hash", "rest.nbest_scores",
+    return back.select("rest.doc_id", "rest.n_pieces", "rest.ids_hash", "rest.nbest_scores", "rest.nbest_hashes",
                        (F.xxhash64("text") == F.col("rest.want")).alias("round_trip"))
