@@ -13,6 +13,7 @@ from .token_counts import op3_token_counts
 from .topk_search import op5_topk_search
 from .toxicity import op2_toxicity
 from .warc import op10_warc
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 # DuckDB SQL of the queries that SQL can express
@@ -97,7 +99,8 @@ _SIZES = [16 << k for k in range(12)]      # periods of up to 32,768 words
 # grams; its stretches of equal words that far apart are the runs
 SQL["op11_periodic_runs"] = rf"""
 WITH split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w,
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w,
          list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
              lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda k: CAST(-1 AS BIGINT))))),
            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END, 4294967295) AS crc
