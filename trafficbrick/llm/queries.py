@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op7_fingerprints
 from .jaccard_join import op6_jaccard_join
+from .language_id import op12_language_id
 from .packing import op9_best_fit_packing
 from .periodic_runs import op11_periodic_runs
 from .pieces import op4_sentencepiece_nbest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
     "op13_whitening": op13_whitening,
 }
 
