@@ -109,6 +109,36 @@ def test_block_tables_at_the_query_s_radius(spark):
         assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_counts_match_brute_force(spark):
+    """Blocks of few fingerprints: groups meet as pairs of blocks."""
+    rnd = random.Random(21)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = {}
+    for size in (1, 3, 70, 5):
+        b = rnd.getrandbits(128)
+        for _ in range(size):
+            x = b
+            for k in rnd.sample(range(128), rnd.randrange(12)):
+                x ^= 1 << k
+            prints[x] = prints.get(x, 0) + rnd.randrange(1, 4)
+    rows = [(signed(p >> 64), signed(p & (1 << 64) - 1), 1) for p, n in prints.items() for _ in range(n)]
+    df = spark.createDataFrame(rows + [(None, 1, 5)], "hi long, lo long, n long")
+    number = lambda hi, lo: (hi & (1 << 64) - 1) << 64 | lo & (1 << 64) - 1
+    for radius, size in ((12, 256), (12, 8), (3, 2)):
+        got = {number(r.hi, r.lo): r.n_near for r in P.near_counts(df, radius, size).collect()}
+        want = {a: sum(n for b, n in prints.items() if 0 < (a ^ b).bit_count() <= radius) for a in prints}
+        assert got == {a: n for a, n in want.items() if n}, (radius, size)
+    assert P.near_counts(df.limit(0)).count() == 0
+
+
+def test_n_near_of_the_query(spark, sf_small):
+    got = P.op7_fingerprints(spark, sf_small).collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    for r in got:
+        own = int(r.fingerprint, 16)
+        assert r.n_near == sum(0 < (own ^ p).bit_count() <= P.RADIUS for p in prints)
+
+
 def test_edited_copies_of_ordinary_length_are_near(spark, sf_small, tmp_path):
     rnd = random.Random(7)
     grams = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}

@@ -5,25 +5,26 @@ and its pairs of consecutive words (weight 2); each term's 128-bit hash votes on
 128 signed bits. Two 32-bit lanes of one bigint count two bits at once, so 64
 plain sums hold all votes and the aggregate stays in generated code.
 
-``near_pairs`` finds all fingerprints within a Hamming radius ``r``: the bits are
-cut into ``r + 2`` blocks, of which at least two agree; one table per pair of
-blocks is joined on both. A pair is reported by the first two blocks on which it
-agrees, once.
+``near_counts`` and ``near_pairs`` find all fingerprints within a Hamming radius ``r``: the
+bits are cut into ``r + 2`` blocks, of which at least two agree; one table per pair of
+blocks holds all fingerprints by both. A pair is found by the first two blocks on which
+it agrees, once.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
 from .tables import written
 
 BITS = 128
 RADIUS = 12     # holds 92% of edited copies of five-word Jaccard 0.8 to 0.9, 99.6% of those above (see README)
+GROUP = 256     # fingerprints of one key that lie in one array
 _LANES = (1 << 32) + 1
 _BLANKS = " \t\n\u000b\f\r"
 
@@ -82,42 +83,62 @@ def as_text(hi: str, lo: str) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (hi, lo)]))
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All pairs ``hi, lo, hi2, lo2`` of different fingerprints within ``radius``
-    bits, each once with ``(hi, lo) < (hi2, lo2)``.
+class _Tables:
+    """The bits cut into ``radius + 2`` blocks, and the pairs of blocks, one table each."""
 
-    ``prints`` has columns ``hi, lo``; equal fingerprints count once, nulls take
-    no part. ``radius`` must be 0 to 15.
-    """
-    if not 0 <= radius <= 15:
-        raise ValueError("radius must be 0 to 15")
-    n = radius + 2
-    cuts = [BITS * k // n for k in range(n + 1)]
-    tables = list(combinations(range(n), 2))
+    def __init__(self, radius: int):
+        if not 0 <= radius <= 15:
+            raise ValueError("radius must be 0 to 15")
+        self.radius, self.n = radius, radius + 2
+        self.cuts = [BITS * k // self.n for k in range(self.n + 1)]
+        self.pairs = list(combinations(range(self.n), 2))
 
-    def block(k: int, hi: Column, lo: Column) -> list[Column]:
+    def masks(self, k: int) -> tuple[int, int]:
+        """The bits of block ``k`` in ``hi`` and in ``lo``, as bigints."""
+        def mask(base: int) -> int:
+            a, b = max(self.cuts[k], base) - base, min(self.cuts[k + 1], base + 64) - base
+            bits = ((1 << b) - (1 << a)) if a < b else 0
+            return bits - (1 << 64) if bits >> 63 else bits
+        return mask(64), mask(0)
+
+    def block(self, k: int, hi: Column, lo: Column) -> list[Column]:
         """The bits of block ``k`` in ``lo`` and in ``hi`` (one of them where it has none in the other)."""
         parts = []
         for c, base in ((lo, 0), (hi, 64)):
-            a, b = max(cuts[k], base) - base, min(cuts[k + 1], base + 64) - base
+            a, b = max(self.cuts[k], base) - base, min(self.cuts[k + 1], base + 64) - base
             if a < b:
                 mask = (1 << (b - a)) - 1
                 parts.append(F.shiftrightunsigned(c, a).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)))
         return parts
 
-    # one row becomes len(tables): dealt out, and never broadcast
-    deal = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = (prints.select("hi", "lo").where(F.col("hi").isNotNull() & F.col("lo").isNotNull()).distinct()
-                 .repartition(deal, "hi", "lo"))
-    parts = [block(k, F.col("hi"), F.col("lo")) for k in range(n)]
-    # a hash collision only proposes a pair
-    table = one.select("hi", "lo", F.posexplode(F.array(*[F.xxhash64(*parts[i], *parts[j]) for i, j in tables])).alias("t", "key"))
+    def rows(self, prints: DataFrame) -> DataFrame:
+        """Each row of ``prints`` once for every table, with the table's number ``t`` and its ``key`` there
+        (a hash; a collision only proposes a pair)."""
+        parts = [self.block(k, F.col("hi"), F.col("lo")) for k in range(self.n)]
+        # one row becomes many: dealt out by another key than it lies by, so that the count of parts holds
+        deal = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = F.array(*[F.xxhash64(*parts[i], *parts[j]) for i, j in self.pairs])
+        return prints.repartition(deal, F.xxhash64("hi", "lo")).select("*", F.posexplode(keys).alias("t", "key"))
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All pairs ``hi, lo, hi2, lo2`` of different fingerprints within ``radius``
+    bits, each once with ``(hi, lo) < (hi2, lo2)``.
+
+    ``prints`` has columns ``hi, lo``; equal fingerprints count once, nulls take
+    no part. ``radius`` must be 0 to 15. Every pair is a row: where groups are large
+    and their number is all that is asked for, use ``near_counts``.
+    """
+    tables = _Tables(radius)
+    one = prints.select("hi", "lo").where(F.col("hi").isNotNull() & F.col("lo").isNotNull()).distinct()
+    table = tables.rows(one)
     a, b = table.hint("merge").alias("a"), table.alias("b")
     hi, lo = F.col("a.hi").bitwiseXOR(F.col("b.hi")), F.col("a.lo").bitwiseXOR(F.col("b.lo"))
     agree = reduce(lambda x, y: x.bitwiseOR(y), [
-        F.when(reduce(lambda x, y: x & y, [p == 0 for p in block(k, hi, lo)]), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(n)])
-    upto = F.get(F.lit([(2 << j) - 1 for _, j in tables]), F.col("a.t"))
-    own = F.get(F.lit([1 << i | 1 << j for i, j in tables]), F.col("a.t"))
+        F.when(reduce(lambda x, y: x & y, [p == 0 for p in tables.block(k, hi, lo)]), F.lit(1 << k)).otherwise(F.lit(0))
+        for k in range(tables.n)])
+    upto = F.get(F.lit([(2 << j) - 1 for _, j in tables.pairs]), F.col("a.t"))
+    own = F.get(F.lit([1 << i | 1 << j for i, j in tables.pairs]), F.col("a.t"))
     less = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
     close = distance(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo")) <= radius
     return (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & less & close
@@ -125,6 +146,57 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
              .select("a.hi", "a.lo", F.col("b.hi").alias("hi2"), F.col("b.lo").alias("lo2")))
 
 
+def near_counts(prints: DataFrame, radius: int = RADIUS, size: int = GROUP) -> DataFrame:
+    """``hi, lo, n_near`` of the fingerprints that have others within ``radius`` bits: the
+    sum of ``n`` over the different ones that are that near.
+
+    ``prints`` has ``hi, lo, n`` (a count); equal fingerprints add up, nulls take no part;
+    ``radius`` must be 0 to 15. An empty table gives an empty result.
+
+    Fingerprints of one key lie in blocks of at most ``size``, one array row each; blocks of
+    the same key meet in pairs, dealt out singly, and the hits are counted inside the arrays.
+    So a row stands for a fingerprint in a pair of blocks, never for a pair of
+    fingerprints. A pair counts in the first of the tables whose two blocks it agrees on.
+    """
+    tables = _Tables(radius)
+    one = (prints.where(F.col("hi").isNotNull() & F.col("lo").isNotNull())
+                 .groupBy("hi", "lo").agg(F.sum("n").cast("bigint").alias("n")))
+    whole = Window.partitionBy("t", "key")
+    met = (tables.rows(one).withColumn("many", F.count(F.lit(1)).over(whole)).where(F.col("many") > 1)
+                 .withColumn("b", F.floor((F.row_number().over(whole.orderBy("hi", "lo")) - 1) / size).cast("int")))
+    blocks = (met.groupBy("t", "key", "b").agg(F.collect_list(F.struct("hi", "lo", "n")).alias("a"),
+                                               (F.floor((F.first("many") - 1) / size) + 1).cast("int").alias("m")))
+    blocks = written(blocks, "print-blocks")
+    several = blocks.where(F.col("m") > 1)
+    # block b meets each other block of its key, under the pair's two numbers
+    dealt = several.select("t", "key", "b", "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).where("o <> b")
+    ends = ["t", "key", "x", "y"]
+    low = dealt.where("b < o").select("t", "key", F.col("b").alias("x"), F.col("o").alias("y"), F.col("a").alias("own"))
+    high = dealt.where("b > o").select("t", "key", F.col("o").alias("x"), F.col("b").alias("y"), F.col("a").alias("other"))
+    across = low.hint("merge").join(high, ends).select("t", "own", "other")
+    meetings = (blocks.select("t", F.col("a").alias("own"), F.col("a").alias("other")).unionByName(across)
+                      .unionByName(across.select("t", F.col("other").alias("own"), F.col("own").alias("other"))))
+
+    # of each table, the blocks before its second one but its first: none of them may agree
+    before = [[tables.masks(k) for k in range(j) if k != i] for i, j in tables.pairs]
+    kind = "array<array<struct<hi:bigint,lo:bigint>>>"
+    masks = F.get(F.from_json(F.lit(json.dumps([[{"hi": h, "lo": v} for h, v in row] for row in before])), kind), F.col("t"))
+
+    def hits(x: Column) -> Column:
+        """The sum of ``n`` over the entries of ``other`` that are near ``x``."""
+        def add(total: Column, y: Column) -> Column:
+            hi, lo = x["hi"].bitwiseXOR(y["hi"]), x["lo"].bitwiseXOR(y["lo"])
+            first = F.forall("masks", lambda m: (hi.bitwiseAND(m["hi"]).bitwiseOR(lo.bitwiseAND(m["lo"]))) != 0)
+            apart = F.bit_count(hi) + F.bit_count(lo)
+            return F.when((apart <= radius) & (apart > 0), F.when(first, total + y["n"]).otherwise(total)).otherwise(total)
+        return F.aggregate("other", F.lit(0).cast("bigint"), add)
+
+    found = (meetings.withColumn("masks", masks)
+                     .select(F.explode(F.transform("own", lambda x: F.struct(x["hi"], x["lo"], hits(x).alias("c")))).alias("f"))
+                     .select("f.hi", "f.lo", "f.c").where(F.col("c") > 0))
+    return found.groupBy("hi", "lo").agg(F.sum("c").alias("n_near"))
+
+
 CUTS = 128
 
 
@@ -210,15 +282,8 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, their likenesses, and how many other documents
     have a different fingerprint within the radius (``n_near``)."""
     from ..session import read_table
-    where = scratch_path(spark, "fingerprints")
-    fingerprint_with_edits(read_table(spark, sf_dir, "documents")).write.parquet(where)
-    f = spark.read.parquet(where)
-    weights = f.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(near_pairs(weights), "near-pairs")
-    both = pairs.unionByName(pairs.select(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"),
-                                          F.col("hi").alias("hi2"), F.col("lo").alias("lo2")))
-    near = (both.join(weights.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "n"), ["hi2", "lo2"])
-                .groupBy("hi", "lo").agg(F.sum("n").alias("n_near")))
+    f = written(fingerprint_with_edits(read_table(spark, sf_dir, "documents")), "fingerprints")
+    near = near_counts(f.select("hi", "lo", F.lit(1).cast("bigint").alias("n")))
     return (f.join(near, ["hi", "lo"], "left")
              .select("doc_id", "n_chars", "edited_sha256", as_text("hi", "lo").alias("fingerprint"),
                      as_text("edited_hi", "edited_lo").alias("edited_fingerprint"),
