@@ -364,7 +364,7 @@ def train_network(docs: DataFrame, rows: int = ROWS, pieces: int = PIECES, round
     if len(langs) < 2:
         return net
     label = F.create_map(*[x for k, v in enumerate(langs) for x in (F.lit(v), F.lit(k))])[F.col("lang")]
-    shards = sample.select("shard", "key", "piece", label.alias("label"))
+    shards = sample.select("shard", "key", "piece", label.alias("label")).repartition(SHARDS, "shard")
     adam = Adam([np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()], 0)
     for turn in range(rounds):
         step = _shard_trainer(net, adam, batch, rate * 0.5 ** (4 * turn / rounds), turn)
