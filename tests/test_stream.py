@@ -1,10 +1,39 @@
 """Stream = batch over several micro-batches."""
 
-from trafficbrick.operators import hitters, summary
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from trafficbrick.operators import decode, hitters, rates, summary
 from trafficbrick.plans import summary as plan
-from trafficbrick.session import scratch_path
-from trafficbrick.sources.derived import load_packets
+from trafficbrick.schemas import PACKETS
+from trafficbrick.session import scratch_path, ship_package
+from trafficbrick.sources.derived import load_event_packets, load_packets
 from trafficbrick.streaming import bricks, fixtures, vote
+from trafficbrick.streaming import rates as srates
+from trafficbrick.streaming.start import start
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def run_to_table(spark, stream):
+    ship_package(spark)
+    out = scratch_path(spark, "t-out")
+    q = start(spark, stream.writeStream.outputMode("append").format("parquet").option("path", out)
+              .option("checkpointLocation", scratch_path(spark, "t-ckpt")).trigger(availableNow=True), 4)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out), [p.numInputRows for p in q.recentProgress]
+
+
+def same(got, want):
+    got = got.select(want.columns)
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
+
+
+def packet(seconds, seq, w=100, src=167772161, dst=134744072, eth=2048):
+    return (T0 + dt.timedelta(seconds=seconds), "eth0", seq, eth, 0, 6, src, dst, 1000 + seq, 80, w)
 
 
 def test_stream_bricks_equals_batch(spark, sf_small):
@@ -17,39 +46,99 @@ def test_stream_bricks_equals_batch(spark, sf_small):
                              scratch_path(spark, "t-ckpt"), duration="30 days", watermark="3650 days")
     q.awaitTermination()
     cells = bricks.read_stream_output(spark, out, "cells").drop("batch_id")
-    batch = plan.window_summary(p, "30 days").cells
+    batch = plan.window_summary(p, "30 days").cells.drop("flow_bytes")
     assert cells.count() == batch.count()
     assert cells.select(batch.columns).exceptAll(batch).count() == 0
     docs = bricks.read_stream_output(spark, out, "documents")
     assert docs.count() == batch.select("window_start").distinct().count()
+    # filed by date: a reader of one day lists that day alone
+    assert "date" in docs.columns and docs.where(F.col("date") != F.to_date("ts")).count() == 0
 
 
-def test_stream_vote_single_batch_equals_batch(spark, sf_small):
+def test_stream_vote_equals_batch_over_micro_batches(spark, sf_small):
     p = load_packets(spark, sf_small)
     src = scratch_path(spark, "t-vote")
-    fixtures.write_packet_stream(p, src, files=3)
-    out = scratch_path(spark, "t-vote-out")
-    q = (vote.stream_vote(fixtures.read_packet_stream(spark, src), "30 days")
-         .writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "t-vote-ckpt")).trigger(availableNow=True).start())
+    fixtures.write_ordered_stream(p, src, 6)
+    v, rows = run_to_table(spark, vote.stream_vote(fixtures.read_packet_stream(spark, src, 1), "30 days", slices=8))
+    assert sum(n > 1 for n in rows) >= 5
+    same(v, hitters.vote_hitters(summary.binned_packets(p, "30 days")).select(v.columns))
+
+
+def test_stream_vote_drops_late_rows(spark):
+    """Rows of a closed window are dropped, whether its state is gone or never was; rows of an
+    open window behind the watermark count."""
+    src = scratch_path(spark, "t-vote-late")
+    batches = [[packet(s, s) for s in range(10)],
+               [packet(9.5, 20, 5000, src=7), packet(1, 21, 9000, src=8), packet(20, 22)],
+               [packet(2, 23, 9000, src=9), packet(10.5, 24, 9000, src=9), packet(3600, 25)]]
+    for rows in batches:
+        spark.createDataFrame(rows, PACKETS).coalesce(1).write.mode("append").parquet(src)
+    v, _ = run_to_table(spark, vote.stream_vote(fixtures.read_packet_stream(spark, src, 1), "10 seconds", "3 seconds", slices=2))
+    got = {(r.window_start, r.src_ip): r["count"] for r in v.collect()}
+    # the second batch meets a watermark of 6 s: its rows are in time, in touched cells and new ones; the third
+    # meets 17 s: the row at 2 s is late, that at 10.5 s belongs to a window that is still open
+    assert got == {(T0, 167772161): 1000, (T0, 7): 5000, (T0, 8): 9000, (T0 + dt.timedelta(seconds=10), 9): 9000,
+                   (T0 + dt.timedelta(seconds=20), 167772161): 100}
+
+
+def test_votes_and_estimates_join_live(spark, sf_small):
+    p = load_packets(spark, sf_small)
+    src, out = scratch_path(spark, "t-join"), scratch_path(spark, "t-join-out")
+    fixtures.write_ordered_stream(p, src, 5)
+    ship_package(spark)
+    bricks.stream_bricks(fixtures.read_packet_stream(spark, src, 1), out, scratch_path(spark, "t-join-ckpt"), duration="30 days",
+                         hitters_by="vote", state_partitions=4, slices=8).awaitTermination()
+    want = plan.window_summary(p, "30 days", hitters_by="vote")
+    same(bricks.read_stream_output(spark, out, "cells"), want.cells.drop("flow_bytes"))
+    same(bricks.read_stream_output(spark, out, "report"), want.report)
+    same(bricks.read_stream_output(spark, out, "documents"), want.documents)
+    with pytest.raises(ValueError):
+        bricks.closed_windows(p, "30 days", "0 seconds", hitters_by="other")
+
+
+def test_silent_windows_get_documents(spark):
+    """A gap of several windows, one with traffic that is not IPv4 only, and silent windows at the end."""
+    rows = [packet(1, 1), packet(2, 2), packet(16, 3), packet(17, 4, eth=34525), packet(22, 5, eth=34525), packet(31, 6)]
+    src, out = scratch_path(spark, "t-fill"), scratch_path(spark, "t-fill-out")
+    for r in (rows[:2], rows[2:4], rows[4:5], rows[5:], [packet(39, 7, eth=34525)]):
+        spark.createDataFrame(r, PACKETS).coalesce(1).write.mode("append").parquet(src)
+    ship_package(spark)
+    q = bricks.stream_bricks(fixtures.read_packet_stream(spark, src, 1), out, scratch_path(spark, "t-fill-ckpt"),
+                             duration="3 seconds", fill=True, state_partitions=4)
     q.awaitTermination()
-    v = spark.read.parquet(out)
-    bv = hitters.vote_hitters(summary.binned_packets(p, "30 days")).select(v.columns)
-    assert v.count() == bv.count()
-    assert v.exceptAll(bv).count() == 0
+    docs = bricks.read_stream_output(spark, out, "documents").select("ts", "data", "hitters")
+    batch = plan.window_summary(spark.createDataFrame(rows, PACKETS), "3 seconds", fill=True).documents
+    live = docs.where(F.col("ts") <= F.lit(T0 + dt.timedelta(seconds=33)))
+    same(live, batch)
+    later = sorted((r.ts, sum(r.data)) for r in docs.where(F.col("ts") > F.lit(T0 + dt.timedelta(seconds=33))).collect())
+    assert later == [(T0 + dt.timedelta(seconds=36), 0), (T0 + dt.timedelta(seconds=39), 0)]
+    # the same windows again from a replayed batch: nothing is added
+    n = bricks.read_stream_output(spark, out, "cells").count()
+    rows_of = plan.flows_of(spark.createDataFrame(rows[:2], PACKETS), "3 seconds")
+    batch_id = bricks.read_stream_output(spark, out, "cells").agg(F.min("batch_id")).first()[0]
+    bricks.write_closed(rows_of, out, batch_id)
+    assert bricks.read_stream_output(spark, out, "cells").count() == n
+
+
+def test_live_rates_equal_batch(spark, sf_small):
+    p = load_event_packets(spark, sf_small).unionByName(load_packets(spark, sf_small).where("seq % 3 = 0"))
+    src = scratch_path(spark, "t-rates")
+    fixtures.write_ordered_stream(p, src, 5)
+    stream = fixtures.read_packet_stream(spark, src, 1)
+    totals = summary.traffic_totals(p, "1 day")
+    cumulative = rates.cumulative_rates(totals)
+    live, _ = run_to_table(spark, srates.stream_rates(stream, "1 day"))
+    same(live.where("device <> 'sentinel'"), cumulative)
+    last, _ = run_to_table(spark, srates.stream_rates(stream, "1 day", since="last"))
+    same(last.where("device <> 'sentinel'"), rates.interval_rates(cumulative))
+    with pytest.raises(ValueError):
+        srates.stream_rates(stream, "1 day", since="never")
 
 
 def test_late_rows_are_dropped(spark):
     """a row older than the watermark, arriving in a later micro-batch, is not counted."""
-    import datetime as dt
-    from trafficbrick.schemas import PACKETS
     src = scratch_path(spark, "t-late")
-    t = dt.datetime(2024, 1, 1)
-
-    def pk(ts, seq, w):
-        return (ts, "eth0", seq, 2048, 0, 6, 167772161, 134744072, 1000, 80, w)
-
-    first = [pk(t + dt.timedelta(seconds=s), s, 100) for s in range(0, 10)]
+    first = [packet(s, s) for s in range(0, 10)]
     spark.createDataFrame(first, PACKETS).coalesce(1).write.parquet(src + "/b1")
     out = scratch_path(spark, "t-late-out")
     ck = scratch_path(spark, "t-late-ckpt")
@@ -60,9 +149,15 @@ def test_late_rows_are_dropped(spark):
         q.awaitTermination()
 
     run()  # watermark is now 9 s - 2 s = 7 s: windows [0,3) and [3,6) are closed
-    late_and_sentinel = [pk(t + dt.timedelta(seconds=1), 100, 5000), pk(t + dt.timedelta(hours=1), 101, 1)]
+    late_and_sentinel = [packet(1, 100, 5000), packet(3600, 101, 1)]
     spark.createDataFrame(late_and_sentinel, PACKETS).coalesce(1).write.parquet(src + "/b2")
     run()
     cells = bricks.read_stream_output(spark, out, "cells")
     got = {r.window_start.second: r.bytes for r in cells.collect() if r.window_start.hour == 0}
     assert got == {0: 300, 3: 300, 6: 300, 9: 100}
+
+
+def test_decode_is_used_by_the_clock(spark):
+    """Frames that are not IPv4 move the watermark but are not in the windows."""
+    p = spark.createDataFrame([packet(1, 1), packet(2, 2, eth=34525)], PACKETS)
+    assert vote.clocked(p, "3 seconds", "0 seconds").count() == decode.ipv4_only(p).count() == 1

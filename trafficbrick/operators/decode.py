@@ -65,9 +65,14 @@ def decode_frames(frames: DataFrame, frame_col: str = "frame") -> DataFrame:
     )
 
 
+def is_ipv4() -> Column:
+    """Whether a packet is a decodable IPv4 packet."""
+    return (F.col("eth_type") == ETH_IPV4) & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+
+
 def ipv4_only(packets: DataFrame) -> DataFrame:
     """Keep decodable IPv4 packets (B3); a plain filter, pushed into parquet scans."""
-    return packets.where((F.col("eth_type") == ETH_IPV4) & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
+    return packets.where(is_ipv4())
 
 
 def with_weight(df: DataFrame, weight: str = "bytes", name: str = "w") -> DataFrame:

@@ -23,14 +23,13 @@ def dlit(v: int) -> Column:
     return F.lit(str(v)).cast(DEC)
 
 
-def first_packet_key(ts: Column, window_start: Column, seq: Column) -> Column:
-    """Smaller = earlier: (microseconds since window start, seq).
+def first_packet_key(us: Column, seq: Column) -> Column:
+    """Smaller = earlier: (microseconds from 1970, seq).
 
     Packets tied on both carry the same capture position, so any of them is
     "the first".
     """
-    off = F.timestamp_diff("MICROSECOND", window_start, ts).cast(DEC)
-    return (off * dlit(SEQ_SPAN) + (seq.cast(DEC) + dlit(TWO63))).cast(DEC)
+    return (us.cast(DEC) * dlit(SEQ_SPAN) + (seq.cast(DEC) + dlit(TWO63))).cast(DEC)
 
 
 def pack_ports(sport: Column, dport: Column) -> Column:

@@ -26,15 +26,17 @@ def cumulative_rates(totals: DataFrame, bucket: str = "day", keys=("device",)) -
     b = F.date_trunc(bucket, F.col("window_end"))
     cum = running_sums(totals, keys, ["window_end"], ["packets", "line_bytes"], b)
     start = totals.groupBy(*keys).agg(F.min("window_start").alias("start"))
-    ms = delta_ms(F.col("window_end"), F.col("start"))
     # without keys the start is one row
-    return ((cum.join(start, keys, "left") if keys else cum.crossJoin(F.broadcast(start)))
-               .select(*keys, "window_end",
-                       F.col("packets_cum").cast("bigint").alias("packets"),
-                       F.col("line_bytes_cum").cast("bigint").alias("bytes"),
-                       ms.alias("ms"))
-               .withColumn("pps", F.col("packets") * 1000.0 / F.col("ms"))
-               .withColumn("mbps", F.col("bytes") * 8.0 / (F.col("ms") * 1000.0)))
+    j = cum.join(start, keys, "left") if keys else cum.crossJoin(F.broadcast(start))
+    return with_total_rates(j.select(*keys, "window_end", "start", F.col("packets_cum").cast("bigint").alias("packets"),
+                                     F.col("line_bytes_cum").cast("bigint").alias("bytes")), keys)
+
+
+def with_total_rates(counters: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates of counters ``packets, bytes`` from ``start`` to ``window_end``."""
+    return (counters.select(*keys, "window_end", "packets", "bytes", delta_ms(F.col("window_end"), F.col("start")).alias("ms"))
+                    .withColumn("pps", F.col("packets") * 1000.0 / F.col("ms"))
+                    .withColumn("mbps", F.col("bytes") * 8.0 / (F.col("ms") * 1000.0)))
 
 
 def interval_rates(cumulative: DataFrame, bucket: str = "day", keys=("device",)) -> DataFrame:
@@ -44,14 +46,18 @@ def interval_rates(cumulative: DataFrame, bucket: str = "day", keys=("device",))
     gigabits, as a native monitor's integer counters do.
     """
     keys = list(keys)
-    b = F.date_trunc(bucket, F.col("window_end"))
-    p = previous_row(cumulative.select(*keys, "window_end", "packets", "bytes"), keys, ["window_end"],
-                     ["window_end", "packets", "bytes"], b)
-    ms = delta_ms(F.col("window_end"), F.col("prev_window_end"))
+    p = previous_row(cumulative.select(*keys, "window_end", "packets", "bytes"), keys, "window_end",
+                     ["window_end", "packets", "bytes"], F.date_trunc(bucket, F.col("window_end")))
+    return with_interval_rates(p, keys)
+
+
+def with_interval_rates(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates between each sample of counters and the one before (``prev_*``; rows without one go)."""
     secs = F.col("ms") / 1000.0
-    return (p.where(F.col("prev_window_end").isNotNull())
-             .select(*keys, "window_end", (F.col("packets") - F.col("prev_packets")).alias("packets"),
-                     (F.col("bytes") - F.col("prev_bytes")).alias("bytes"), ms.alias("ms"))
-             .withColumn("pps", F.col("packets") / secs)
-             .withColumn("gbps", F.col("bytes") * 8.0 / 1e9 / secs)
-             .withColumn("gbps_trunc", F.floor(F.col("bytes") / BITS_PER_GIGABIT_BYTE) / secs))
+    return (samples.where(F.col("prev_window_end").isNotNull())
+                   .select(*keys, "window_end", (F.col("packets") - F.col("prev_packets")).alias("packets"),
+                           (F.col("bytes") - F.col("prev_bytes")).alias("bytes"),
+                           delta_ms(F.col("window_end"), F.col("prev_window_end")).alias("ms"))
+                   .withColumn("pps", F.col("packets") / secs)
+                   .withColumn("gbps", F.col("bytes") * 8.0 / 1e9 / secs)
+                   .withColumn("gbps_trunc", F.floor(F.col("bytes") / BITS_PER_GIGABIT_BYTE) / secs))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timecols import wallclock_micros
+
 
 def _order(cols, descending):
     return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
@@ -34,17 +36,20 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], cols: list[st
     return j.drop("_bkt", *[f"_off_{c}" for c in cols])
 
 
-def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column,
+def previous_row(df: DataFrame, keys: list[str], order: str, cols: list[str], bucket: Column,
                  prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<col>``: the value on the preceding row in ``order`` per ``keys``
-    (NULL on the first row)."""
-    d = df.withColumn("_bkt", bucket)
-    last = d.groupBy(*keys, "_bkt").agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_last"))
+    """Add ``prev_<col>``: the value on the preceding row by the time ``order`` per ``keys``
+    (NULL on the first row).
+
+    A bucket's last row is taken column by column with a plain number as the order, so the
+    aggregate keeps fixed-width buffers and is a hash aggregate.
+    """
+    d = df.withColumn("_bkt", bucket).withColumn("_at", wallclock_micros(F.col(order)))
+    last = d.groupBy(*keys, "_bkt").agg(*[F.max_by(c, "_at").alias(f"_last_{c}") for c in cols])
     w_b = Window.partitionBy(*keys).orderBy("_bkt")
-    carry = last.select(*keys, "_bkt", F.lag("_last").over(w_b).alias("_carry"))
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    carry = last.select(*keys, "_bkt", *[F.lag(f"_last_{c}").over(w_b).alias(f"_carry_{c}") for c in cols])
+    w = Window.partitionBy(*keys, "_bkt").orderBy("_at")
     j = d.join(carry, [*keys, "_bkt"], "left")
     for c in cols:
-        j = j.withColumn(f"{prefix}{c}", F.coalesce(F.lag(c).over(w), F.col("_carry")[c]))
-    return j.drop("_bkt", "_carry")
+        j = j.withColumn(f"{prefix}{c}", F.coalesce(F.lag(c).over(w), F.col(f"_carry_{c}")))
+    return j.drop("_bkt", "_at", *[f"_carry_{c}" for c in cols])

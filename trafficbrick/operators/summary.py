@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.addr import flow_label
 from ..functions.hashing import BRICK_DIM
+from ..functions.timecols import micros_to_wallclock, wallclock_micros
+from ..session import scratch_path
 from .binning import assign_bins
 from .decode import ipv4_only, with_weight, LINE_OVERHEAD
 
@@ -33,6 +35,15 @@ def binned_packets(packets: DataFrame, duration: str, strata: DataFrame | None =
     return assign_bins(with_window(p, duration), strata, reserved, **bin_kw)
 
 
+def kept_packets(binned: DataFrame) -> DataFrame:
+    """``binned`` with the columns that votes and sums need, written once under the checkpoint
+    folder and read back: for plans that go through the packets more than once."""
+    path = scratch_path(binned.sparkSession, "binned-packets")
+    (binned.select(*WINDOW_COLS, "src_bin", "dst_bin", "cell", "sub", "ts", "seq", "src_ip", "dst_ip", "w", "sport", "dport")
+           .write.parquet(path))
+    return binned.sparkSession.read.parquet(path)
+
+
 def brick(binned: DataFrame) -> DataFrame:
     """Sparse traffic matrix (E1): ``window, src_bin, dst_bin, cell, bytes``."""
     return (binned.groupBy(*WINDOW_COLS, "src_bin", "dst_bin")
@@ -71,6 +82,11 @@ def capture_totals(stats: DataFrame) -> DataFrame:
     Drop % is 0 when nothing was received, even if drops were counted.
     """
     t = stats.groupBy("ts").agg(F.sum("recv").cast("bigint").alias("recv"), F.sum("drop").cast("bigint").alias("drop"))
+    return with_drop_share(t)
+
+
+def with_drop_share(t: DataFrame) -> DataFrame:
+    """``ts, recv, drop`` with their ``total`` and ``drop_pct``."""
     pct = F.when(F.col("recv") == 0, F.lit(0.0)).otherwise(
         F.col("drop") * 100.0 / (F.col("recv") + F.col("drop")))
     return t.select("ts", "recv", "drop", (F.col("recv") + F.col("drop")).alias("total"), pct.alias("drop_pct"))
@@ -90,19 +106,22 @@ def _densify(arr, field: str, fill, n: int):
     return F.concat(body, F.array_repeat(fill_col, (F.lit(n) - F.size(body)).cast("int")))
 
 
-def _all_windows(cells: DataFrame, duration: str) -> DataFrame:
-    """Every window of ``duration`` from the first to the last of ``cells``; two
-    values reach the driver, the windows are made in Spark."""
-    at = F.unix_micros(F.col("window_start").cast("timestamp"))
-    step = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp") + F.expr(f"INTERVAL {duration}")) \
-        - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
+def all_windows(cells: DataFrame) -> DataFrame:
+    """Every window from the first to the last of ``cells``; two
+    values reach the driver, the windows are made in Spark.
+
+    Window bounds are wall-clock times and are read as such, in no zone, so clock changes
+    of the session's zone neither drop nor shift a window.
+    """
+    at = wallclock_micros(F.col("window_start"))
+    step = wallclock_micros(F.col("window_end")) - at
     r = cells.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max(step).alias("step")).first()
     n = 0 if r.lo is None else (r.hi - r.lo) // r.step + 1
-    start = lambda shift: F.timestamp_micros(F.lit(r.lo or 0) + (F.col("id") + shift) * F.lit(r.step or 1)).cast("timestamp_ntz")
-    return cells.sparkSession.range(n).select(start(0).alias("window_start"), start(1).alias("window_end"))
+    edge = lambda shift: micros_to_wallclock(F.lit(r.lo or 0) + (F.col("id") + shift) * F.lit(r.step or 1))
+    return cells.sparkSession.range(n).select(edge(0).alias("window_start"), edge(1).alias("window_end"))
 
 
-def dense_brick(cells: DataFrame, dim: int = BRICK_DIM, fill: str | None = None) -> DataFrame:
+def dense_brick(cells: DataFrame, dim: int = BRICK_DIM, fill: bool = False) -> DataFrame:
     """One document per window (E10): ``ts`` (window end), ``data`` (dim*dim bytes,
     row-major, zeros included) and ``hitters`` (flow labels, ``''`` when empty).
 
@@ -111,10 +130,16 @@ def dense_brick(cells: DataFrame, dim: int = BRICK_DIM, fill: str | None = None)
     most dim*dim sparse entries -- a bound set by the brick dimension, not by
     the traffic -- and fills the gaps with array functions; no grid is joined.
 
-    With ``fill`` (the window duration), windows between the first and the last
+    With ``fill``, windows between the first and the last
     that have no cell get a document of zeros too, as an exporter that runs on
     every tick writes.
     """
+    return dense_windows(cells, all_windows(cells) if fill else None, dim)
+
+
+def dense_windows(cells: DataFrame, windows: DataFrame | None = None, dim: int = BRICK_DIM) -> DataFrame:
+    """``dense_brick`` of exactly ``windows`` (``window_start, window_end``), zeros where one has no
+    cell; without ``windows``, of those that have cells."""
     n = dim * dim
     if "src_ip" in cells.columns:
         label = flow_label("src_ip", "sport", "dst_ip", "dport")
@@ -122,10 +147,9 @@ def dense_brick(cells: DataFrame, dim: int = BRICK_DIM, fill: str | None = None)
         label = F.lit("")
     entry = F.struct(F.col("cell").cast("int").alias("cell"), F.col("bytes").cast("bigint").alias("v"), label.alias("h"))
     per = cells.groupBy(*WINDOW_COLS).agg(F.sort_array(F.collect_list(entry)).alias("a"))
-    if fill:
+    if windows is not None:
         none = F.array().cast("array<struct<cell:int,v:bigint,h:string>>")
-        per = (_all_windows(cells, fill).join(per.drop("window_end"), "window_start", "left")
-               .withColumn("a", F.coalesce("a", none)))
+        per = windows.join(per.drop("window_end"), "window_start", "left").withColumn("a", F.coalesce("a", none))
     return per.select(
         F.col("window_end").alias("ts"),
         _densify(F.col("a"), "v", F.lit(0).cast("bigint"), n).alias("data"),

@@ -70,12 +70,12 @@ def q_vote_hitters_packets(spark, sf):
 
 
 def q_vote_merged_majority(spark, sf):
-    flagged = hitters.merged_majority(_binned(spark, sf))
+    flagged = hitters.merged_majority(summary.kept_packets(_binned(spark, sf)))
     return flagged.where("is_majority").select(*summary.WINDOW_COLS, "cell", "src_ip", "dst_ip")
 
 
 def q_majority_fraction(spark, sf):
-    b = _binned(spark, sf)
+    b = summary.kept_packets(_binned(spark, sf))
     return hitters.majority_fraction(hitters.verify_majority(b, hitters.vote_hitters(b)))
 
 
@@ -454,12 +454,15 @@ QUERIES["read_strata_file"] = q_read_strata_file
 
 # ------------------------------------------------------------------ F5 / F6 / A2 streaming
 from ..schemas import PACKET_COLUMNS  # noqa: E402
-from ..streaming import bricks as sbricks, fixtures as sfix, vote as svote  # noqa: E402
+from ..streaming import bricks as sbricks, fixtures as sfix, rates as srates, vote as svote  # noqa: E402
+from ..streaming.start import start  # noqa: E402
 
 
-# the files of a stream source are listed by the time they were written, which is
-# not the packets' time: a delay longer than any disorder keeps every row on time
+# the files of a stream source are listed by the time they were written, which need not
+# be the packets' time: a delay longer than any disorder keeps every row on time
 DELAY = "3650 days"
+TURNS = 6               # micro-batches of a stream whose files are written in time order
+TURN_ROWS = 4_000_000   # and as many more as keep each to so many packets
 
 
 def _state_partitions(spark):
@@ -472,6 +475,22 @@ def _stream_source(spark, sf):
     return path
 
 
+def _ordered_stream(spark, packets, closing=sfix.SENTINEL_TS):
+    """A stream of ``packets`` in time order, one file a micro-batch."""
+    path = scratch_path(spark, "ordered-stream")
+    sfix.write_ordered_stream(packets, path, max(TURNS, -(-packets.count() // TURN_ROWS)), closing)
+    return sfix.read_packet_stream(spark, path, 1)
+
+
+def _run_to_table(spark, stream, name):
+    """Run ``stream`` to its end; what it put out."""
+    out = scratch_path(spark, name)
+    w = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+               .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True))
+    start(spark, w, _state_partitions(spark)).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def q_stream_bricks(spark, sf):
     """Packets as a file stream -> windowed flow state -> closed windows rolled up per micro-batch."""
     src = _stream_source(spark, sf)
@@ -485,16 +504,56 @@ def q_stream_bricks(spark, sf):
 
 
 def q_stream_vote(spark, sf):
-    """Ordered vote with per-cell state in the state store, emitted on window close."""
-    src = _stream_source(spark, sf)
-    out = scratch_path(spark, "stream-vote")
-    w = (svote.stream_vote(sfix.read_packet_stream(spark, src), WINDOW)
-         .writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "stream-vote-ckpt"))
-         .trigger(availableNow=True))
-    q = sbricks.start_with_partitions(spark, w, _state_partitions(spark))
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    """Ordered vote with per-cell state over several micro-batches in time order, emitted on window close."""
+    return _run_to_table(spark, svote.stream_vote(_ordered_stream(spark, _packets(spark, sf)), WINDOW), "stream-vote")
+
+
+def _live(spark, stream, name, **kw):
+    out = scratch_path(spark, name)
+    sbricks.stream_bricks(stream, out, scratch_path(spark, f"{name}-ckpt"), state_partitions=_state_partitions(spark),
+                          **kw).awaitTermination()
+    return out
+
+
+def q_stream_vote_report(spark, sf):
+    """The live native pipeline: votes and estimates joined as windows close, ranked and reported."""
+    lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
+    out = _live(spark, _ordered_stream(spark, _packets(spark, sf)), "stream-vote-report", duration=WINDOW, hitters_by="vote",
+                strata=strata_from_lines(lines), reserved=reserved_bins(lines))
+    return sbricks.read_stream_output(spark, out, "report").select(*summary.WINDOW_COLS, "rank", "line")
+
+
+def q_stream_dense_filled(spark, sf):
+    """Hourly documents of the second device as they close, silent hours included."""
+    packets = derived.load_event_packets(spark, sf)
+    # the closing packet comes at the end of the last window with IPv4 traffic, so no silent one follows
+    last = summary.with_window(decode.ipv4_only(packets), FILL_WINDOW).agg(F.max("window_end")).first()[0]
+    stream = _ordered_stream(spark, packets.where(F.col("ts") < F.lit(last)), str(last))
+    out = _live(spark, stream, "stream-filled", duration=FILL_WINDOW, fill=True)
+    return sbricks.read_stream_output(spark, out, "documents").select("ts", "data", "hitters")
+
+
+def q_stream_interval_rates(spark, sf):
+    """Rates since the last sample of each device, one row a tick."""
+    stream = _ordered_stream(spark, _all_packets(spark, sf))
+    return _run_to_table(spark, srates.stream_rates(stream, TOTALS_WINDOW, since="last"), "stream-rates").where("device <> 'sentinel'")
+
+
+def q_stream_global_rates(spark, sf):
+    """Counters and rates of the whole monitor since its start, one row a tick."""
+    stream = _ordered_stream(spark, _all_packets(spark, sf))
+    return _run_to_table(spark, srates.stream_rates(stream, TOTALS_WINDOW, by_device=False), "stream-global-rates")
+
+
+def q_stream_capture_totals(spark, sf):
+    """Drop figures of capture counters that arrive as a stream; a later sample without counts closes the last one."""
+    path = scratch_path(spark, "capture-stats")
+    stats = derived.capture_stats_from_events(read_table(spark, sf, "events"))
+    stats.repartitionByRange("ts").write.parquet(path)
+    (spark.range(1).select(F.lit(sfix.SENTINEL_TS).cast("timestamp_ntz").alias("ts"), F.lit("").alias("device"),
+                           F.lit(0).cast("bigint").alias("recv"), F.lit(0).cast("bigint").alias("drop")).write.mode("append").parquet(path))
+    stream = spark.readStream.schema(stats.schema).parquet(path)
+    return _run_to_table(spark, srates.stream_capture_totals(stream, DELAY), "stream-capture-totals")
 
 
 def q_stream_captures(spark, sf):
@@ -532,7 +591,10 @@ def q_stream_late(spark, sf):
     return sbricks.read_stream_output(spark, out, "cells").select(*summary.WINDOW_COLS, "cell", "bytes", "est")
 
 
-QUERIES.update({"stream_late": q_stream_late, "stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures})
+QUERIES.update({"stream_late": q_stream_late, "stream_bricks": q_stream_bricks, "stream_vote": q_stream_vote, "stream_captures": q_stream_captures,
+                "stream_vote_report": q_stream_vote_report, "stream_dense_filled": q_stream_dense_filled,
+                "stream_interval_rates": q_stream_interval_rates, "stream_global_rates": q_stream_global_rates,
+                "stream_capture_totals": q_stream_capture_totals})
 
 
 # ------------------------------------------------------------------ D1/D2 seeded tables at scale

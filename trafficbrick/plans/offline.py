@@ -41,7 +41,7 @@ def summarize_packets(packets: DataFrame, out_path: str, duration: str = "3 seco
     top.write.mode("overwrite").parquet(f"{base}/top")
     unit = "bytes" if weight == "bytes" else "packets"
     hitter_report(spark.read.parquet(f"{base}/top"), unit).write.mode("overwrite").parquet(f"{base}/report")
-    write_bricks(dense_brick(stored, fill=duration if fill else None), f"{base}/documents", mode="overwrite")
+    write_bricks(dense_brick(stored, fill=fill), f"{base}/documents", mode="overwrite")
     return {n: f"{base}/{n}" for n in ("cells", "top", "report", "documents")}
 
 

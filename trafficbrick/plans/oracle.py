@@ -478,3 +478,10 @@ binned AS (
 SQL["brick_parity"] = with_(PACKETS, STRATA, windowed(), RAND) + """
 SELECT window_start, window_end, src_bin, dst_bin, src_bin * 128 + dst_bin AS cell, CAST(sum(w) AS BIGINT) AS bytes
 FROM binned GROUP BY ALL"""
+
+# live forms of batch results
+SQL["stream_vote_report"] = SQL["vote_hitter_report"]
+SQL["stream_dense_filled"] = SQL["dense_brick_filled"]
+SQL["stream_interval_rates"] = SQL["interval_rates"]
+SQL["stream_global_rates"] = SQL["global_rates"]
+SQL["stream_capture_totals"] = SQL["capture_totals"]

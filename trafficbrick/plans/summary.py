@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BRICK_DIM
+from ..functions.timecols import wallclock_micros
 from ..operators import keys as K
 from ..operators.binning import assign_bins
 from ..operators.decode import ipv4_only, with_weight
-from ..operators.hitters import hitter_report, top_hitters, vote_hitters
-from ..operators.summary import WINDOW_COLS, binned_packets, dense_brick, with_window
+from ..operators.hitters import flow_sums, hitter_report, top_hitters, vote_hitters
+from ..operators.summary import WINDOW_COLS, binned_packets, dense_brick, kept_packets, with_window
 
 
 @dataclass
@@ -37,7 +38,7 @@ def flows_of(packets: DataFrame, duration: str, weight: str = "bytes") -> DataFr
     """Packets -> flows ``(window, src_ip, dst_ip, bytes, packets, pp)``; ``pp``
     packs the ports of the flow's first packet."""
     p = with_window(with_weight(ipv4_only(packets), weight), duration)
-    first = K.first_packet_key(F.col("ts"), F.col("window_start"), F.col("seq"))
+    first = K.first_packet_key(wallclock_micros(F.col("ts")), F.col("seq"))
     return (p.groupBy(*WINDOW_COLS, "src_ip", "dst_ip")
              .agg(F.sum("w").alias("bytes"), F.count(F.lit(1)).alias("packets"),
                   F.min_by(K.pack_ports(F.col("sport"), F.col("dport")), first).alias("pp")))
@@ -91,16 +92,19 @@ def window_summary(packets: DataFrame, duration: str = "3 seconds", strata: Data
     """
     if hitters_by not in ("flow", "vote"):
         raise ValueError("hitters_by must be 'flow' or 'vote'")
-    flows = assign_bins(flows_of(packets, duration, weight), strata, reserved, dim=dim, **bin_kw)
-    cells = cells_of(flows, dim)
     if hitters_by == "vote":
-        binned = binned_packets(packets, duration, strata, reserved, weight, dim=dim, **bin_kw)
-        cells = with_candidates(cells, vote_hitters(binned))
+        # the votes need the packets, in order: bin once, then fold and sum what is written
+        binned = kept_packets(binned_packets(packets, duration, strata, reserved, weight, dim=dim, **bin_kw))
+        flows = flow_sums(binned, "sub", "src_bin", "dst_bin")
+        cells = with_candidates(cells_of(flows, dim), vote_hitters(binned))
+    else:
+        flows = assign_bins(flows_of(packets, duration, weight), strata, reserved, dim=dim, **bin_kw)
+        cells = cells_of(flows, dim)
     hitters = cells.where(F.col("src_ip") != 0)
     top = top_hitters(hitters, k=k)
     unit = "bytes" if weight == "bytes" else "packets"
     return WindowSummary(flows, cells, top, hitter_report(top, unit),
-                         dense_brick(cells, dim, duration if fill else None))
+                         dense_brick(cells, dim, fill))
 
 
 def dominant_flows(packets: DataFrame, duration: str = "3 seconds", strata: DataFrame | None = None,

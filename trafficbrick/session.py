@@ -77,6 +77,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and the path as it knows it: any store that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf), p
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote (nothing happens where there is none)."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
