@@ -231,8 +231,8 @@ QUERIES = {
     "cell_estimate": q_cell_estimate,
     "dominant_flow": q_dominant_flow,
     "vote_hitters": q_vote_hitters,
-    "vote_hitters_streamed": q_vote_hitters_strata,
-    "vote_hitters_array": q_vote_hitters_packets,
+    "vote_hitters_strata": q_vote_hitters_strata,
+    "vote_hitters_packets": q_vote_hitters_packets,
     "vote_top_hitters": q_vote_top_hitters,
     "vote_hitter_report": q_vote_hitter_report,
     "vote_packets_report": q_vote_packets_report,
@@ -375,6 +375,14 @@ def q_retain_bricks(spark, sf):
     return store.retain_bricks(_store(spark, sf), RETAIN_BYTES).select("ts", "size_bytes", "data", "hitters")
 
 
+def q_evict_bricks(spark, sf):
+    """The store after its oldest documents were dropped to fit the cap; what is read is what is left on disk."""
+    path = scratch_path(spark, "bricks")
+    store.write_bricks(_docs(spark, sf), path)
+    store.evict_bricks(spark, path, RETAIN_BYTES)
+    return store.read_bricks(spark, path).select("ts", "size_bytes", "data", "hitters")
+
+
 def q_dashboard(spark, sf):
     """The dashboard read: the newest stored document as one JSON payload."""
     newest = store.latest_brick(_store(spark, sf)).select("ts", "data", "hitters")
@@ -418,6 +426,7 @@ QUERIES.update({
     "stored_bricks": q_stored_bricks,
     "latest_brick": q_latest_brick,
     "retain_bricks": q_retain_bricks,
+    "evict_bricks": q_evict_bricks,
     "brick_cells": q_brick_cells,
     "categories": q_categories,
     "hitter_default": q_hitter_default,
@@ -437,15 +446,36 @@ def q_read_captures(spark, sf):
     return d.select("ts", "eth_type", "vlan_id", "ip_proto", "src_ip", "dst_ip", "sport", "dport", "wire_len")
 
 
-QUERIES["read_captures"] = q_read_captures
+SPLIT_BYTES = 256 << 10
+
+
+def q_read_captures_split(spark, sf):
+    """The same with capture files read in splits, each by a task of its own."""
+    path = scratch_path(spark, "captures")
+    captures.write_captures(_frames(spark, sf), path).write.format("noop").mode("overwrite").save()
+    d = decode.decode_frames(captures.read_captures(spark, path, split_bytes=SPLIT_BYTES))
+    return d.select("ts", "eth_type", "vlan_id", "ip_proto", "src_ip", "dst_ip", "sport", "dport", "wire_len")
+
+
+def q_capture_report(spark, sf):
+    """Sound records and lost bytes of the capture files, over all of them."""
+    path = scratch_path(spark, "captures")
+    captures.write_captures(_frames(spark, sf), path).write.format("noop").mode("overwrite").save()
+    return captures.capture_report(spark, path, split_bytes=SPLIT_BYTES).agg(
+        F.sum("records").alias("records"), F.sum("lost_bytes").alias("lost_bytes"))
+
+
+QUERIES.update({"read_captures": q_read_captures, "read_captures_split": q_read_captures_split, "capture_report": q_capture_report})
 
 
 def q_read_strata_file(spark, sf):
     """Strata lines written as a text file and read back with the last line of a prefix winning."""
     path = scratch_path(spark, "strata")
     lines = derived.strata_lines_from_supplier(read_table(spark, sf, "supplier"))
-    # a strata file is one ordered file; its size is bounded by the 17-bit prefixes worth pinning
-    (lines.orderBy("line_no").select(F.concat_ws(" ", "ip", "bin").alias("value")).coalesce(1).write.text(path))
+    # a strata file is one ordered file: of each 17-bit prefix its last line alone goes in, 131,072 lines at most
+    last = (lines.withColumn("prefix17", addr.prefix17("ip")).groupBy("prefix17")
+                 .agg(F.max("line_no").alias("line_no"), F.max_by("ip", "line_no").alias("ip"), F.max_by("bin", "line_no").alias("bin")))
+    (last.orderBy("line_no").select(F.concat_ws(" ", "ip", "bin").alias("value")).coalesce(1).write.text(path))
     return read_strata(spark, path)
 
 

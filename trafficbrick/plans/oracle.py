@@ -164,8 +164,8 @@ FROM ranked r JOIN (SELECT window_start, cell, CAST(sum(w) AS BIGINT) AS cell_by
   ON r.window_start = c.window_start AND r.cell = c.cell
 WHERE r.rn = 1""",
     "vote_hitters": with_(PACKETS, windowed(), BINNED, VOTE) + "SELECT * FROM voted",
-    "vote_hitters_streamed": with_(PACKETS, STRATA, windowed(), BINNED_STRATA, VOTE) + "SELECT * FROM voted",
-    "vote_hitters_array": with_(PACKETS, windowed(weight="1"), BINNED, VOTE) + "SELECT * FROM voted",
+    "vote_hitters_strata": with_(PACKETS, STRATA, windowed(), BINNED_STRATA, VOTE) + "SELECT * FROM voted",
+    "vote_hitters_packets": with_(PACKETS, windowed(weight="1"), BINNED, VOTE) + "SELECT * FROM voted",
     "vote_merged_majority": with_(PACKETS, windowed(), BINNED, FLOWS) + """
 SELECT r.window_start, r.window_end, r.cell, r.src_ip, r.dst_ip
 FROM ranked r JOIN cells c ON r.window_start = c.window_start AND r.cell = c.cell
@@ -485,3 +485,7 @@ SQL["stream_dense_filled"] = SQL["dense_brick_filled"]
 SQL["stream_interval_rates"] = SQL["interval_rates"]
 SQL["stream_global_rates"] = SQL["global_rates"]
 SQL["stream_capture_totals"] = SQL["capture_totals"]
+
+SQL["evict_bricks"] = SQL["retain_bricks"]
+SQL["read_captures_split"] = SQL["read_captures"]
+SQL["capture_report"] = ALL + "SELECT CAST(count(*) AS BIGINT) AS records, CAST(0 AS BIGINT) AS lost_bytes FROM allpackets"

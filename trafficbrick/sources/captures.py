@@ -5,29 +5,41 @@ number in either byte order, microsecond or nanosecond timestamps, link
 type) followed by records of a 16-byte header and the captured bytes.
 
 Reading lists the files with the ``binaryFile`` source but *prunes the
-content column*, so Spark only ships paths; each file becomes one task that
-reads it in blocks (``pyarrow.fs``, so the same code reads local, HDFS or
+content column*, so Spark only ships paths and lengths. A task reads its stretch of a
+file in blocks (``pyarrow.fs``, so the same code reads local, HDFS or
 object-store paths), walks the record headers inside a block and yields one Arrow
-batch per block. Memory per task is one block, whatever the file size. A pcap
-file cannot be split (records are variable length and carry no sync marker), so
-parallelism is the number of files: rotate captures.
+batch per block: memory is one block, whatever the file's size.
+
+A file longer than ``split_bytes`` is read by several tasks. Records carry no mark, so
+where a split's first record starts is not known from its bytes. A first pass over
+such files lets every split propose entries -- offsets in its first stretch that could be
+headers, by their length and time, as could what follows them -- and walks from each to the
+first record behind the split's end. Walks that meet go on as one, so a split costs about
+one walk. The chain from the file's start then picks the one true entry of each split,
+and tells the number of its first record. A proposal is only ever followed if the chain
+arrives at it: a header inside a payload is never taken for a record, and an entry that
+was not proposed is walked from in another pass.
 """
 
 from __future__ import annotations
 
+import heapq
 import logging
+import re
 import struct
 import zlib
 from functools import partial
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FRAMES
+from ..session import scratch_path
 
 # Fixed values of the pcap format: magic numbers and link type Ethernet.
 MAGIC_USEC = 0xA1B2C3D4
@@ -37,11 +49,20 @@ GLOBAL_HEADER = 24
 RECORD_HEADER = 16
 BLOCK_BYTES = 8 << 20
 MAX_RECORD = 1 << 18    # largest snapshot length that capture tools write
+SPLIT_BYTES = 128 << 20
+INDEX_ROUNDS = 4        # passes for entries; then what is left of a file is read by one task
+RECORD_BITS = 36        # of a sequence number that count a file's records; the file's number lies above
+_RECORD = (1 << RECORD_BITS) - 1
+PACKED = r"\.(gz|bz2|lz4|zst)$"
 # URI schemes of Hadoop connectors, by the name the Arrow file systems know
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 log = logging.getLogger(__name__)
 
 
+def _packed(path: str) -> bool:
+    return re.search(PACKED, path.lower()) is not None
+
+
 def _open(path: str):
     import pyarrow.fs as pafs
     if path.startswith("file:"):
@@ -52,54 +73,272 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
-def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The records of one file, block by block."""
+class _Head(NamedTuple):
+    """What a file's global header says."""
+    endian: str
+    div: int        # fractions of a second in a microsecond
+    link: int
+
+
+def _head(f, path: str) -> _Head | None:
+    """The global header of an open file (None: too short for one)."""
+    head = f.read(GLOBAL_HEADER)
+    if len(head) < GLOBAL_HEADER:
+        return None
+    endian = "<" if struct.unpack("<I", head[:4])[0] in (MAGIC_USEC, MAGIC_NSEC) else ">"
+    magic = struct.unpack(endian + "I", head[:4])[0]
+    if magic not in (MAGIC_USEC, MAGIC_NSEC):
+        raise ValueError(f"{path}: not a pcap file")
+    return _Head(endian, 1000 if magic == MAGIC_NSEC else 1, struct.unpack(endian + "I", head[20:24])[0])
+
+
+def _read_file(path: str, device: str, errors: str, block_bytes: int = BLOCK_BYTES, start: int = GLOBAL_HEADER,
+               stop: int | None = None, first: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of one file that start from the record at ``start`` on and before ``stop``, block by
+    block; ``first`` is the sequence number of the first."""
     def bad(what: str) -> None:
         if errors == "raise":
             raise ValueError(f"{path}: {what}")
         log.warning("%s: %s; the rest of the file is skipped", path, what)
 
     fs, p = _open(path)
-    with fs.open_input_stream(p) as f:
-        head = f.read(GLOBAL_HEADER)
-        if len(head) < GLOBAL_HEADER:
+    with fs.open_input_file(p) if not _packed(p) else fs.open_input_stream(p) as f:
+        head = _head(f, path)
+        if head is None:
             return bad("no global header")
-        endian = "<" if struct.unpack("<I", head[:4])[0] in (MAGIC_USEC, MAGIC_NSEC) else ">"
-        magic = struct.unpack(endian + "I", head[:4])[0]
-        if magic not in (MAGIC_USEC, MAGIC_NSEC):
-            raise ValueError(f"{path}: not a pcap file")
-        div = 1000 if magic == MAGIC_NSEC else 1
-        link = struct.unpack(endian + "I", head[20:24])[0]
-        if link != LINKTYPE_ETHERNET:
-            log.warning("%s: link type %d is not Ethernet; frames are decoded as if it were", path, link)
-        length = struct.Struct(endian + "I")
-        # the file's number in the high bits: no two files give the same (ts, seq) order key
-        rest, seq = b"", (zlib.crc32(p.encode()) & 0x7FFFFFFF) << 32
+        if head.link != LINKTYPE_ETHERNET and start == GLOBAL_HEADER:
+            log.warning("%s: link type %d is not Ethernet; frames are decoded as if it were", path, head.link)
+        length = struct.Struct(head.endian + "I")
+        if start != GLOBAL_HEADER:
+            f.seek(start)
+        seq = (zlib.crc32(p.encode()) & 0x7FFFFFF) << RECORD_BITS if first is None else first
+        rest, place = b"", start
         while True:
             block = f.read(block_bytes)
             buf = rest + block
+            limit = len(buf) if stop is None else stop - place
             starts, at, fault = [], 0, None
-            while at + RECORD_HEADER <= len(buf):
+            while at < limit and at + RECORD_HEADER <= len(buf):
                 size = length.unpack_from(buf, at + 8)[0]
                 if size > MAX_RECORD:
-                    fault = f"record {(seq & 0xFFFFFFFF) + len(starts)} claims {size} bytes"
+                    fault = f"record {(seq & _RECORD) + len(starts)} claims {size} bytes"
                     break
                 if at + RECORD_HEADER + size > len(buf):
                     break
                 starts.append(at)
                 at += RECORD_HEADER + size
             if starts:
-                yield _batch(buf, np.array(starts, dtype=np.int64), endian, div, device, path, seq)
+                yield _batch(buf, np.array(starts, dtype=np.int64), head.endian, head.div, device, path, seq)
                 seq += len(starts)
             if fault:
                 return bad(fault)
-            rest = buf[at:]
+            if at >= limit and stop is not None:
+                return
+            rest, place = buf[at:], place + at
             if not block:
                 if rest:
-                    bad(f"record {seq & 0xFFFFFFFF} is cut short")
+                    bad(f"record {seq & _RECORD} is cut short")
                 return
 
 
+# ---------------------------------------------------------------- splits
+def _proposed(zone: bytes, endian: str, frac_limit: int, around: int, whole: int) -> list[int]:
+    """Offsets in ``zone`` at which a record could start: a length that captures have, a fraction below a second,
+    a time within ten years of ``around``, and the same where it ends (unless ``zone`` ends before).
+    ``whole``: offsets are looked for below it."""
+    raw = np.frombuffer(zone, dtype=np.uint8)
+    n = min(whole, len(raw) - RECORD_HEADER + 1)
+    if n <= 0:
+        return []
+    order = (0, 1, 2, 3) if endian == "<" else (3, 2, 1, 0)
+
+    def field(place: int) -> np.ndarray:
+        parts = [raw[place + k:place + k + len(raw) - RECORD_HEADER + 1].astype(np.int64) << 8 * w for w, k in enumerate(order)]
+        return parts[0] | parts[1] | parts[2] | parts[3]
+
+    sec, frac, size, wire = (field(k) for k in (0, 4, 8, 12))
+    fine = (size <= MAX_RECORD) & (wire >= size) & (wire <= 1 << 24) & (frac < frac_limit) & (np.abs(sec - around) < 10 * 366 * 86_400)
+    at = np.flatnonzero(fine[:n])
+    for _ in range(3):
+        nxt = at.copy()
+        for _ in range(2):
+            inside = nxt < len(fine)
+            nxt = np.where(inside, nxt + RECORD_HEADER + size[np.minimum(nxt, len(fine) - 1)], nxt)
+            ok = (nxt >= len(fine)) | fine[np.minimum(nxt, len(fine) - 1)]
+            at, nxt = at[ok], nxt[ok]
+    return at.tolist()
+
+
+def _walk(f, length: struct.Struct, entries: list[int], stop: int, end: int, block_bytes: int = BLOCK_BYTES) -> list[tuple[int, int, int]]:
+    """``entry, exit, records`` of the chains from ``entries`` to the first record start at or after
+    ``stop`` (``end``: the file's length); chains that break have no row. Chains that meet go on as one."""
+    out: list[tuple[int, int, int]] = []
+    heads: dict[int, list[tuple[int, int]]] = {}        # where a chain stands: its entries and records so far
+    for e in entries:
+        heads.setdefault(e, []).append((e, 0))
+    todo = list(heads)
+    heapq.heapify(todo)
+    base, buf = 0, b""
+    while todo:
+        at = heapq.heappop(todo)
+        own = heads.pop(at)
+        if at >= stop or at >= end:
+            out += [(e, at, n) for e, n in own]
+            continue
+        steps = 0
+        while True:     # along one chain, up to the next one
+            if not base <= at <= base + len(buf) - RECORD_HEADER:
+                f.seek(at)
+                base, buf = at, f.read(block_bytes)
+                if len(buf) < RECORD_HEADER:
+                    own = []
+                    break
+            size = length.unpack_from(buf, at - base + 8)[0]
+            if size > MAX_RECORD or at + RECORD_HEADER + size > end:
+                own = []        # no record of a sound file: what reads up to here reports it
+                break
+            at += RECORD_HEADER + size
+            steps += 1
+            if at >= stop or todo and at >= todo[0]:
+                break
+        if own:
+            if at not in heads:
+                heapq.heappush(todo, at)
+            heads.setdefault(at, []).extend((e, n + steps) for e, n in own)
+    return out
+
+
+def _index_batches(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """(path, length, file, split, lo, hi, entry) -> file, split, entry, exit, records. Without an ``entry``, of
+    all that the split proposes (of the file's start, for its first)."""
+    for b in batches:
+        for r in b.to_pylist():
+            fs, p = _open(r["path"])
+            with fs.open_input_file(p) as f:
+                head = _head(f, r["path"])
+                if head is None:
+                    continue
+                length = struct.Struct(head.endian + "I")
+                first = f.read(RECORD_HEADER)
+                if r["entry"] is not None:
+                    entries = [r["entry"]]
+                elif r["lo"] == 0:
+                    entries = [GLOBAL_HEADER]
+                else:
+                    around = struct.unpack(head.endian + "I", first[:4])[0] if len(first) == RECORD_HEADER else 0
+                    f.seek(r["lo"])
+                    # an entry lies at most one record behind the split's start
+                    zone = f.read(min(2 * (MAX_RECORD + RECORD_HEADER), r["length"] - r["lo"]))
+                    found = _proposed(zone, head.endian, 1_000_000 * head.div, around, min(MAX_RECORD + RECORD_HEADER, r["hi"] - r["lo"]))
+                    entries = [r["lo"] + k for k in found]
+                rows = _walk(f, length, entries, r["hi"], r["length"], block_bytes)
+            cols = [list(c) for c in zip(*rows)] if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(rows), pa.int64()), pa.array([r["split"]] * len(rows), pa.int64()),
+                                              *[pa.array(c, pa.int64()) for c in cols]], ["file", "split", "entry", "exit", "records"])
+
+
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one file, along the chain from its start: the true entry of each split that has one, the number of
+    its first record, and its records (-1: not known, the chain was not walked from there or breaks)."""
+    walks = pdf.dropna(subset=["entry"])[["split", "entry", "exit", "records"]].astype("int64")
+    steps = {(s, e): (x, n) for s, e, x, n in walks.itertuples(index=False, name=None)}
+    bytes_, length = int(pdf["split_bytes"].iloc[0]), int(pdf["length"].iloc[0])
+    rows, at, seq = [], GLOBAL_HEADER, 0
+    while at < length:
+        split = at // bytes_
+        known = steps.get((split, at))
+        rows.append((int(pdf["file"].iloc[0]), split, at, seq, known[1] if known else -1))
+        if known is None:
+            break
+        at, seq = known[0], seq + known[1]
+    return pd.DataFrame(rows, columns=["file", "split", "entry", "first", "records"])
+
+
+def capture_splits(spark: SparkSession, path: str, glob: str = "*.pcap", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``path, length, file, split, entry, hi, first, records``: the stretches in which capture files are read.
+
+    ``file`` numbers the files by path; a stretch begins with the record at ``entry``, number ``first`` of its file,
+    and holds the records that start before ``hi``. ``records`` is their number, null where no pass went over them: in
+    files of one split, and where a damaged record breaks the chain (that stretch then goes up to the file's end).
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path).select("path", "length"))
+    if split_bytes < 64:
+        raise ValueError("split_bytes must be 64 or more")
+    # a listing: one short row a file
+    listed = files.withColumn("file", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+    packed = F.lower("path").rlike(PACKED)
+    count = F.when(packed, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("length") / split_bytes))).cast("bigint")
+    where = scratch_path(spark, "capture-files")
+    listed.withColumn("splits", count).write.parquet(where)
+    listed = spark.read.parquet(where)
+    whole = listed.where(F.col("splits") <= 1).select(
+        "path", "length", "file", F.lit(0).cast("bigint").alias("split"), F.lit(GLOBAL_HEADER).cast("bigint").alias("entry"),
+        F.lit(None).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("records"))
+    long = listed.where(F.col("splits") > 1)
+    n = int(long.agg(F.coalesce(F.sum("splits"), F.lit(0))).first()[0])
+    if not n:
+        return whole
+    lo = F.col("split") * split_bytes
+    splits = (long.select("path", "length", "file", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
+                  .withColumn("lo", lo).withColumn("hi", F.least(lo + split_bytes, F.col("length"))))
+    index, chained = scratch_path(spark, "capture-index"), None
+    asked = splits.withColumn("entry", F.lit(None).cast("bigint"))
+    for _ in range(INDEX_ROUNDS):
+        wanted = asked.select("path", "length", "file", "split", "lo", "hi", "entry")
+        (wanted.repartitionByRange(n, "file", "split").mapInArrow(_index_batches, "file bigint, split bigint, entry bigint, exit bigint, records bigint")
+               .write.mode("append").parquet(index))
+        steps = long.select("file", "length", F.lit(split_bytes).alias("split_bytes")).join(spark.read.parquet(index), "file", "left")
+        where = scratch_path(spark, "capture-chain")
+        steps.groupBy("file").applyInPandas(_chain, "file bigint, split bigint, entry bigint, first bigint, records bigint").write.parquet(where)
+        chained = spark.read.parquet(where)
+        # where the chain arrives at an offset that was not proposed (or that no sound record starts at)
+        left = chained.where("records < 0").select("file", "split", "entry")
+        if left.isEmpty() or _same_rows(left, asked):
+            break
+        asked = splits.join(left, ["file", "split"])
+    known = chained.join(splits.select("path", "length", "file", "split", "hi"), ["file", "split"])
+    rest = F.col("records") < 0
+    return whole.unionByName(known.select("path", "length", "file", "split", "entry", F.when(rest, F.lit(None)).otherwise(F.col("hi")).alias("hi"), "first",
+                                          F.when(rest, F.lit(None)).otherwise(F.col("records")).alias("records")))
+
+
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether walking from ``b`` left exactly the same entries ``a`` open (the chain breaks there)."""
+    return a.join(b.select("file", "split", "entry"), ["file", "split", "entry"], "left_anti").isEmpty()
+
+
+def capture_report(spark: SparkSession, path: str, glob: str = "*.pcap", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``path, length, records, lost_bytes`` of each capture file: how many sound records it holds from its start on,
+    and how many bytes follow them that ``read_captures(errors="skip")`` leaves out."""
+    splits = capture_splits(spark, path, glob, split_bytes)
+    rows = splits.mapInArrow(_count_batches, "path string, length bigint, records bigint, read_to bigint")
+    return rows.groupBy("path", "length").agg(F.sum("records").alias("records"), (F.first("length") - F.max("read_to")).alias("lost_bytes"))
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            fs, p = _open(r["path"])
+            if r["records"] is not None:
+                yield _counted(r, r["records"], r["hi"])
+                continue
+            n, to = 0, r["entry"]
+            with fs.open_input_file(p) if not _packed(p) else fs.open_input_stream(p) as f:
+                if _head(f, r["path"]) is None:
+                    to = 0
+            if to:
+                for part in _read_file(r["path"], "", "skip", start=r["entry"], stop=r["hi"], first=r["first"]):
+                    n += part.num_rows
+                    to += part.num_rows * RECORD_HEADER + int(pc.sum(part.column("cap_len")).as_py())
+            yield _counted(r, n, to)
+
+
+def _counted(r: dict, n: int, to: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([r["length"]], pa.int64()), pa.array([n], pa.int64()),
+                                       pa.array([to], pa.int64())], ["path", "length", "records", "read_to"])
+
+
 def _batch(buf: bytes, starts: np.ndarray, endian: str, div: int, device: str, path: str, seq: int) -> pa.RecordBatch:
     raw = np.frombuffer(buf, dtype=np.uint8)
     fields = raw[starts[:, None] + np.arange(RECORD_HEADER)].copy().view(endian + "u4").astype(np.int64)
@@ -122,6 +361,12 @@ def _read_listed(batches: Iterator[pa.RecordBatch], device: str, errors: str) ->
             yield from _read_file(p, device, errors)
 
 
+def _read_splits(batches: Iterator[pa.RecordBatch], device: str, errors: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield from _read_file(r["path"], device, errors, start=r["entry"], stop=r["hi"], first=r["file"] << RECORD_BITS | r["first"])
+
+
 def _checked(errors: str) -> str:
     if errors not in ("raise", "skip"):
         raise ValueError("errors must be 'raise' or 'skip'")
@@ -129,18 +374,23 @@ def _checked(errors: str) -> str:
 
 
 def read_captures(spark: SparkSession, path: str, device: str = "pcap", glob: str = "*.pcap",
-                  errors: str = "raise") -> DataFrame:
-    """Capture files under ``path`` -> ``frames`` (one task per file).
+                  errors: str = "raise", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Capture files under ``path`` -> ``frames``, one task a split of at most ``split_bytes``.
+
+    ``seq`` orders the records of all files: the file's number by path, then the record's in the file. Files longer
+    than ``split_bytes`` are read twice (see the module's text); compressed ones are read as a whole.
 
     A record that is cut short or claims more than 256 KiB ends its file:
     ``errors="raise"`` fails the job, ``"skip"`` logs it and goes on with the
-    next file. Another link type than Ethernet is logged and read on.
+    next file (``capture_report`` tells what is lost). Another link type than Ethernet is logged and read on.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path).select("path"))
-    n = max(1, files.count())  # a listing, not the data
-    # range partitioning on the (distinct) paths: one file per task
-    return files.repartitionByRange(n, "path").mapInArrow(partial(_read_listed, device=device, errors=_checked(errors)), FRAMES)
+    _checked(errors)
+    splits = capture_splits(spark, path, glob, split_bytes)
+    where = scratch_path(spark, "capture-splits")
+    splits.write.parquet(where)
+    splits = spark.read.parquet(where)
+    n = max(1, splits.count())  # a listing, not the data
+    return splits.repartitionByRange(n, "file", "split").mapInArrow(partial(_read_splits, device=device, errors=errors), FRAMES)
 
 
 def stream_captures(spark: SparkSession, path: str, device: str = "pcap", glob: str = "*.pcap",
