@@ -57,6 +57,20 @@ def test_nbest_matches_enumeration(model, text, n):
         seen.add(path)
 
 
+def test_words_together_match_each_alone(model):
+    """Words of many lengths, of rare characters and without pieces: ids, scores and losses to the last bit."""
+    import numpy as np
+    rnd = random.Random(6)
+    words = {BLANK + "".join(rnd.choices("aeinrst日ж́é🙂\x07", weights=[9] * 7 + [1] * 6, k=rnd.randrange(1, 14))) for _ in range(600)}
+    words = sorted(words | {BLANK, "x" * 200, "🙂", "\x07", BLANK * 20})
+    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    pool, size, score, loss = model.best_of_words(points, end - [len(w) for w in words], end)
+    at = np.r_[0, np.cumsum(size)]
+    for k, w in enumerate(words):
+        assert (pool[at[k]:at[k + 1]].astype("<i4").tobytes(), score[k], loss[k]) == model.best(w), w
+
+
 def test_decoding_is_the_library_s_and_the_round_trip(spark, table, path, model):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=path)

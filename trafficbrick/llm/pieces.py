@@ -13,7 +13,8 @@ and a blank after it, say), every path passes between them. The lattice falls
 apart there into *words*: each is searched alone, and the N best of the whole text
 are the N best sums of the words' alternatives. Only the N - 1 words whose second choice costs least can differ in
 those, so a forward and a backward pass give every word's best path and the cost
-of its second, and the A-star search runs for the words that can matter.
+of its second, and the A-star search runs for the words that can matter. Both passes go
+through the distinct words of one length together, in numpy steps over their places.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import sys
 from functools import partial
 from typing import Iterator
 
@@ -34,9 +36,11 @@ from .runs import parts, run_hashes
 
 BLANK = "▁"
 PENALTY = 10.0      # of a character without a piece, below the lowest score
-KEPT_WORDS = 150_000     # best paths held by a task
 KEPT_SEARCHES = 10_000   # N-best lists held by a task
-SLICE = 1 << 18
+SLICE = 1 << 18          # ids put out at a time
+PART = 1 << 20           # bytes of text whose words are looked up together
+COMMON = 191             # characters with a column of their own in the piece tree
+FEW = 4                  # words of one length that are worth a common search
 NBEST = 4
 
 
@@ -64,9 +68,127 @@ class Model:
         back = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([back[i]]) if i in back else b"" if i < n and (sp.is_control(i) or sp.is_unknown(i))
                     else self.names[i].replace(BLANK, " ").encode() for i in range(n)]
-        self.kept: dict[int, tuple[bytes, float, float]] = {}
+        self._grow_tree()
         self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
+    def _grow_tree(self) -> None:
+        """The beginnings of pieces as a tree of numbered nodes (0: none, 1: the root), a row of children each."""
+        number = {"": 1} | {p: k for k, p in enumerate(self.table, 2)}
+        self.score = np.full(len(number) + 1, -np.inf)
+        self.piece = np.full(len(number) + 1, -1, dtype=np.int32)
+        used: dict[str, int] = {}
+        for p in self.table:
+            used[p[-1]] = used.get(p[-1], 0) + 1
+        common = sorted(used, key=lambda c: (-used[c], c))[:COMMON]
+        self.column = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        self.column[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        self.child = np.zeros((len(number) + 1, len(common) + 1), dtype=np.min_scalar_type(len(number)))
+        rare = {}
+        for p, found in self.table.items():
+            node, above, last = number[p], number[p[:-1]], ord(p[-1])
+            if self.column[last]:
+                self.child[above, self.column[last]] = node
+            else:
+                rare[above << 21 | last] = node
+            if found:
+                self.piece[node], self.score[node] = found
+        self.rare = np.array(sorted(rare), dtype=np.int64)
+        self.rare_child = np.array([rare[k] for k in self.rare.tolist()], dtype=self.child.dtype)
+
+    def _down(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The children of some nodes by characters (0: none)."""
+        column = self.column[char]
+        out = self.child[node, column]
+        odd = np.flatnonzero(column == 0)
+        if len(odd) and len(self.rare):
+            key = node[odd].astype(np.int64) << 21 | char[odd].astype(np.int64)
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            out[odd] = np.where(self.rare[at] == key, self.rare_child[at], 0)
+        return out
+
+    def best_of_words(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of the words ``points[start:end]``: all ids in a row, how many each has, scores and losses.
+
+        Words of one length go through the lattice together, one numpy step for each start and length of an edge.
+        """
+        lens = end - start
+        size = np.zeros(len(start), dtype=np.int64)
+        score, loss = np.zeros(len(start)), np.zeros(len(start))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.argsort(lens, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(lens[order]) > 0, True])
+        alone = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            n = int(lens[order[a]])
+            step = max(FEW, (1 << 19) // (n + 1))
+            for lo in range(a, b, step):
+                some = order[lo:min(lo + step, b)]
+                if len(some) < FEW:
+                    alone += some.tolist()
+                    continue
+                chars = points[start[some] + np.arange(n)[:, None]]
+                first = self._down(np.ones(n * len(some), dtype=np.int64), chars.ravel()).reshape(chars.shape)
+                plain = np.isfinite(self.score[first]).all(axis=0)
+                alone += some[~plain].tolist()
+                if plain.any():
+                    own = some[plain]
+                    ids, size[own], score[own], loss[own] = self._search(chars[:, plain], first[:, plain])
+                    found.append((own, ids))
+        for k in alone:
+            raw, score[k], loss[k] = self.best(points[start[k]:end[k]].tobytes().decode("utf-32-le"))
+            size[k] = len(raw) // 4
+            found.append((np.array([k]), np.frombuffer(raw, dtype="<i4")))
+        base = np.cumsum(size) - size
+        pool = np.zeros(int(size.sum()), dtype=np.int32)
+        for own, ids in found:
+            many = size[own]
+            pool[np.arange(len(ids)) + np.repeat(base[own] - (np.cumsum(many) - many), many)] = ids
+        return pool, size, score, loss
+
+    def _search(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best_of_words`` of words of one length (a column each) of characters that are pieces; ``first`` their nodes."""
+        n, many = chars.shape
+        ahead = np.full((n + 1, many), -np.inf)
+        ahead[0] = 0
+        come, last = np.zeros((n + 1, many), dtype=np.int32), np.zeros((n + 1, many), dtype=np.int32)
+        edges = []
+        for i in range(n):
+            who, node = np.arange(many), first[i]
+            for j in range(i + 1, n + 1):
+                own = self.score[node]
+                real = np.flatnonzero(np.isfinite(own))
+                if len(real):
+                    w, v = who[real], own[real]
+                    edges.append((i, j, w, v))
+                    v = ahead[i, w] + v
+                    more = v > ahead[j, w]
+                    w = w[more]
+                    ahead[j, w], come[j, w], last[j, w] = v[more], i, self.piece[node[real[more]]]
+                if j == n:
+                    break
+                node = self._down(node, chars[j, who])
+                live = np.flatnonzero(node)
+                if not len(live):
+                    break
+                who, node = who[live], node[live]
+        behind = np.full((n + 1, many), -np.inf)
+        behind[n] = 0
+        for i, j, w, v in reversed(edges):
+            behind[i, w] = np.maximum(behind[i, w], v + behind[j, w])
+        taken = np.full((n + 1, many), -1, dtype=np.int32)      # the start of the best path's edge that ends here
+        who, at = np.arange(many), np.full(many, n)
+        while len(who):
+            back = come[at, who]
+            taken[at, who] = back
+            who, at = who[back > 0], back[back > 0]
+        second = np.full(many, -np.inf)
+        for i, j, w, v in edges:
+            other = taken[j, w] != i
+            w, v = w[other], v[other]
+            second[w] = np.maximum(second[w], ahead[i, w] + v + behind[j, w])
+        on = (taken >= 0).T
+        return last.T[on], on.sum(axis=1), ahead[n], ahead[n] - second
+
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the edges that arrive: start, score, ids."""
         n, pieces, get = len(word), self.pieces, self.table.get
@@ -198,17 +320,55 @@ def model_of(path: str) -> Model:
     return Model(path)
 
 
+class Lists:
+    """A list column in the making: all values in a row, and where each list ends."""
+
+    def __init__(self):
+        self.values: list = []
+        self.ends = [0]
+
+    def add(self, values) -> None:
+        self.values.extend(values)
+        self.ends.append(len(self.values))
+
+    def array(self, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.values, kind))
+
+
+class Changes:
+    """The column of changes in the making: lists (ranks) of lists of place, size and ids."""
+
+    def __init__(self):
+        self.at: list[int] = []
+        self.size: list[int] = []
+        self.ids, self.ranks, self.rows = Lists(), [0], [0]
+
+    def add(self, ranks: list[list[tuple[int, int, tuple[int, ...]]]]) -> None:
+        for rank in ranks:
+            for at, size, ids in rank:
+                self.at.append(at)
+                self.size.append(size)
+                self.ids.add(ids)
+            self.ranks.append(len(self.at))
+        self.rows.append(len(self.ranks) - 1)
+
+    def array(self) -> pa.Array:
+        one = pa.StructArray.from_arrays([pa.array(self.at, pa.int64()), pa.array(self.size, pa.int32()), self.ids.array(pa.int32())],
+                                         ["at", "size", "ids"])
+        each = pa.ListArray.from_arrays(pa.array(self.ranks, pa.int32()), one)
+        return pa.ListArray.from_arrays(pa.array(self.rows, pa.int32()), each)
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
     """(text, rest) -> rest, ids, nbest_scores, changes; words are looked up once for each part of a batch."""
     m = model_of(path)
-    kind = pa.list_(pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
     for b in batches:
         total = np.zeros(b.num_rows)
         cheap: list[list[tuple[float, str, int, int]]] = [[] for _ in range(b.num_rows)]     # loss, word, place and number of its ids
         seen = np.zeros(b.num_rows, dtype=np.int64)
         ids: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
         before = -1
-        for part in parts(b.column(0), SLICE):
+        for part in parts(b.column(0), PART):
             points = np.where(part.points == 0x20, np.uint32(ord(BLANK)), part.points)
             # the dummy blank before each text (not before the next stretch of a long one)
             rows = np.flatnonzero(np.diff(part.offsets))
@@ -226,17 +386,9 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Ite
             end = np.r_[start[1:], len(points)]
             text = points.tobytes().decode("utf-32-le")
             keys, where, back = np.unique(run_hashes(points, start, end), return_index=True, return_inverse=True)
-            if len(m.kept) > KEPT_WORDS:
-                m.kept.clear()
-            known = [m.kept.get(k) for k in keys.tolist()]
-            for k, found in enumerate(known):
-                if found is None:
-                    known[k] = m.best(text[start[where[k]]:end[where[k]]])
-                    m.kept[int(keys[k])] = known[k]
-            pool = np.frombuffer(b"".join(f[0] for f in known), dtype="<i4")
-            size = np.array([len(f[0]) // 4 for f in known])
+            pool, size, scores, losses = m.best_of_words(points, start[where], end[where])
             base = np.cumsum(size) - size
-            score, loss = np.array([f[1] for f in known])[back], np.array([f[2] for f in known])[back]
+            score, loss = scores[back], losses[back]
             many = size[back]
             at = np.r_[0, np.cumsum(many)]
             flat = pool[np.arange(at[-1]) + np.repeat(base[back] - at[:-1], many)]
@@ -252,14 +404,13 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Ite
                 r = part.lo + row[k]
                 cheap[r].append((float(loss[k]), text[start[k]:end[k]], int(seen[r] + at[k] - cuts[row[k]]), int(many[k])))
             seen[part.lo:part.hi] += np.diff(cuts)
-        scores: list[list[float]] = []
-        changes: list[list[list[dict]]] = []
+        sums_of, changes = Lists(), Changes()
         for r in range(b.num_rows):
             few = heapq.nsmallest(n - 1, cheap[r], key=lambda x: x[0])
             sums, ranks = m.totals(total[r], [x[1] for x in few], n) if ids[r] else ([], [])
-            scores.append(sums)
-            changes.append([[{"at": few[k][2], "size": few[k][3], "ids": own} for k, own in sorted(rank, key=lambda x: few[x[0]][2])]
-                            for rank in ranks])
+            sums_of.add(sums)
+            changes.add([[(few[k][2], few[k][3], own) for k, own in sorted(rank, key=lambda x: few[x[0]][2])] for rank in ranks])
+        scores, changed = sums_of.array(pa.float64()), changes.array()
         whole = [np.concatenate(x) if x else np.zeros(0, dtype="<i4") for x in ids]
         lens = np.cumsum([len(x) for x in whole])
         lo = 0
@@ -268,7 +419,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Ite
             ends = np.r_[0, np.cumsum([len(x) for x in whole[lo:hi]])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole[lo:hi]))),
-                 pa.array(scores[lo:hi], pa.list_(pa.float64())), pa.array(changes[lo:hi], kind)],
+                 scores.slice(lo, hi - lo), changed.slice(lo, hi - lo)],
                 ["rest", "ids", "nbest_scores", "changes"])
             lo = hi
 
