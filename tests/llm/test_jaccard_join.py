@@ -77,6 +77,53 @@ def test_null_ids_repeated_rows_and_empty_table(spark, table):
     assert J.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_of_texts(rows):
+    """One row per row, with every text a node of its own: (id, class, representative, copies, links)."""
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(t or "", []).append(k)
+    own = {t: min((k for k in ks if k is not None), default=None) for t, ks in texts.items()}
+    sets = {t: shingle_set(t) if own[t] is not None else set() for t in texts}
+    links = {a: [b for b in texts if b != a and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])] for a in texts}
+    group = {t: n for n, t in enumerate(texts)}
+    for _ in texts:
+        for a in texts:
+            for b in links[a]:
+                group[a] = group[b] = min(group[a], group[b])
+    least = {}
+    for t, g in group.items():
+        if own[t] is not None:
+            least[g] = min(least.get(g, own[t]), own[t])
+    return [(k, least.get(group[t or ""]), own[t or ""], len(texts[t or ""]), len(links[t or ""])) for k, t in rows]
+
+
+def test_several_texts_of_one_id(spark, table):
+    """Links belong to texts: no text of a repeated id loses its own or gets another's."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " more"), (3, x + " more"), (4, "a b c d e f"), (4, None), (None, y), (None, "no id at all"),
+            (7, y), (7, y), (-9, x + " more"), (1, "a b c d e f"), (2, y + " less so"), (8, "")]
+    got = J.near_duplicates(table([("s", k, t, 1) for k, t in rows], SCHEMA)).collect()
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted([(r.doc_id, r.class_id, r.rep_id, r.n_copies, r.n_links) for r in got], key=key) == sorted(brute_of_texts(rows), key=key)
+    rnd = random.Random(17)
+    base = [[f"{k}.{i}" for i in range(60)] for k in range(6)]
+    rows = [(rnd.randrange(12), near(rnd, rnd.choice(base), rnd.randrange(5))) for _ in range(120)]
+    got = J.near_duplicates(table([("s", k, t, 1) for k, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.class_id, r.rep_id, r.n_copies, r.n_links) for r in got) == sorted(brute_of_texts(rows))
+
+
+def test_components_of_hubs(spark):
+    """Hubs with most of the edges, dealt over several keys."""
+    rnd = random.Random(5)
+    edges = [(0, i) for i in range(1, 800)] + [(i, 900) for i in range(500, 700)] + [(1000 + i, 3000 - i) for i in range(40)] \
+        + [(5000, 4000 + i) for i in range(300)]
+    rnd.shuffle(edges)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    want = {n: 0 for a, b in edges[:] for n in (a, b) if n <= 900} | {n: min(a, b) for a, b in edges if 1000 <= min(a, b) < 4000 for n in (a, b)}
+    want |= {n: 4000 for a, b in edges if max(a, b) == 5000 for n in (a, b)}
+    assert got == want
+
+
 def test_posterior_bound():
     rnd = np.random.default_rng(1)
     need = J.needed(0.8, 1e-6)

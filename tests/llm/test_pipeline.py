@@ -91,6 +91,16 @@ def test_odd_rows_pass_every_stage(spark, sf_small, tmp_path):
         assert stage(spark, empty, sf_small).count() == 0
 
 
+def test_one_text_of_each_group_stays(spark, sf_small):
+    """Several texts of one id: each is kept or dropped as a text."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, x), (1, y), (1, y), (2, x + " more"), (3, y + " more"), (3, "quite another text of this id"), (None, y), (None, "alone"),
+            (None, "alone"), (4, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.text or "") for r in dict(C.STAGES)["near_duplicates"](spark, docs, sf_small).collect()), key=str)
+    assert got == sorted([(1, x), (1, y), (3, "quite another text of this id"), (None, "alone"), (4, "")], key=str)
+
+
 def test_run_gives_the_last_stage(spark, sf_small):
     out = C.run(spark, sf_small)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50

@@ -56,6 +56,15 @@ def test_null_ids_repeated_rows_and_empty_table(spark, table):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_texts_of_one_id_keep_apart(spark, table):
+    """A passage of a smaller id goes from each text of a repeated id that has it, and from no other."""
+    passage = " ".join(f"p{i}" for i in range(8))
+    rows = [("x", 1, passage, 1), ("x", 2, "a " + passage, 1), ("x", 2, "b c d e f g", 1), ("x", 2, passage + " z", 1), ("x", 2, passage, 1),
+            ("x", 2, passage, 1)]
+    got = sorted((r.rest.doc_id, r.text, r.n_removed) for r in remove_repeats(table(rows, SCHEMA), size=4).collect())
+    assert got == sorted([(1, passage, 0), (2, "a", 8), (2, "b c d e f g", 0), (2, "z", 8), (2, "", 8), (2, "", 8)])
+
+
 def test_query_on_the_table(spark, sf_small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
     want = {k: (n, m, hashlib.sha256(t.encode()).hexdigest()) for k, (n, m, t) in brute(docs.items(), 50).items()}

@@ -71,3 +71,26 @@ def test_small_payloads_nulls_and_empty_table(spark, tmp_path):
 def test_query_on_the_table(spark, sf_small):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
     assert sorted(map(tuple, op10_warc(spark, sf_small).collect()), key=str) == want(pages)
+
+
+from trafficbrick.llm.warc import op10_warc as warc_query  # noqa: E402
+
+
+def test_several_payloads_of_one_page(spark, tmp_path):
+    """A revisit reports the payload it repeats, also where the page it refers to has others."""
+    import base64
+    import hashlib
+    html = [(1, "A" * 10), (1, "BB"), (5, "BB"), (6, "A" * 10), (6, "BB"), (7, None), (1, ""), (8, "C"), (8, "C")]
+    rows = [(k, "u", h) for k, h in html]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    first = {}
+    for k, h in html:
+        first[h or ""] = min(first.get(h or "", k), k)
+    want = []
+    for k, h in html:
+        h = h or ""
+        again = k != first[h]
+        digest = base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        want.append((k, len(h), digest, "revisit" if again else "response", first[h] if again else None))
+    got = [tuple(r) for r in warc_query(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -3,8 +3,8 @@
 Two documents are linked if the Jaccard similarity of their sets of five-word
 shingles is 0.8 or more (a text of fewer words is one shingle).
 
-1. Every text gets 128 MinHash values. Equal texts are one *class*, represented
-   by its smallest id; only representatives go on.
+1. Every text gets 128 MinHash values. Equal texts are one *class*, one node of
+   the join; only one of each goes on.
 2. Values are banded by fours. Representatives that share a band are compared
    value by value, 16 at a time; a pair is dropped as soon as the posterior
    probability of reaching the threshold (uniform prior) falls below ``tolerance``.
@@ -326,14 +326,16 @@ def _link_batches(batches: Iterator[pa.RecordBatch], threshold: float, tolerance
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                     tolerance: float = TOLERANCE) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``class_id`` (least id of its near-duplicate
-    group), ``rep_id`` (least id of the same text), ``n_copies`` (rows of that text) and
-    ``n_links`` (other texts at the threshold or above).
+    group), ``rep_id`` (least id of the same text), ``n_copies`` (rows of that text),
+    ``n_links`` (other texts at the threshold or above), ``digest`` (of the text) and ``group``
+    (a number for each near-duplicate group, equal within one run only).
 
     ``id_col`` is a whole number. Null text counts as empty; empty and wordless
     texts are copies of each other where the texts are equal, and have no links.
-    Rows that share an id are one document. A row with a null id belongs to its
-    text's class and has nulls where no row of that text has an id. An empty
-    table gives an empty result.
+    Texts are compared as texts, whatever their ids: rows that share an id but not the text
+    may be in different groups (of one ``class_id``, where it is the least id of both). A row with
+    a null id belongs to its text's class; a text of which no row has an id is a group of
+    its own, without links and with null ids. An empty table gives an empty result.
     """
     spark = docs.sparkSession
 
@@ -345,9 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
     signed = written(base.mapInArrow(_signature_batches, "id bigint, digest binary, some boolean, sig binary"), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"),
-                                                   F.first("some").alias("some"), F.first("sig").alias("sig")), "classes")
-    reps = classes.where(F.col("some") & F.col("rep").isNotNull()).select("rep", "sig")
+    # a text's node is a number given once, in the written table: ids may repeat over texts
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"),
+                                                   F.first("some").alias("some"), F.first("sig").alias("sig"))
+                            .withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.where(F.col("some") & F.col("least").isNotNull()).select(F.col("node").alias("rep"), "sig")
 
     # bands that hold several texts; of bands with the same members one is kept
     bands = reps.mapInArrow(_band_batches, "k bigint, rep bigint")
@@ -360,10 +364,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = written(components(edges, "a", "b"), "meet")
 
     sizes = meet.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    wanted = meet.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
+    wanted = (meet.join(sizes, "label").join(classes.select("node", "least", "digest"), "node")
+                  .select(F.col("least").alias("id"), "digest", "node", "label", "size"))
     # a merge join at every size: the texts move alike whether few or many of them are wanted
-    sets = (base.select("id", "text").join(wanted.hint("merge"), "id").dropDuplicates(["id"])
-                .select(F.col("id").alias("node"), "label", "size", "text")
+    sets = (base.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["node"]).select("node", "label", "size", "text")
                 .mapInArrow(_set_batches, "node bigint, label bigint, size bigint, sig binary, set binary"))
     links = written(blocked(sets, "label", "size", "node").select("label", "left", "right", "block", "node", "sig", "set")
                     .mapInArrow(partial(_link_batches, threshold=threshold, tolerance=tolerance),
@@ -371,16 +375,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     groups_of = components(links, "node", "peer")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    of_class = (classes.select("digest", "rep", "n_copies")
-                       .join(groups_of.withColumnRenamed("node", "rep"), "rep", "left")
-                       .join(counted.withColumnRenamed("node", "rep"), "rep", "left"))
-    return (signed.select("id", "digest").join(of_class, "digest")
-                  .select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
-                          F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("rep_id"), "n_copies",
-                          F.coalesce("links", F.lit(0)).alias("n_links")))
+    grouped = (classes.select("digest", "node", "least", "n_copies").join(groups_of, "node", "left").join(counted, "node", "left")
+                      .withColumn("group", F.coalesce("label", "node")))
+    grouped = written(grouped.select("digest", "least", "n_copies", "links", "group"), "text-groups")
+    ids = grouped.groupBy("group").agg(F.min("least").alias("class_id"))
+    return (signed.select("id", "digest").join(grouped.join(ids, "group"), "digest")
+                  .select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "class_id",
+                          F.col("least").alias("rep_id"), "n_copies", F.coalesce("links", F.lit(0)).alias("n_links"), "digest", "group"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     from ..session import read_table
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("digest", "group")

@@ -36,11 +36,8 @@ from .wordhash import Words, mix, rolling, slices, text_bytes
 
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-# narrow rows: anchors only propose windows, so 48 bits are enough for them; 48 bits
-# of the texts' digests tell whether an anchor occurs in different texts; a place and
-# the 16-bit tag of its text share one number, the spot
+# anchors only propose windows, so 48 bits are enough for them
 _SHORT = np.uint64(16)
-_LOW48 = (1 << 48) - 1
 
 
 def cover_for(size: int) -> tuple[int, tuple[int, ...], int]:
@@ -66,8 +63,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((rolling(w.hashes(), span, 1)[at] >> _SHORT).view(np.int64)),
-                     pa.array(digests[i:j][text] & _LOW48), pa.array(ids[i:j][text]),
-                     pa.array(place << 16 | digests[i:j][text] & 0xFFFF)], ["anchor", "digest", "id", "spot"])
+                     pa.array(digests[i:j][text]), pa.array(ids[i:j][text]), pa.array(place.astype(np.int32))],
+                    ["anchor", "tag", "id", "place"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +128,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
             start, text = start[once], text[once]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1[start].view(np.int64)), pa.array(h2[start].view(np.int32)), pa.array(ids[i:j][text]),
-                 pa.array((start - w.first[text]) << 16 | tags[i:j][text].astype(np.int64))], ["h1", "h2", "id", "spot"])
+                 pa.array(tags[i:j][text]), pa.array((start - w.first[text]).astype(np.int32))], ["h1", "h2", "id", "tag", "place"])
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -176,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or empty text: no words, ``text`` is empty. Fewer than ``size`` words:
     nothing is removed. Null id: the row neither removes nor loses words.
     Repeated rows of one id do not remove each other's words; different texts of
-    one id are told apart by 16 bits of their digest. An empty table
+    one id are told apart by 64 bits of their digest. An empty table
     gives an empty result.
     """
     rest = [c for c in docs.columns if c != text_col]
@@ -184,28 +181,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.struct(*rest).alias("rest"))
     some = base.where(F.col("id").isNotNull())
-    tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int").alias("tag")
+    tag = F.xxhash64("text").alias("tag")
     texts = some.select("id", tag, "text", "rest")
 
-    anchors = some.select("id", F.xxhash64("text").alias("digest"), "text").mapInArrow(
-        partial(_anchor_batches, size=size), f"anchor bigint, digest bigint, id {id_type}, spot bigint")
-    shared = written(anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    anchors = some.select("id", tag, "text").mapInArrow(
+        partial(_anchor_batches, size=size), f"anchor bigint, tag bigint, id {id_type}, place int")
+    shared = written(anchors.groupBy("anchor").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
                             .where(F.col("lo") != F.col("hi")).select("anchor"), "shared-anchors")
-    of_spot = [F.shiftright("spot", 16).cast("int").alias("place"), F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("tag")]
-    places = written(anchors.select("anchor", "id", "spot").join(shared, "anchor").select("id", *of_spot)
+    places = written(anchors.join(shared, "anchor")
                             .groupBy("id", "tag").agg(F.collect_list("place").alias("places")), "anchor-places")
 
-    known = some.select("id", tag, F.unhex(F.sha2("text", 256)).alias("key"))
+    # nothing follows the join, so the rows of a text that many documents copy can be dealt over tasks
+    known = some.select("id", tag, F.unhex(F.sha2("text", 256)).alias("key")).distinct()
     first = known.groupBy("key").agg(F.min("id").alias("first"))
     copies = written(known.join(first, "key").where(F.col("id") > F.col("first"))
-                          .select("id", "tag", F.lit(True).alias("copy")).distinct(), "copies")
+                          .select("id", "tag", F.lit(True).alias("copy")), "copies")
 
     windows = (texts.select("id", "tag", "text").join(places.join(copies, ["id", "tag"], "left_anti"), ["id", "tag"])
                     .select("id", "tag", "text", "places")
-                    .mapInArrow(partial(_window_batches, size=size), f"h1 bigint, h2 int, id {id_type}, spot bigint"))
+                    .mapInArrow(partial(_window_batches, size=size), f"h1 bigint, h2 int, id {id_type}, tag bigint, place int"))
     least = written(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                            .where(F.col("n") > 1).select("h1", "h2", "least"), "repeated-windows")
-    starts = written(windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least")).select("id", *of_spot)
+    starts = written(windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("least"))
                             .groupBy("id", "tag").agg(F.collect_list("place").alias("starts")), "repeat-starts")
     keyed = (texts.join(starts, ["id", "tag"], "left").join(copies, ["id", "tag"], "left")
                   .select("rest", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy")))

@@ -285,20 +285,21 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages written as WARC records and read back; revisits take the payload of the record they refer to."""
+    """All pages written as WARC records and read back; revisits take the payload of the record
+    they refer to: of the responses of that page the one with the digest that the revisit states."""
     from ..session import read_table
     path = scratch_path(spark, "warc")
     write_warc(read_table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     rows = read_warc(spark, path).select(
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)").alias("page_id"),
-        "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        "payload_bytes", "payload_digest", F.regexp_replace("stated", "^sha1:", "").alias("stated"), F.col("kind").alias("record_type"),
         F.when(page("refers") != "", page("refers").cast("bigint")).alias("refers_to"))
     whole = (rows.where("record_type = 'response' and page_id is not null")
-                 .groupBy(F.col("page_id").alias("refers_to"))
-                 .agg(F.min("payload_bytes").alias("full_bytes"), F.min("payload_digest").alias("full_digest")))
+                 .groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"))
+                 .agg(F.min("payload_bytes").alias("full_bytes")))
     own = rows.where("refers_to is null")
-    visits = rows.where("refers_to is not null").join(whole, "refers_to")
+    visits = rows.where("refers_to is not null").join(whole, ["refers_to", "stated"])
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return own.select(*cols).unionByName(visits.select("page_id", F.col("full_bytes").alias("payload_bytes"),
-                                                       F.col("full_digest").alias("payload_digest"), "record_type", "refers_to"))
+                                                       F.col("stated").alias("payload_digest"), "record_type", "refers_to"))
