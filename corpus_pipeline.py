@@ -6,8 +6,9 @@ return the columns of ``docs``; the last returns packed token pieces.
 
 1. ``toxicity``: documents with a toxicity score of 0.5 or more go.
 2. ``quality``: documents with a quality score below 0.3 go.
-3. ``near_duplicates``: of each group of near-duplicates the one of the smallest
-   id stays (repeated rows of it: one of them).
+3. ``near_duplicates``: of each group of near-duplicate texts the one of the smallest
+   id stays (repeated rows of it: one of them). Other texts of that id are judged as
+   texts: they stay unless they are near-duplicates of another text that does.
 4. ``substring_dedup``: words of 50-word windows that repeat from a smaller id
    are cut from the texts; ``n_chars`` follows the text. Documents stay, however
    little is left of them.
@@ -15,6 +16,9 @@ return the columns of ``docs``; the last returns packed token pieces.
 
 Documents with a null id pass the first two stages like others; the third keeps
 one of each text (and none where the text has a row with an id).
+
+Every stage takes null, empty and very long texts, repeated rows and ids, empty tables and
+further columns; what each makes of them is stated with its operator and its function here.
 """
 
 from __future__ import annotations
@@ -28,39 +32,38 @@ from trafficbrick.session import read_table, scratch_path, ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores below 0.5; null and empty texts have the score of no evidence and stay."""
     ship_package(spark)
     scored = toxicity.score_toxicity(docs, toxicity.train(spark, docs, sf_dir))
     return scored.where(F.col("predicted") == 0).select("rest.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores 0.3 or more; null and empty texts have the score of all statistics 0."""
     ship_package(spark)
     scored = quality.score_quality(docs, quality.train(spark, docs, sf_dir))
     return scored.where(F.col("predicted") == 1).select("rest.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group of texts: that of the smallest id (none is the largest), of the texts
+    that share it the one of the smallest digest. Rows are judged by their texts, so other texts of an id stay.
+    """
     ship_package(spark)
-    classes = jaccard_join.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi")
-    # rows that repeat a kept id: one of them stays; ids that do not repeat pass the window as they are
-    return _one_per_id(with_id).select(*docs.columns).unionByName(_texts_without_id(docs, classes))
-
-
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return docs.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == 1).drop("__n")
-
-
-def _texts_without_id(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of each text that no row with an id has."""
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.md5(F.coalesce("text", F.lit(""))).alias("__k")).distinct()
-    lost = docs.where(F.col("doc_id").isNull()).withColumn("__k", F.md5(F.coalesce("text", F.lit(""))))
-    return lost.dropDuplicates(["__k"]).join(known, "__k", "left_anti").select(*docs.columns)
+    found = jaccard_join.near_duplicates(docs)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
+    kept = found.groupBy("group").agg(F.min(least).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.digest").alias("__digest"))
+    keyed = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    here = keyed.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__id")) & (F.col("d.__digest") == F.col("k.__digest")),
+                                 "left_semi")
+    # rows that repeat both: one of them stays
+    same = Window.partitionBy("doc_id", "__digest").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    return here.withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts (null: empty) without the words that repeat from a smaller id, joined by one blank;
+    ``n_chars``, where there is such a column, counts the new text's characters."""
     ship_package(spark)
     out = substring_dedup.remove_repeats(docs)
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} \
@@ -69,6 +72,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts (null: empty) as token pieces with their place in sequences of 2048; one piece at least for each row."""
     ship_package(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
