@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -67,6 +68,120 @@ def test_toxic_passages_and_odd_texts(spark, table):
         assert all(p.first < p.last <= len(t) for p in by[k].passages)
 
 
+def words_of(text):
+    """Lower-cased runs of letters with their places."""
+    out, now = [], ""
+    for i, c in enumerate((text or "") + " "):
+        if unicodedata.category(c)[0] == "L":
+            now += c.lower() if len(c.lower()) == 1 else c
+        elif now:
+            out.append((now, i - len(now), i))
+            now = ""
+    return out
+
+
+def key_of(word, size=None):
+    """The hash of a word, or of its first letters."""
+    from trafficbrick.llm.runs import run_sums
+    from trafficbrick.llm.wordhash import mix
+    points = np.array([ord(c) for c in word], dtype=np.uint32)
+    total, _ = run_sums(points, np.array([0]), np.array([len(word)]))
+    if size is None:
+        return int(mix(total[-1:] + np.uint64(len(word)))[0])
+    return int(mix(total[size:size + 1] + np.uint64(size << 32))[0])
+
+
+def brute_scores(text, m):
+    """Net score of every word, evidence and best of a text, by the definitions."""
+    table = dict(zip(m.keys.tolist(), m.scores.tolist()))
+    net = []
+    for w, _, _ in words_of(text):
+        names = [key_of(w)] + [key_of(w, k) for k in T.PREFIXES if len(w) > k]
+        net.append(next((table[k] for k in names if k in table), 0.0) - m.drift)
+    total, best, kept = 0.0, 0.0, []
+    for s, a, b in brute_segments(net):
+        minus = m.lam * s - m.log_k - np.log(max(len(net), 1))
+        best = max(best, minus, m.lam * s / 10)
+        if minus > 0:
+            total += minus
+            kept.append((s, a, b))
+    return net, total, best, kept
+
+
+def test_scores_by_brute_force(spark, table):
+    """Word scores, segments, E-values, evidence and score of each text; and the model's own figures."""
+    rows = corpus(300)
+    m = T.fit(table([(t, y) for _, t, y in rows], "text string, label int"))
+    texts = [(k, t) for k, t, _ in rows[:120]] + [(900, None), (901, "É! İdiot Stupidly ünd"), (902, "scum"), (903, "vileß vileword1")]
+    out = {r.rest.doc_id: r for r in T.score_toxicity(table([("s", k, t, 1, 2) for k, t in texts], SCHEMA), m).collect()}
+    for k, t in texts:
+        _, evidence, best, kept = brute_scores(t, m)
+        w = words_of(t)
+        score = 1 / (1 + np.exp(-(m.weights[0] + m.weights[1] * np.log1p(evidence) + m.weights[2] * np.log1p(best))))
+        assert abs(out[k].score - score) < 1e-9
+        assert [(p.first, p.last) for p in out[k].passages] == [(w[a][1], w[b][2]) for _, a, b in kept]
+        assert np.allclose([p.score for p in out[k].passages], [s for s, _, _ in kept])
+    # lam and K are those of the clean texts as they are scanned
+    nets = [brute_scores(t, m)[0] for _, t, y in rows if not y]
+    flat = np.concatenate(nets)
+    mass = np.exp(m.lam * flat).sum() + 0.5 * np.exp(m.lam * (m.scores - m.drift)).sum()
+    assert abs(mass / (len(flat) + len(m.scores) / 2) - 1) < 1e-6
+    clean = sorted(s for net in nets for s, _, _ in brute_segments(net))
+    level = clean[(len(clean) - 1) // 2] if clean else 0.0
+    assert not clean and m.log_k == 0 or abs(m.log_k - (np.log(sum(s >= level - 1e-12 for s in clean) / len(flat)) + m.lam * level)) < 1e-6
+
+
+def test_e_values_of_clean_texts(spark, table):
+    """On clean texts that the model has not seen, as many segments pass an E-value as it says, within a factor of two."""
+    rnd = random.Random(12)
+    word = lambda c, i: f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    common, mild = [word("w", i) for i in range(200)], [word("m", i) for i in range(40)]
+
+    def text(toxic):
+        """Of some words, each of its own weight, toxic texts have up to eight times as many."""
+        w = rnd.choices(common, k=rnd.randrange(40, 60))
+        for k in range(len(w)):
+            if rnd.random() < (0.25 if toxic else 0.06):
+                i = int(40 * rnd.random() ** (2 if toxic else 0.7))
+                w[k] = mild[i]
+        return " ".join(w)
+
+    m = T.fit(table([(text(k % 2 == 0), int(k % 2 == 0)) for k in range(3000)], "text string, label int"))
+    assert len(m.keys) > 10
+    fresh = [text(False) for _ in range(3000)]
+    rows = table([(t, len(t.split())) for t in fresh], "text string, rest int")
+    out = T.score_segments(spark, rows, m._replace(max_e=np.inf)).collect()
+    for level in (1.0, 0.5, 0.2):
+        passed = sum(r.rest * np.exp(m.log_k - m.lam * p.score) <= level for r in out for p in r.passages)
+        assert level / 2 <= passed / len(fresh) <= 2 * level, (level, passed / len(fresh))
+
+
+def test_rule_column_by_brute_force(spark, table):
+    """The compiled column against the rules taken one by one."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(400):
+        w = [rnd.choice("abcdefgh") * rnd.randrange(2, 9) + rnd.choice(["", "!", ",", "#"]) for _ in range(rnd.randrange(5, 60))]
+        if k % 3 == 0:
+            w = [x for x in w[:6] for _ in range(5)]
+        rows.append((k, " ".join(w), int(k % 3 != 0)))
+    stats = Q.statistics(*text_bytes(pa.array([t for _, t, _ in rows])))
+    m = Q.fit_rules(stats, np.array([y for *_, y in rows], float))
+    assert m.rules
+    got = {r.rest.doc_id: r.score for r in Q.score_quality(table([("s", k, t, 1, 2) for k, t, _ in rows], SCHEMA), m).collect()}
+    for k, row in enumerate(stats):
+        values = dict(zip(Q.STATS, row))
+        logit = m.intercept + sum(r.weight for r in m.rules
+                                  if all(values[stat] > limit if above else values[stat] <= limit for stat, above, limit in r.terms))
+        assert abs(got[k] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    m = T.fit(spark.createDataFrame([], "text string, label int"))
+    assert T.score_toxicity(none, m).count() == 0 and Q.score_quality(none, Q.fit_rules(np.zeros((0, len(Q.STATS))), np.zeros(0))).count() == 0
+
+
 def test_models_without_both_labels(spark, table):
     for labels, want in (([], 0.0), ([0, 0], 0.0), ([1, 1], 1.0)):
         df = spark.createDataFrame([("some text here", y) for y in labels], "text string, label int")

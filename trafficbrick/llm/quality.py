@@ -233,7 +233,7 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", thr
     """``rest`` (struct of all columns of ``docs``), ``score`` (0 to 1), ``predicted``.
 
     Null, empty and wordless texts have all statistics 0 and the score of that.
-    Whole texts count; repeated rows are scored alike.
+    Whole texts count; repeated rows are scored alike; an empty table gives an empty result.
     """
     return (with_statistics(docs, text_col).select("rest", rule_column(model).alias("score"))
             .select("rest", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))

@@ -6,15 +6,15 @@
   score of its own takes that of its longest beginning (7 to 3 letters) that has
   one. Each token also costs a fixed ``drift``, so that a neutral stretch loses.
 * A linear-time scan finds all disjoint maximal-scoring segments of a text.
-* Scores are calibrated as extreme values: with ``lam`` the root of
-  ``sum q(w) exp(lam * s(w)) = 1`` over clean tokens and ``K`` fitted on clean
-  texts, a segment of score S in n tokens has E-value ``K * n * exp(-lam * S)``.
+* Scores are calibrated as extreme values: with ``q`` the shares of the net scores that the
+  tokens of clean texts get in the scan, ``lam`` the root of ``sum q exp(lam * s) = 1``
+  and ``K`` fitted on the segments of clean texts, a segment of score S in n tokens has E-value ``K * n * exp(-lam * S)``.
   A passage is significant below ``max_e``. The evidence of a text is the sum of
   ``-log E`` over its significant passages; a logistic curve fitted on the
   training rows turns it into a score.
 
-Word counts over the training rows run as a Spark aggregate; what reaches the
-driver is bounded by ``vocabulary`` words and ``max_rows`` training rows.
+Word, token and segment counts over the training rows run as Spark aggregates; no text and no
+segment reaches the driver.
 """
 
 from __future__ import annotations
@@ -123,19 +123,23 @@ def segments(place: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[f
     return [(r - left, int(a), int(b)) for left, r, a, b in found]
 
 
-def _lookup(units: list[np.ndarray], model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words that score, and their net scores: that of the whole
-    word if it has one, else that of its longest beginning that has."""
-    net = np.zeros(len(units[0]))
-    hit = np.zeros(len(units[0]), dtype=bool)
+def _which(units: list[np.ndarray], model: ToxicModel) -> np.ndarray:
+    """The number of the model's word that each word scores as: the whole word if it is one,
+    else its longest beginning that is (-1: none)."""
+    which = np.full(len(units[0]), -1, dtype=np.int64)
     if len(model.keys):
         for keys in units:
             at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-            new = (model.keys[at] == keys) & ~hit
-            net[new] = model.scores[at[new]]
-            hit |= new
-    place = np.flatnonzero(hit)
-    return place, net[place] - model.drift
+            new = (model.keys[at] == keys) & (which < 0)
+            which[new] = at[new]
+    return which
+
+
+def _lookup(units: list[np.ndarray], model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that score, and their net scores."""
+    which = _which(units, model)
+    place = np.flatnonzero(which >= 0)
+    return place, model.scores[which[place]] - model.drift
 
 
 def _evidence(found: list[tuple[float, int, int]], n: int, model: ToxicModel) -> tuple[float, float, list]:
@@ -226,13 +230,26 @@ def _lambda(share: np.ndarray, net: np.ndarray) -> float:
     return lo
 
 
-def fit(sample: DataFrame, text_col: str = "text", label_col: str = "label", vocabulary: int = 50_000,
-        max_e: float = 1.0) -> ToxicModel:
+def _token_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(text) -> (which, n): how many tokens score as word number ``which`` of the model (-1: none do)."""
+    m: ToxicModel = model.value
+    for b in batches:
+        many = np.zeros(len(m.keys) + 1, dtype=np.int64)
+        for part in parts(b.column(0)):
+            units, start, _ = _words(part)
+            which = _which(units, m)
+            many += np.bincount(which + 1, minlength=len(many))
+        found = np.flatnonzero(many)
+        yield pa.RecordBatch.from_arrays([pa.array(found - 1), pa.array(many[found])], ["which", "n"])
+
+
+def fit(sample: DataFrame, text_col: str = "text", label_col: str = "label", max_e: float = 1.0) -> ToxicModel:
     """A model from rows of text and 0/1 label (a bounded table).
 
-    At most ``vocabulary`` words reach the driver: those of the largest
-    significance. Without rows of both labels nothing scores, and every score
-    is the share of label 1 (0 without rows).
+    What reaches the driver: the significant words (each occurs in several texts), a count of clean
+    tokens for each of them, two numbers about the segments of clean texts, and three of each row. Without rows of
+    both labels nothing scores, and every score is the share of label 1 (0 without rows, as for an empty table).
+    Null texts count as empty.
     """
     spark = sample.sparkSession
     rows = sample.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
@@ -245,27 +262,29 @@ def fit(sample: DataFrame, text_col: str = "text", label_col: str = "label", voc
     odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + weight) - F.col(c) - prior))
     z = F.col("odds") / F.sqrt(1 / (F.col("pos") + prior) + 1 / (F.col("neg") + prior))
     top = (counts.withColumn("odds", odds("pos", n.pos) - odds("neg", n.neg)).withColumn("z", z)
-                 .where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS)).orderBy(F.abs("z").desc(), "key").limit(vocabulary)
-                 .select("key", "odds", "neg").collect())
+                 .where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS)).select("key", "odds").collect())
     top.sort(key=lambda r: r.key & (1 << 64) - 1)
     keys = np.array([r.key for r in top], dtype=np.int64).view(np.uint64)
     scores = np.array([r.odds for r in top])
-    q = np.array([r.neg for r in top]) / max(n.neg, 1)
-    lam = _lambda(np.r_[q, max(0.0, 1 - q.sum())], np.r_[scores, 0.0] - DRIFT)
-    model = ToxicModel(keys, scores, DRIFT, lam, 0.0, (0.0, 0.0, 0.0), max_e)
+    model = ToxicModel(keys, scores, DRIFT, 1.0, 0.0, (0.0, 0.0, 0.0), max_e)
+    # the tokens that the scan of clean texts meets, by the score each really gets
+    clean = rows.where(F.col("label") == 0).select("text")
+    held = spark.sparkContext.broadcast(model)
+    tokens = {r.which: r.n for r in clean.mapInArrow(partial(_token_batches, model=held), "which bigint, n bigint")
+                                         .groupBy("which").agg(F.sum("n").alias("n")).collect()}
+    total = sum(tokens.values())
+    # half a token more for each word, as one that clean texts have not shown may still occur in them
+    q = np.array([tokens.get(-1, 0)] + [tokens.get(k, 0) + 0.5 for k in range(len(keys))])
+    model = model._replace(lam=_lambda(q / max(q.sum(), 1), np.r_[0.0, scores] - DRIFT))
     # K: as many segments of clean texts above the median as the formula expects
-    at_zero = model._replace(max_e=np.inf)
-    scored = [(r.rest.label, r.passages, r.rest.n) for r in
-              score_segments(spark, rows.select("text", F.struct("label", F.length("text").alias("n")).alias("rest")),
-                             at_zero).collect()]
-    clean = [p.score for y, ps, _ in scored if not y for p in ps]
-    chars = sum(k or 0 for y, _, k in scored if not y)
-    if clean and chars:
-        level = float(np.median(clean))
-        tokens = max(n.neg, 1)
-        model = model._replace(log_k=float(np.log(sum(s >= level for s in clean) / tokens) + lam * level))
-    pairs = [(r.rest.label, r.evidence, r.best) for r in
-             score_segments(spark, rows.select("text", F.struct("label").alias("rest")), model).collect()]
+    found = (score_segments(spark, clean.withColumn("rest", F.lit(0)), model._replace(max_e=np.inf))
+             .select(F.explode("passages.score").alias("s")))
+    level = found.agg(F.percentile_approx("s", 0.5, F.lit(10_000)).alias("m")).first().m
+    if level is not None and total:
+        above = found.where(F.col("s") >= level).count()
+        model = model._replace(log_k=float(np.log(above / total) + model.lam * level))
+    pairs = (score_segments(spark, rows.select("text", F.col("label").alias("rest")), model)
+             .select("rest", "evidence", "best").collect())
     if not pairs or not 0 < share < 1:
         odds0 = np.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0)
         return model._replace(weights=(float(odds0), 0.0, 0.0))
@@ -287,7 +306,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
     and the significant ``passages`` (characters first..last, segment score).
 
     Null, empty and wordless texts have no passage and the score of none. Long
-    texts are scanned whole. Repeated rows are scored alike.
+    texts are scanned whole. Repeated rows are scored alike; an empty table gives an empty result.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("rest"))
     a, b, c = model.weights
