@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+SALTS = 64
+
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     where = scratch_path(df.sparkSession, name)
@@ -14,16 +16,25 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step on edges ``(u, v)`` with ``u > v``: each node hangs its larger
-    (or else its smaller) neighbours and itself on its least neighbour."""
+def _star(edges: DataFrame, larger: bool, many: int) -> DataFrame:
+    """One star step on ``many`` edges ``(u, v)`` with ``u > v``: each node hangs its larger
+    (or else its smaller) neighbours and itself on its least neighbour.
+
+    The edges of a node with more than a 1024th of them (fewer than 2048 nodes, broadcast) are
+    dealt over ``SALTS`` keys, and its least neighbour goes to each of them.
+    """
     both = edges if not larger else edges.select(F.col("v").alias("u"), F.col("u").alias("v")).unionByName(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(ends.where(F.col("n") > max(64, many // 1024)).select("u", F.lit(True).alias("hub")))
+    least = (ends.select("u", F.least("u", "m").alias("m")).join(hubs, "u", "left")
+                 .select("u", "m", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("s")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = both.join(hubs, "u", "left").withColumn("s", salt).select("u", "v", "s")
     if larger:
-        moved = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = dealt.where(F.col("v") > F.col("u")).join(least, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = (both.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .unionByName(least.select("u", F.col("m").alias("v"))))
+        moved = (dealt.join(least, ["u", "s"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+                      .unionByName(ends.select("u", F.least("u", "m").alias("v"))))
     return moved.where(F.col("u") > F.col("v")).distinct()
 
 
@@ -31,8 +42,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, label`` for every node of an edge, ``label`` the least node of its component.
 
     Alternates large-star and small-star steps until nothing changes. Every step
-    is an aggregate with map-side combine and a join back, so a hub's edges are
-    not gathered in one task; the edge table is written after each round, which
+    is an aggregate with map-side combine and a join back, in which a hub's edges are
+    dealt over several keys; the edge table is written after each round, which
     cuts the lineage. The driver sees a count and two check sums a round. Null
     ends and loops are ignored; an empty table gives no node.
     """
@@ -44,7 +55,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     seen = state(e)
     while seen[0]:
-        e = _written(_star(_star(e, True), False), "edges")
+        e = _written(_star(_star(e, True, seen[0]), False, seen[0]), "edges")
         now = state(e)
         if now == seen:
             break
