@@ -35,7 +35,7 @@ from .token_counts import byte_signs, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 32
+PARTS = 8192        # parts that all pieces are ranked in, besides one a length
 KEPT_WORDS = 300_000
 
 
@@ -268,16 +268,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (``id, piece, start, length, ids_crc32``) with ``sequence_id`` and ``offset``.
 
     ``pieces`` is read three times: give a written table. The driver holds one
-    count for each length (at most ``capacity``). Ranks are taken within
-    (length, one of ``SALTS`` parts), so no length is ordered in one task; the
-    table of part sizes has at most ``capacity * SALTS`` rows and is broadcast.
+    count for each length (at most ``capacity``). Ranks are taken within parts of a
+    length, as many as its share of ``PARTS`` and one at least: a part holds about a ``PARTS``-th of
+    all pieces at most, however many have one length. The table of part sizes has at most
+    ``PARTS + capacity`` rows and is broadcast.
     """
     spark = pieces.sparkSession
-    sized = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = max(sum(counts.values()), 1)
+    parts_of = F.get(F.lit([max(1, counts.get(k, 0) * PARTS // total) for k in range(capacity + 1)]), F.col("length").cast("int"))
+    sized = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), parts_of).cast("int"))
     sizes = sized.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.sparkContext.broadcast(plan(counts, capacity))
     within = Window.partitionBy("length", "part").orderBy("id", "piece")
     ranked = (sized.withColumn("nth", F.row_number().over(within) - 1)
