@@ -7,13 +7,16 @@ a segment. A query processes segments score-at-a-time, by descending impact
 on its score. It stops early only when the bounds prove that few rows can still
 be members; those are rescored exactly, so the result is exact.
 
-The query set is dealt in chunks of bounded bytes, one broadcast each; candidate
-blocks are never shuffled. Each task keeps ``k`` rows a query over its blocks,
-and the tasks' lists are merged by query.
+Candidates and queries are packed into written blocks. Candidate blocks lie in bands of
+``BAND``; every block of queries goes to every band once, where a task searches it in the
+band's blocks and keeps ``k`` rows a query. What is shuffled is the queries, once for each
+band, and the candidates once; neither is held by the driver or broadcast, and a task holds one block
+of each. The bands' lists are merged by query.
 """
 
 from __future__ import annotations
 
+import json
 from functools import partial
 from typing import Iterator
 
@@ -23,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from .tables import written
 
 SCALE = 1024
 BLOCK = 8192
 LEVEL_BITS = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20   # whole numbers of a block of queries
+BAND = 64               # candidate blocks that a block of queries meets in one task
 _EXACT = 1 << 62
 
 
@@ -119,49 +123,90 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], queries, k: int, scale: int) -> Iterator[pa.RecordBatch]:
-    """(id, vector) -> the task's best ``k`` of every query."""
-    q_ids, q_all = queries.value
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+def _block_batches(batches: Iterator[pa.RecordBatch], scale: int, size: int) -> Iterator[pa.RecordBatch]:
+    """(id, vector) -> blocks of at most ``size`` rows that take part: ids, whole numbers, width (0 and the numbers as
+    text where they leave 63 bits)."""
+    held_ids, held_x, many = [], [], 0
 
-    def search(ids: np.ndarray, x: np.ndarray) -> None:
-        width = max(x.shape[1], q_all.shape[1])
-        x, q = _widen(x, width), _widen(q_all, width)
+    def block() -> pa.RecordBatch:
+        width = max(v.shape[1] for v in held_x)
+        x = np.concatenate([_widen(v, width) for v in held_x])
+        huge = x.dtype == object
+        raw = json.dumps([list(map(int, r)) for r in x]).encode() if huge else x.astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held_ids).astype("<i8").tobytes()], pa.binary()), pa.array([raw], pa.binary()),
+                                           pa.array([-1 if huge else width], pa.int32())], ["ids", "x", "width"])
+
+    for b in batches:
+        rows, x = whole_numbers(b.column(1), scale)
+        ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
+        at = 0
+        while at < len(rows):
+            step = min(size - many, len(rows) - at)
+            held_ids.append(ids[at:at + step])
+            held_x.append(x[at:at + step])
+            at, many = at + step, many + step
+            if many == size:
+                yield block()
+                held_ids, held_x, many = [], [], 0
+    if many:
+        yield block()
+
+
+def _unpack(ids: bytes, raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, dtype="<i8")
+    if width < 0:
+        rows = json.loads(raw)
+        return ids, np.array(rows, dtype=object).reshape(len(ids), -1)
+    return ids, np.frombuffer(raw, dtype="<i8").reshape(len(ids), width)
+
+
+class _Search:
+    """The best ``k`` of a block of queries, over the candidate blocks it meets."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        width, k = max(x.shape[1], self.q.shape[1]), self.k
+        x, q = _widen(x, width), _widen(self.q, width)
         size = int(np.abs(x).max()) * int(np.abs(q).max()) * max(width, 1) if x.size and q.size else 0
         exact = x.dtype == object or q.dtype == object or size >= _EXACT
         if exact:
             x, q = x.astype(object), q.astype(object)
         index = None if exact else ImpactIndex(x)
-        for n, own in enumerate(q_ids):
-            old_ids, old = best[n]
+        for n, own in enumerate(self.q_ids):
+            old_ids, old = self.best[n]
             floor = int(old[-1]) if len(old) == k and not exact else None
             # the query's own row may be among the members, so one more is asked for
             rows = np.arange(len(x)) if exact else index.members(q[n], k + 1, floor)
             rows = rows[ids[rows] != own]
             scores = x[rows] @ q[n] if width else np.zeros(len(rows), dtype=np.int64)
-            best[n] = _best(np.r_[old_ids, ids[rows]], np.r_[old.astype(scores.dtype), scores], k)
+            self.best[n] = _best(np.r_[old_ids, ids[rows]], np.r_[old.astype(scores.dtype), scores], k)
+
+    def rows(self) -> pa.RecordBatch:
+        top = (1 << 63) - 1
+        owner = np.repeat(self.q_ids, [len(i) for i, _ in self.best])
+        found = [int(s) for _, scores in self.best for s in scores]
+        return pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int64)), pa.array(np.concatenate([i for i, _ in self.best]).astype(np.int64)),
+                                           pa.array([max(-top - 1, min(top, s)) for s in found], pa.int64())], ["query_id", "vec_id", "score"])
 
-    held_ids, held_x, size = [], [], 0
+
+def _search_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a query block and a candidate block, sorted by band and query block -> each query's best ``k`` in a band."""
+    now, search = None, None
     for b in batches:
-        rows, x = whole_numbers(b.column(1), scale)
-        ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
-        for at in range(0, len(rows), BLOCK):
-            held_ids.append(ids[at:at + BLOCK])
-            held_x.append(x[at:at + BLOCK])
-            size += len(held_ids[-1])
-            if size >= BLOCK:
-                width = max(v.shape[1] for v in held_x)
-                search(np.concatenate(held_ids), np.concatenate([_widen(v, width) for v in held_x]))
-                held_ids, held_x, size = [], [], 0
-    if size:
-        width = max(v.shape[1] for v in held_x)
-        search(np.concatenate(held_ids), np.concatenate([_widen(v, width) for v in held_x]))
-    top = (1 << 63) - 1
-    for own, (ids, scores) in zip(q_ids.tolist(), best):
-        if len(ids):
-            long = [max(-top - 1, min(top, int(s))) for s in scores]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own, dtype=np.int64)), pa.array(ids),
-                                              pa.array(long, pa.int64())], ["query_id", "vec_id", "score"])
+        bands, numbers, widths, q_widths = (b.column(c).to_pylist() for c in ("band", "q", "width", "q_width"))
+        for r in range(b.num_rows):
+            key = bands[r], numbers[r]
+            if key != now:
+                if search is not None:
+                    yield search.rows()
+                search = _Search(*_unpack(b.column("q_ids")[r].as_py(), b.column("q_x")[r].as_py(), q_widths[r]), k)
+                now = key
+            search.meet(*_unpack(b.column("ids")[r].as_py(), b.column("x")[r].as_py(), widths[r]))
+    if search is not None:
+        yield search.rows()
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
@@ -174,29 +219,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     0. Rows that repeat an id are candidates each; queries that repeat an id are
     one (the first by components). Scores beyond 64 bits are held at the limits.
     Empty tables give an empty result.
-
-    Queries pass in chunks of at most ``CHUNK_BYTES`` of whole numbers; each
-    chunk is one broadcast, one scan of the candidates and one written part.
     """
-    spark = vectors.sparkSession
     pick = [F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")]
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     cand = vectors.select(*pick).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     asked = queries.select(*pick).where(F.col("id").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    chunks = max(1, -(-size.n * max(size.d, 1) * 8 // (CHUNK_BYTES // 2)))      # half full on average
-    where = scratch_path(spark, "top-k")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    for c in range(chunks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toArrow().combine_chunks()
-        rows, q = whole_numbers(part.column(1).combine_chunks(), scale)
-        held = spark.sparkContext.broadcast((part.column(0).to_numpy()[rows], q))
-        found = cand.mapInArrow(partial(_search_batches, queries=held, k=k, scale=scale),
-                                "query_id bigint, vec_id bigint, score bigint")
-        (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-              .select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(where))
-        held.destroy()
-    return spark.read.parquet(where)
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        packed = rows.mapInArrow(partial(_block_batches, scale=scale, size=size), "ids binary, x binary, width int")
+        return written(packed.withColumn("n", F.monotonically_increasing_id()), name)
+
+    width = queries.agg(F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()[0]
+    them = blocks(cand, BLOCK, "candidate-blocks")
+    us = blocks(asked, max(1, CHUNK_BYTES // (8 * max(width, 1))), "query-blocks")
+    # blocks are dealt evenly over the bands by their rank (one short row a block is ordered); few blocks: a band each,
+    # as far as there are tasks for them
+    many, tasks = them.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = max(1, -(-many // BAND), min(many, tasks))
+    order = them.select("n").withColumn("band", (F.row_number().over(Window.orderBy("n")) % bands).cast("int"))
+    banded = them.join(order, "n").select("band", "ids", "x", "width").repartition(bands, "band")
+    sent = us.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), F.col("n").alias("q"), F.col("ids").alias("q_ids"),
+                     F.col("x").alias("q_x"), F.col("width").alias("q_width")).repartition(bands, "band")
+    # a block of queries meets all blocks of its band one after the other
+    found = sent.hint("merge").join(banded, "band")
+    best = found.mapInArrow(partial(_search_batches, k=k), "query_id bigint, vec_id bigint, score bigint")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk_search(spark, sf_dir: str) -> DataFrame:
