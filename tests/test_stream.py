@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from trafficbrick.functions.parity import parity_tables
 from trafficbrick.operators import decode, hitters, rates, summary
 from trafficbrick.plans import summary as plan
 from trafficbrick.schemas import PACKETS
@@ -12,7 +13,7 @@ from trafficbrick.session import scratch_path, ship_package
 from trafficbrick.sources.derived import load_event_packets, load_packets
 from trafficbrick.streaming import bricks, fixtures, vote
 from trafficbrick.streaming import rates as srates
-from trafficbrick.streaming.start import start
+from trafficbrick.streaming.start import COUNT_ROWS, start
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -157,6 +158,38 @@ def test_late_rows_are_dropped(spark):
     assert got == {0: 300, 3: 300, 6: 300, 9: 100}
 
 
+@pytest.mark.parametrize("fill", [False, True])
+@pytest.mark.parametrize("seeded", [False, True])
+def test_closed_rows_are_read_once(spark, fill, seeded):
+    """A second reading would run the state of the micro-batch again; ticks go through the roll-up beside the flows."""
+    packets = spark.createDataFrame([packet(s, s, 100 + s, 167772161 + s % 3) for s in range(9)], PACKETS)
+    at = scratch_path(spark, "t-closed")
+    flows = plan.flows_of(packets, "3 seconds").select(*summary.WINDOW_COLS, "src_ip", "dst_ip", F.col("bytes").cast("bigint").alias("bytes"), "packets", "pp")
+    ticks = spark.createDataFrame([(T0 + dt.timedelta(seconds=s), T0 + dt.timedelta(seconds=s + 3)) for s in (0, 3, 6, 9)],
+                                  "window_start timestamp_ntz, window_end timestamp_ntz")
+    (flows.unionByName(ticks, allowMissingColumns=True) if fill else flows).write.parquet(at)
+    kw = {"parity": parity_tables(134, 1)} if seeded else {}
+    cells = bricks.cells_of_closed(spark.read.parquet(at), "flow", fill=fill, **kw)
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    same(cells.where("cell IS NOT NULL"), plan.window_summary(packets, "3 seconds", **kw).cells.drop("flow_bytes"))
+    assert cells.where("cell IS NULL").count() == (4 if fill else 0)
+
+
+def test_store_does_not_count_rows_unless_asked(spark):
+    seen = []
+
+    class Writer:
+        def start(self):
+            seen.append(spark.conf.get(COUNT_ROWS))
+
+    start(spark, Writer())
+    assert spark.conf.get(COUNT_ROWS, None) is None
+    spark.conf.set(COUNT_ROWS, "true")
+    start(spark, Writer())
+    assert seen == ["false", "true"] and spark.conf.get(COUNT_ROWS) == "true"
+    spark.conf.unset(COUNT_ROWS)
+
+
 def test_decode_is_used_by_the_clock(spark):
     """Frames that are not IPv4 move the watermark but are not in the windows."""
     p = spark.createDataFrame([packet(1, 1), packet(2, 2, eth=34525)], PACKETS)

@@ -91,12 +91,19 @@ def closed_windows(packets: DataFrame, duration: str, watermark: str, hitters_by
     return rows.unionByName(ticks.select(*_wallclock(F.timestamp_micros("start"), F.timestamp_micros("end"))), allowMissingColumns=True)
 
 
-def cells_of_closed(rows: DataFrame, hitters_by: str, strata: DataFrame | None = None, reserved: int = 1, **bin_kw) -> DataFrame:
-    """The cells of a micro-batch of ``closed_windows``, ticks left as they are."""
+def cells_of_closed(rows: DataFrame, hitters_by: str, strata: DataFrame | None = None, reserved: int = 1, fill: bool = False,
+                    **bin_kw) -> DataFrame:
+    """The cells of a micro-batch of ``closed_windows``; with ``fill`` also a row without a cell for each window with ticks.
+
+    ``rows`` is read once: a second reading would run the micro-batch's state a second time.
+    """
     if hitters_by == "vote":
         return rows
-    cells = cells_of(assign_bins(rows.where(F.col("src_ip").isNotNull()), strata, reserved, **bin_kw)).drop("flow_bytes")
-    return cells.unionByName(rows.where(F.col("src_ip").isNull()).select(*WINDOW_COLS), allowMissingColumns=True)
+    if not fill:
+        return cells_of(assign_bins(rows.where(F.col("src_ip").isNotNull()), strata, reserved, **bin_kw)).drop("flow_bytes")
+    ticks = rows.withColumn("tick", F.col("src_ip").isNull()).na.fill(0, ["src_ip", "dst_ip"])
+    binned = assign_bins(ticks, strata, reserved, **bin_kw)
+    return cells_of(binned.withColumns({c: F.when(~F.col("tick"), F.col(c)) for c in ("cell", "sub")})).drop("flow_bytes")
 
 
 def write_closed(rows: DataFrame, output_path: str, batch_id: int, hitters_by: str = "flow", strata: DataFrame | None = None,
@@ -104,7 +111,7 @@ def write_closed(rows: DataFrame, output_path: str, batch_id: int, hitters_by: s
     """Write the outputs of one micro-batch of ``closed_windows`` under ``output_path``."""
     spark, base = rows.sparkSession, output_path.rstrip("/")
     staged = scratch_path(spark, "stream-cells")
-    cells_of_closed(rows, hitters_by, strata, reserved, **bin_kw).write.parquet(staged)
+    cells_of_closed(rows, hitters_by, strata, reserved, fill, **bin_kw).write.parquet(staged)
     kept = spark.read.parquet(staged)
     cells = kept.where(F.col("cell").isNotNull())
     top = top_hitters(cells.where(F.col("src_ip") != 0), k=k)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# the store's own row count, for a metric that nothing here reads, takes a look-up for every row put or removed
+COUNT_ROWS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 
 
 def start(spark, writer, state_partitions: int | None = None):
@@ -13,6 +15,8 @@ def start(spark, writer, state_partitions: int | None = None):
     clone of the session's settings, so the caller's are put back right after.
     """
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if spark.conf.get(COUNT_ROWS, None) is None:
+        wanted[COUNT_ROWS] = "false"
     if state_partitions:
         wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
     old = {k: spark.conf.get(k, None) for k in wanted}
