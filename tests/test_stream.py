@@ -168,8 +168,8 @@ def test_closed_rows_are_read_once(spark, fill, seeded):
     ticks = spark.createDataFrame([(T0 + dt.timedelta(seconds=s), T0 + dt.timedelta(seconds=s + 3)) for s in (0, 3, 6, 9)],
                                   "window_start timestamp_ntz, window_end timestamp_ntz")
     (flows.unionByName(ticks, allowMissingColumns=True) if fill else flows).write.parquet(at)
-    kw = {"parity": parity_tables(134, 1)} if seeded else {}
-    cells = bricks.cells_of_closed(spark.read.parquet(at), "flow", fill=fill, **kw)
+    kw, more = {"parity": parity_tables(134, 1)} if seeded else {}, {"fill": True} if fill else {}
+    cells = bricks.cells_of_closed(spark.read.parquet(at), "flow", **more, **kw)
     assert cells._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     same(cells.where("cell IS NOT NULL"), plan.window_summary(packets, "3 seconds", **kw).cells.drop("flow_bytes"))
     assert cells.where("cell IS NULL").count() == (4 if fill else 0)
