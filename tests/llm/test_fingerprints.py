@@ -155,3 +155,38 @@ def test_edited_copies_of_ordinary_length_are_near(spark, sf_small, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = P.op7_fingerprints(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and sum(r.n_near > 0 for r in got) >= 0.8 * len(rows)
+
+
+def test_comparisons_are_compiled(spark, capsys):
+    """No lambda runs for each two fingerprints that meet: Spark interprets lambdas."""
+    P.near_counts(spark.createDataFrame([(1, 2, 1), (1, 3, 1)], "hi long, lo long, n long")).explain(True)
+    plan = capsys.readouterr().out
+    assert "inline(own" in plan and "lambda" not in plan
+
+
+def test_counts_at_every_radius(spark):
+    """Differences in the first and last bits of both halves, several packs a block, blocks of several sizes."""
+    rnd = random.Random(4)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    ends = (0, 62, 63, 64, 126, 127)
+    base = rnd.getrandbits(128)
+    prints = {base, base ^ (1 << 128) - 1, 0, (1 << 128) - 1, *(base ^ 1 << k for k in ends), *(base ^ 1 << k ^ 1 << j for k in ends for j in ends)}
+    while len(prints) < 130:
+        x = base
+        for k in rnd.sample(range(128), rnd.randrange(18)):
+            x ^= 1 << k
+        prints.add(x)
+    weight = {p: rnd.randrange(1, 4) for p in prints}
+    df = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1), n) for p, n in weight.items()], "hi long, lo long, n long")
+    number = lambda hi, lo: (hi & (1 << 64) - 1) << 64 | lo & (1 << 64) - 1
+    for radius, size in ((0, 256), (1, 50), (2, 256), (11, 100), (12, 1024), (15, 60)):
+        got = {number(r.hi, r.lo): r.n_near for r in P.near_counts(df, radius, size).collect()}
+        want = {a: sum(n for b, n in weight.items() if 0 < (a ^ b).bit_count() <= radius) for a in weight}
+        assert got == {a: n for a, n in want.items() if n}, (radius, size)
+
+
+def test_votes_add_up_over_shares(spark, monkeypatch):
+    df = spark.createDataFrame([(1, " ".join(f"w{k * k % 97}" for k in range(500))), (2, "a"), (3, ""), (4, "same " * 60_000)], "k int, t string")
+    whole = {tuple(r) for r in P.simhash(df, ["k"], "t").collect()}
+    monkeypatch.setattr(P, "SHARE", 7)
+    assert {tuple(r) for r in P.simhash(df, ["k"], "t").collect()} == whole and len(whole) == 4

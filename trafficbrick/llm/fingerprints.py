@@ -2,8 +2,9 @@
 
 DataFrame and SQL functions only. The terms of a text are its words (weight 1)
 and its pairs of consecutive words (weight 2); each term's 128-bit hash votes on
-128 signed bits. Two 32-bit lanes of one bigint count two bits at once, so 64
-plain sums hold all votes and the aggregate stays in generated code.
+128 signed bits. Four 16-bit lanes of one bigint count four bits at once, so 32
+plain sums hold the votes of up to ``SHARE`` words and the aggregate stays in generated
+code; the shares of a text add up in lanes of 32 bits.
 
 ``near_counts`` and ``near_pairs`` find all fingerprints within a Hamming radius ``r``: the
 bits are cut into ``r + 2`` blocks, of which at least two agree; one table per pair of
@@ -13,7 +14,6 @@ it agrees, once.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from itertools import combinations
 
@@ -24,8 +24,11 @@ from .tables import written
 
 BITS = 128
 RADIUS = 12     # holds 92% of edited copies of five-word Jaccard 0.8 to 0.9, 99.6% of those above (see README)
-GROUP = 256     # fingerprints of one key that lie in one array
-_LANES = (1 << 32) + 1
+GROUP = 1024    # fingerprints of one key that lie in one array
+PACK = 48       # fingerprints that one compiled expression compares another with
+SHARE = 10_000  # words that vote in one sum: three votes a word at most, a lane counts to 32,767
+_LANES = sum(1 << k for k in (0, 16, 32, 48))
+_HALVES = (0xFFFF << 32) + 0xFFFF
 _BLANKS = " \t\n\u000b\f\r"
 
 
@@ -52,20 +55,25 @@ def simhash(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """
     w = _words(F.coalesce(F.col(text_col), F.lit("")))
     pairs = rows.select(*keys, w.alias("w")).select(
-        *keys, F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("t"))
+        *keys, F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("at", "t"))
+    none = F.lit(0).cast("bigint")
     one = F.when(F.col("a").isNull(), 0).otherwise(1).cast("bigint")
     two = F.when(F.col("b").isNull(), 0).otherwise(2).cast("bigint")
-    hashed = (pairs.select(*keys, F.col("t.a").alias("a"), F.col("t.b").alias("b"))
-                   .select(*keys, one.alias("one"), two.alias("two"), F.xxhash64("a").alias("a0"),
-                           F.xxhash64("a", "b").alias("b0"))
-                   .select("*", F.xxhash64("a0").alias("a1"), F.xxhash64("b0").alias("b1")))
+    # what is not there has no votes: all bits 0
+    hashed = (pairs.select(*keys, F.floor(F.coalesce("at", F.lit(0)) / SHARE).cast("int").alias("share"), F.col("t.a").alias("a"), F.col("t.b").alias("b"))
+                   .select(*keys, "share", "a", "b", (one + two).alias("weight"), F.xxhash64("a").alias("a0"), F.xxhash64("a", "b").alias("b0"))
+                   .select(*keys, "share", "weight", *[F.when(F.col(c).isNull(), none).otherwise(h).alias(f"{c}{n}") for c in ("a", "b")
+                                                       for n, h in ((0, F.col(f"{c}0")), (1, F.xxhash64(f"{c}0")))]))
 
     def lane(n: int, s: int) -> Column:
         vote = lambda c: F.shiftrightunsigned(F.col(f"{c}{n}"), s).bitwiseAND(F.lit(_LANES))
-        return F.sum(vote("a") * F.col("one") + vote("b") * F.col("two")).alias(f"v{n}_{s}")
+        return F.sum(vote("a").bitwiseOR(F.shiftleft(vote("b"), 1))).alias(f"u{n}_{s}")
 
-    votes = hashed.groupBy(*keys).agg(F.sum(F.col("one") + F.col("two")).alias("weight"),
-                                      *[lane(n, s) for n in (0, 1) for s in range(32)])
+    def halves(n: int, s: int) -> Column:
+        return F.sum(F.shiftrightunsigned(F.col(f"u{n}_{s % 16}"), s // 16 * 16).bitwiseAND(F.lit(_HALVES))).alias(f"v{n}_{s}")
+
+    shares = hashed.groupBy(*keys, "share").agg(F.sum("weight").alias("weight"), *[lane(n, s) for n in (0, 1) for s in range(16)])
+    votes = shares.groupBy(*keys).agg(F.sum("weight").alias("weight"), *[halves(n, s) for n in (0, 1) for s in range(32)])
     both = [_bits([F.col(f"v{n}_{s}") for s in range(32)], F.col("weight")) for n in (0, 1)]
     return votes.select(*keys, both[1].alias("hi"), both[0].alias("lo"))
 
@@ -90,7 +98,8 @@ class _Tables:
         if not 0 <= radius <= 15:
             raise ValueError("radius must be 0 to 15")
         self.radius, self.n = radius, radius + 2
-        self.cuts = [BITS * k // self.n for k in range(self.n + 1)]
+        half = (self.n + 1) // 2        # blocks in ``lo``; none lies in both halves
+        self.cuts = [64 * k // half for k in range(half)] + [64 + 64 * k // (self.n - half) for k in range(self.n - half + 1)]
         self.pairs = list(combinations(range(self.n), 2))
 
     def masks(self, k: int) -> tuple[int, int]:
@@ -101,6 +110,11 @@ class _Tables:
             return bits - (1 << 64) if bits >> 63 else bits
         return mask(64), mask(0)
 
+    def tops(self) -> tuple[int, int]:
+        """The highest bit of each block, in ``hi`` and in ``lo``; of the last blocks of both, bit 62."""
+        places = [min(c - 1, (c - 1) // 64 * 64 + 62) for c in self.cuts[1:]]
+        return tuple(sum(1 << p - base for p in places if base <= p < base + 64) for base in (64, 0))
+
     def block(self, k: int, hi: Column, lo: Column) -> list[Column]:
         """The bits of block ``k`` in ``lo`` and in ``hi`` (one of them where it has none in the other)."""
         parts = []
@@ -113,11 +127,12 @@ class _Tables:
 
     def rows(self, prints: DataFrame) -> DataFrame:
         """Each row of ``prints`` once for every table, with the table's number ``t`` and its ``key`` there
-        (a hash; a collision only proposes a pair)."""
+        (the number, and 56 bits of a hash; a collision only proposes a pair). A sort by ``key`` tells most rows by one word."""
         parts = [self.block(k, F.col("hi"), F.col("lo")) for k in range(self.n)]
         # one row becomes many: dealt out by another key than it lies by, so that the count of parts holds
         deal = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keys = F.array(*[F.xxhash64(*parts[i], *parts[j]) for i, j in self.pairs])
+        keys = F.array(*[F.shiftrightunsigned(F.xxhash64(*parts[i], *parts[j]), 8).bitwiseOR(F.lit(t << 56 if t < 128 else (t << 56) - (1 << 64)))
+                         for t, (i, j) in enumerate(self.pairs)])
         return prints.repartition(deal, F.xxhash64("hi", "lo")).select("*", F.posexplode(keys).alias("t", "key"))
 
 
@@ -161,40 +176,54 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, size: int = GROUP) -> D
     tables = _Tables(radius)
     one = (prints.where(F.col("hi").isNotNull() & F.col("lo").isNotNull())
                  .groupBy("hi", "lo").agg(F.sum("n").cast("bigint").alias("n")))
-    whole = Window.partitionBy("t", "key")
-    met = (tables.rows(one).withColumn("many", F.count(F.lit(1)).over(whole)).where(F.col("many") > 1)
+    whole = Window.partitionBy("key")
+    met = (tables.rows(one).drop("t").withColumn("many", F.count(F.lit(1)).over(whole)).where(F.col("many") > 1)
                  .withColumn("b", F.floor((F.row_number().over(whole.orderBy("hi", "lo")) - 1) / size).cast("int")))
-    blocks = (met.groupBy("t", "key", "b").agg(F.collect_list(F.struct("hi", "lo", "n")).alias("a"),
-                                               (F.floor((F.first("many") - 1) / size) + 1).cast("int").alias("m")))
+    blocks = (met.groupBy("key", "b").agg(F.collect_list(F.struct("hi", "lo", "n")).alias("a"),
+                                          (F.floor((F.first("many") - 1) / size) + 1).cast("int").alias("m")))
     blocks = written(blocks, "print-blocks")
     several = blocks.where(F.col("m") > 1)
     # block b meets each other block of its key, under the pair's two numbers
-    dealt = several.select("t", "key", "b", "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).where("o <> b")
-    ends = ["t", "key", "x", "y"]
-    low = dealt.where("b < o").select("t", "key", F.col("b").alias("x"), F.col("o").alias("y"), F.col("a").alias("own"))
-    high = dealt.where("b > o").select("t", "key", F.col("o").alias("x"), F.col("b").alias("y"), F.col("a").alias("other"))
-    across = low.hint("merge").join(high, ends).select("t", "own", "other")
-    meetings = (blocks.select("t", F.col("a").alias("own"), F.col("a").alias("other")).unionByName(across)
-                      .unionByName(across.select("t", F.col("other").alias("own"), F.col("own").alias("other"))))
-
-    # of each table, the blocks before its second one but its first: none of them may agree
-    before = [[tables.masks(k) for k in range(j) if k != i] for i, j in tables.pairs]
-    kind = "array<array<struct<hi:bigint,lo:bigint>>>"
-    masks = F.get(F.from_json(F.lit(json.dumps([[{"hi": h, "lo": v} for h, v in row] for row in before])), kind), F.col("t"))
-
-    def hits(x: Column) -> Column:
-        """The sum of ``n`` over the entries of ``other`` that are near ``x``."""
-        def add(total: Column, y: Column) -> Column:
-            hi, lo = x["hi"].bitwiseXOR(y["hi"]), x["lo"].bitwiseXOR(y["lo"])
-            first = F.forall("masks", lambda m: (hi.bitwiseAND(m["hi"]).bitwiseOR(lo.bitwiseAND(m["lo"]))) != 0)
-            apart = F.bit_count(hi) + F.bit_count(lo)
-            return F.when((apart <= radius) & (apart > 0), F.when(first, total + y["n"]).otherwise(total)).otherwise(total)
-        return F.aggregate("other", F.lit(0).cast("bigint"), add)
-
-    found = (meetings.withColumn("masks", masks)
-                     .select(F.explode(F.transform("own", lambda x: F.struct(x["hi"], x["lo"], hits(x).alias("c")))).alias("f"))
-                     .select("f.hi", "f.lo", "f.c").where(F.col("c") > 0))
-    return found.groupBy("hi", "lo").agg(F.sum("c").alias("n_near"))
+    dealt = several.select("key", "b", "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).where("o <> b")
+    ends = ["key", "x", "y"]
+    low = dealt.where("b < o").select("key", F.col("b").alias("x"), F.col("o").alias("y"), F.col("a").alias("own"))
+    high = dealt.where("b > o").select("key", F.col("o").alias("x"), F.col("b").alias("y"), F.col("a").alias("other"))
+    across = low.hint("merge").join(high, ends).select("key", "own", "other")
+    meetings = (blocks.select("key", F.col("a").alias("own"), F.col("a").alias("other")).unionByName(across)
+                      .unionByName(across.select("key", F.col("other").alias("own"), F.col("own").alias("other")))
+                      .withColumn("t", F.shiftrightunsigned("key", 56).cast("int")))
+    found = _hits(meetings, tables).groupBy("hi", "lo").agg(F.sum("c").alias("n_near"), F.max("most").alias("most"))
+    return found.where(F.col("most") > 0).select("hi", "lo", "n_near")
+
+
+def _hits(meetings: DataFrame, tables: _Tables) -> DataFrame:
+    """``hi, lo, c, most``: for each entry of ``own`` in each row of ``meetings``, the sum and the largest ``n`` of the
+    entries of ``other`` that are near it and are met in table ``t`` first; several rows an entry.
+
+    ``PACK`` entries of ``other`` are compared by expressions without loops or lambdas, which Spark compiles. As ``c`` and
+    ``most`` both take each of them, it is a common subexpression and so a method: all in one were too long for the JIT.
+    """
+    # a block that may agree counts as one that does not: all its bits differ
+    off = [[sum(tables.masks(k)[side] for k in range(tables.n) if k in (i, j) or k > j) for side in (0, 1)] for i, j in tables.pairs]
+    packs = (meetings.select("own", *[F.col("other")[c].alias(f"{c}s") for c in ("hi", "lo", "n")],
+                             *[F.get(F.lit([x[s] for x in off]), F.col("t")).alias(f"off_{c}") for s, c in enumerate(("hi", "lo"))],
+                             F.explode(F.sequence(F.lit(1), F.size("other"), F.lit(PACK))).alias("o"))
+                     .select("own", "off_hi", "off_lo", *[F.slice(c, F.col("o"), F.lit(PACK)).alias(c) for c in ("his", "los", "ns")]))
+
+    def unlike(k: int, c: str, top: int) -> str:
+        """SQL: no block before the table's second one but its first agrees."""
+        v = f"({c} ^ get({c}s, {k}) | off_{c})"
+        v = f"({v} | shiftrightunsigned({v}, 1) & {1 << 62})"       # bit 62 stands for 63, too
+        rest = (1 << 63) - 1 - top      # adding it carries into the block's top bit unless all others are 0
+        return f"((({v} & {rest}) + {rest} | {v}) & {top}) = {top}"
+
+    def hit(k: int) -> Column:
+        apart = f"(bit_count(hi ^ get(his, {k})) + bit_count(lo ^ get(los, {k})))"
+        first = " AND ".join(unlike(k, c, top) for c, top in zip(("hi", "lo"), tables.tops()))
+        return F.expr(f"CASE WHEN {apart} <= {tables.radius} THEN CASE WHEN {apart} > 0 AND {first} THEN coalesce(get(ns, {k}), 0L) ELSE 0L END ELSE 0L END")
+
+    hits = [hit(k) for k in range(PACK)]
+    return packs.select("*", F.inline("own")).select("hi", "lo", reduce(lambda x, y: x + y, hits).alias("c"), F.greatest(*hits).alias("most"))
 
 
 CUTS = 128
