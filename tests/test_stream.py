@@ -2,11 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from trafficbrick.functions.parity import parity_tables
 from trafficbrick.operators import decode, hitters, rates, summary
+from trafficbrick.plans import catalog
 from trafficbrick.plans import summary as plan
 from trafficbrick.schemas import PACKETS
 from trafficbrick.session import scratch_path, ship_package
@@ -194,3 +198,40 @@ def test_decode_is_used_by_the_clock(spark):
     """Frames that are not IPv4 move the watermark but are not in the windows."""
     p = spark.createDataFrame([packet(1, 1), packet(2, 2, eth=34525)], PACKETS)
     assert vote.clocked(p, "3 seconds", "0 seconds").count() == decode.ipv4_only(p).count() == 1
+
+
+def test_turns_of_several_files(spark, sf_small, monkeypatch):
+    """Files as short as those of a large table's turns: all files of a turn belong to one micro-batch."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    monkeypatch.setattr(catalog, "FILE_ROWS", 300, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, batch in (("stream_vote_report", "vote_hitter_report"), ("stream_vote", "vote_hitters")):
+            got = catalog.QUERIES[name](spark, sf_small)
+            want = catalog.QUERIES[batch](spark, sf_small).select(*got.columns)
+            assert want.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_ordered_turns_have_as_many_files(spark, tmp_path):
+    import os
+    p = spark.range(0, 4000, 1, 7).selectExpr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "'e' as device", "id as seq", "2048 as eth_type",
+                                              "0 as vlan_id", "6 as ip_proto", "id + 1 as src_ip", "id + 2 as dst_ip", "1 as sport", "2 as dport", "100 as wire_len")
+    path = str(tmp_path / "s")
+    cuts = fixtures.write_ordered_stream(p, path, 3, files=4)
+    files = sorted((os.stat(f"{path}/{f}").st_mtime_ns, f) for f in os.listdir(path) if f.startswith("part-"))
+    assert len(cuts) == 2 and len(files) == 13
+    turns = [[t.as_py() for _, f in files[k:k + 4] for t in pq.read_table(f"{path}/{f}").column("ts")] for k in (0, 4, 8)]
+    assert sum(map(len, turns)) == 4000 and max(turns[0]) < min(turns[1]) and max(turns[1]) < min(turns[2])
+
+
+def test_packets_reach_the_state_in_packed_rows():
+    rnd = np.random.default_rng(5)
+    cols = {c: rnd.integers(0, 3, 500) for c in (*vote.KEY, "cell", *vote.ORDER)}
+    out = pa.Table.from_batches(vote.pack_batches([pa.record_batch({c: v.astype(np.int64) for c, v in cols.items()})])).to_pylist()
+    assert len(out) == len({k for k in zip(*[cols[c].tolist() for c in vote.KEY])}) <= 27
+    got = [(r["start"], r["end"], r["slice"], *p) for r in out for p in np.frombuffer(r["packets"], dtype=np.int64).reshape(8, -1).T.tolist()]
+    assert sorted(got) == sorted(zip(*[v.tolist() for v in cols.values()]))

@@ -78,17 +78,21 @@ def _step(runs: Runs, k: np.ndarray, state: np.ndarray, cells: np.ndarray) -> No
 def _finish(runs: Runs, k: int, end: int, state: np.ndarray, cell: int) -> None:
     """The runs ``k .. end - 1`` of one cell."""
     src, dst, sport, dport, count = state[:, cell].tolist()
-    for s, d, total, i, before in zip(runs.src[k:end].tolist(), runs.dst[k:end].tolist(), runs.total[k:end].tolist(),
-                                      runs.first[k:end].tolist(), runs.before[k:end].tolist()):
+    installed = -1      # the packet that installed the candidate, if one of these did
+    alone = np.diff(runs.first[k:end + 1], append=len(runs.running) if end == len(runs.first) else []) == 1
+    for s, d, total, i, before, one in zip(runs.src[k:end].tolist(), runs.dst[k:end].tolist(), runs.total[k:end].tolist(),
+                                           runs.first[k:end].tolist(), runs.before[k:end].tolist(), alone.tolist()):
         if src == 0:
-            src, dst, sport, dport, count = s, d, int(runs.sport[i]), int(runs.dport[i]), total
+            src, dst, installed, count = s, d, i, total
         elif src == s and dst == d:
             count += total
         elif total <= count:
             count -= total
         else:
-            at = int(np.searchsorted(runs.running, before + count, "right"))
-            src, dst, sport, dport, count = s, d, int(runs.sport[at]), int(runs.dport[at]), total - count
+            installed = i if one else int(np.searchsorted(runs.running, before + count, "right"))
+            src, dst, count = s, d, total - count
+    if installed >= 0:
+        sport, dport = int(runs.sport[installed]), int(runs.dport[installed])
     state[:, cell] = src, dst, sport, dport, count
 
 

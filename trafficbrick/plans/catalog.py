@@ -493,6 +493,7 @@ from ..streaming.start import start  # noqa: E402
 DELAY = "3650 days"
 TURNS = 6               # micro-batches of a stream whose files are written in time order
 TURN_ROWS = 4_000_000   # and as many more as keep each to so many packets
+FILE_ROWS = 100_000     # a micro-batch is as many files as hold so many packets each, one a core at most
 
 
 def _state_partitions(spark):
@@ -506,10 +507,13 @@ def _stream_source(spark, sf):
 
 
 def _ordered_stream(spark, packets, closing=sfix.SENTINEL_TS):
-    """A stream of ``packets`` in time order, one file a micro-batch."""
+    """A stream of ``packets`` in time order, one turn a micro-batch."""
     path = scratch_path(spark, "ordered-stream")
-    sfix.write_ordered_stream(packets, path, max(TURNS, -(-packets.count() // TURN_ROWS)), closing)
-    return sfix.read_packet_stream(spark, path, 1)
+    rows = packets.count()
+    turns = max(TURNS, -(-rows // TURN_ROWS))
+    files = max(1, min(spark.sparkContext.defaultParallelism, rows // turns // FILE_ROWS))
+    sfix.write_ordered_stream(packets, path, turns, closing, files)
+    return sfix.read_packet_stream(spark, path, files)
 
 
 def _run_to_table(spark, stream, name):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PACKETS, PACKET_COLUMNS
-from ..session import scratch_path
+from ..session import drop_path, file_system, scratch_path
 
 # Fixed value: a far-future event that moves the watermark past every real window.
 SENTINEL_TS = "2100-01-01 00:00:00"
@@ -31,10 +31,14 @@ def write_packet_stream(packets: DataFrame, path: str, files: int | None = None,
         sentinel(packets.sparkSession).write.mode("append").parquet(path)
 
 
-def write_ordered_stream(packets: DataFrame, path: str, turns: int, closing: str | None = SENTINEL_TS) -> list:
+def write_ordered_stream(packets: DataFrame, path: str, turns: int, closing: str | None = SENTINEL_TS, files: int = 1) -> list:
     """Write ``packets`` in ``turns`` turns of rising event time, one after the other, so that a
     file source (which lists files by the time they were written) sees them in time
-    order; then, with ``closing``, a packet at that time. Returns the times between the turns."""
+    order; then, with ``closing``, a packet at that time. Returns the times between the turns.
+
+    Every turn is ``files`` files, some of them without rows if need be: a reader that takes as many for a
+    micro-batch has a whole turn in each. With parts of a turn in several, the first would move the watermark past the rest.
+    """
     spark = packets.sparkSession
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     cuts = sorted(set(packets.agg(F.percentile_approx(us, [k / turns for k in range(1, turns)], F.lit(100_000)).alias("q")).first().q or [])) \
@@ -43,12 +47,21 @@ def write_ordered_stream(packets: DataFrame, path: str, turns: int, closing: str
     staged = scratch_path(spark, "stream-turns")
     packets.select(*PACKET_COLUMNS, turn.alias("turn")).write.partitionBy("turn").parquet(staged)
     for n in range(len(cuts) + 1):
-        spark.read.parquet(staged).where(F.col("turn") == n).select(*PACKET_COLUMNS).write.mode("append").parquet(path)
+        part = spark.read.parquet(staged).where(F.col("turn") == n).select(*PACKET_COLUMNS)
+        part.coalesce(files).write.mode("append").parquet(path)
+        for _ in range((n + 1) * files - _written_files(spark, path)):
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
     if closing:
-        sentinel(spark, closing).write.mode("append").parquet(path)
+        sentinel(spark, closing).coalesce(1).write.mode("append").parquet(path)
+    drop_path(spark, staged)
     return cuts
 
 
+def _written_files(spark, path: str) -> int:
+    fs, p = file_system(spark, path)
+    return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))
+
+
 def read_packet_stream(spark, path: str, max_files_per_trigger: int | None = 64) -> DataFrame:
     """A packet stream from parquet files; ``max_files_per_trigger`` bounds a micro-batch."""
     r = spark.readStream.schema(PACKETS)
